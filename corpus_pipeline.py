@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlake.llm import exact_dedup
+from graphlake.llm import decontaminate, exact_dedup, language_id, near_dedup, unigram
 from graphlake.llm.common import Scratch, table
+from graphlake.llm.queries import PIECES
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known well enough; those without a letter and those unlike any language go."""
+    return language_id.identify(spark, docs).filter("not rejected").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.keep_first(spark, docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar texts."""
+    return near_dedup.keep_one(spark, docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The subword ids of each document, and whether they decode to its text."""
+    return unigram.encode_documents(docs, PIECES)
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("decontamination", clean), ("encoding", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
