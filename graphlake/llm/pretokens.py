@@ -106,9 +106,11 @@ class Encoder:
     encode_units: ids of each of some units; encode_text: ids of a text that must not be split into units.
     """
 
-    def __init__(self, starts, encode_units, encode_text=None, is_risky=lambda text: False, limit: int = 400_000) -> None:
+    def __init__(self, starts, encode_units, encode_text=None, is_risky=lambda text: False, limit: int = 300_000) -> None:
         self.starts, self.encode_units, self.encode_text, self.is_risky, self.limit = starts, encode_units, encode_text, is_risky, limit
+        #: The units met of late, and those met before them; what is met again stays.
         self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) in order, and the number of ids of each text."""
@@ -133,16 +135,22 @@ class Encoder:
         distinct, codes, first = units(texts, self.starts)
         keys = distinct.to_pylist()
         memory = self.memory
-        if len(memory) > self.limit:
-            memory.clear()
         values = [memory.get(k) for k in keys]
-        missing = [i for i, v in enumerate(values) if v is None]
+        missing = []
+        for i, v in enumerate(values):
+            if v is None:
+                if (v := self.older.get(keys[i])) is None:
+                    missing.append(i)
+                else:
+                    values[i] = memory[keys[i]] = v
         for a in range(0, len(missing), 20_000):
             part = missing[a : a + 20_000]
             for i, v in zip(part, self.encode_units([keys[i] for i in part])):
                 values[i] = v
                 if len(keys[i]) <= 64:
                     memory[keys[i]] = v
+        if len(memory) > self.limit:
+            self.memory, self.older = {}, memory
         flat = np.frombuffer(b"".join(values), np.uint32)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         where = np.cumsum(sizes) - sizes

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean_texts, text_blocks
+from .common import BLOCK_CHARS, Scratch, clean_texts, text_blocks
 from .pretokens import MARK, Encoder, byte_level_starts, risky
 
 MAGIC = b"GLTOKEN1"
@@ -161,12 +162,13 @@ def byte_level_encoder(path: str) -> Encoder:
     tokenizer = Tokenizer.from_file(path)
     special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Encoder(
-        byte_level_starts, lambda units: [x.tobytes() for x in encode([u.decode("utf-8", "surrogatepass") for u in units])], encode, lambda text: MARK in text or risky(text, special)
-    )
+    def encode_units(units: list[bytes]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in encode([u.decode("utf-8", "surrogatepass") for u in units])]
+
+    return Encoder(byte_level_starts, encode_units, encode, lambda text: MARK in text or risky(text, special))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str, files: int | None = None, end_id: int = END_ID) -> DataFrame:
@@ -187,7 +189,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, fold
 
     def encode(batches):
         encoder = byte_level_encoder(tokenizer_path)
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, 2 * BLOCK_CHARS):
             ids, counts = encoder(texts)
             ends = np.concatenate(([0], np.cumsum(counts + 1)))
             out = np.full(ends[-1], end_id, "<u4")
