@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: A state partition is for so many rows at least: each costs files of some megabytes however few keys it holds.
+STATE_ROWS = 20_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,20 +26,25 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def keyed_state(spark: SparkSession, rows: DataFrame, at: str) -> DataFrame:
+def keyed_state(spark: SparkSession, rows: DataFrame, at: str, partitions: int | None = None) -> DataFrame:
     """Runs the stream `rows` (digest, doc_id, row, locator) to its end and returns its state as a table.
 
     A later call with the same folder and more rows goes on from the state that is there.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "locator")).alias("first")
     told = rows.groupBy("digest").agg(first, F.count("*").alias("n"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER}
+    if partitions:
+        settings["spark.sql.streaming.internal.stateStore.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = told.writeStream.outputMode("update").format("noop").option("checkpointLocation", at).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(at)
     first, n = (F.col(f"value.{name}") for name in state.schema["value"].dataType.names)
     return state.select("key.digest", first.doc_id.alias("keep_id"), first.row.alias("keep_row"), first.locator.alias("locator"), n.alias("group_size"))
@@ -57,7 +64,8 @@ def dedup(spark: SparkSession, docs: DataFrame, digest=sha256) -> DataFrame:
     )
     hashed = scratch.keep(hashed, "hashed")
     stream = spark.readStream.schema(hashed.schema).option("maxFilesPerTrigger", 10_000).parquet(scratch.path("hashed"))
-    state = keyed_state(spark, stream.select("digest", "doc_id", "row", "locator"), scratch.path("state"))
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), hashed.count() // STATE_ROWS + 1)
+    state = keyed_state(spark, stream.select("digest", "doc_id", "row", "locator"), scratch.path("state"), partitions)
     # Full bytes: the smallest and largest text of a digest are the same only if all are. Copies shrink to one before the shuffle.
     bytes_of = rows.select(digest(F.col("text")).alias("digest"), "text").groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b"))
     mixed = scratch.keep(bytes_of.filter("a <> b").select("digest"), "mixed")
