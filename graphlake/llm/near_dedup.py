@@ -7,7 +7,7 @@ are verified on the full texts, and verified links are closed into classes.
 
 Work on hot groups stays linear: texts with the same words become one representative before anything else; the members
 of a bucket are first compared with one of them, and only what that leaves in different classes is compared member by
-member, in blocks dealt over tasks, on short sketches.
+member, in blocks dealt over tasks, which emit no more links than join their classes.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ ROWS, BANDS = 5, 32
 COORDINATES = ROWS * BANDS
 #: Candidates whose sketches agree on less than this share of coordinates are dropped: 4.5 standard deviations below 0.8.
 PLAUSIBLE = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
+#: A list of up to so many ids (8 bytes each) is sent to all executors.
+BROADCAST_IDS = 1_000_000
+#: A text takes as much room as so many characters, whatever its length.
+PER_TEXT = 2048
 #: Members of one bucket that are compared with each other in one task.
 BLOCK = 512
 #: Chances of 0, 1, 2 ... darts in a region where one is expected.
@@ -107,7 +111,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, name, sketch (a byte per coordinate), bands."""
 
     def run(batches):
-        for batch, texts in text_blocks(batches, 1 << 19):
+        for batch, texts in text_blocks(batches, 1 << 19, PER_TEXT):
             gram, owner, names = _profile(texts)
             signature = signatures(gram, owner, len(texts))
             sketch = signature.astype(np.uint8)
@@ -149,10 +153,15 @@ def similarity(left: np.ndarray, right: np.ndarray) -> float:
     return float(np.minimum(a, b).sum() / np.maximum(a, b).sum())
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the given ids, one row each. A list of ids of proven size goes to the executors, a longer one is joined."""
+    small = ids.count() <= BROADCAST_IDS
+    return clean_texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full texts are similar, with their similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = clean_texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -191,31 +200,81 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch, name: st
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
 
 
+def elements(docs: DataFrame) -> DataFrame:
+    """rep, grams: each text's weighted shingles as a sorted set, in which the n-th occurrence is an element of its own."""
+
+    def run(batches):
+        for batch, texts in text_blocks(batches, 1 << 19, PER_TEXT):
+            gram, owner, _ = _profile(texts)
+            order = np.lexsort((gram, owner))
+            gram, owner = gram[order], owner[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+            unit = np.arange(len(gram)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            element = mix(gram + unit.astype(np.uint64) * SEED)
+            element = element[np.lexsort((element, owner))]
+            ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([element[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["rep", "grams"])
+
+    return clean_texts(docs).mapInArrow(run, "rep bigint, grams binary")
+
+
 def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs of blocks of each bucket: members are dealt into blocks, and each pair of blocks is a group of its own."""
     number = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(sizes, "key").withColumn("blocks", number).withColumn("mine", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return dealt.select("key", "rep", "class", "sketch", "mine", other).select("key", "rep", "class", "sketch", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return dealt.select("key", "rep", "class", "mine", other).select("key", "rep", "class", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+
+def _links_within(group: pa.Table) -> list[tuple[int, int]]:
+    """Links that join the classes of a group (one pair of blocks of one bucket), each pair in its first common band only."""
+    rep, cls, mine = (group.column(c).to_numpy() for c in ("rep", "class", "mine"))
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    grams = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
+    names, number = np.unique(cls, return_inverse=True)
+    top = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    right = np.flatnonzero(mine == j)
+    for x in np.flatnonzero(mine == i):
+        own = find(number[x])
+        y = right[number[right] != number[x]] if i != j else right[(number[right] != number[x]) & (rep[right] > rep[x])]
+        y = y[_agreement(sketch[x], sketch[y]) >= PLAUSIBLE] if len(y) else y
+        y = y[[find(c) != own for c in number[y].tolist()]] if len(y) else y
+        if not len(y):
+            continue
+        common = keys[x] == keys[y]
+        y = y[keys[x][common.argmax(axis=1)] == key]
+        if not len(y):
+            continue
+        sizes = np.array([len(grams[k]) for k in y])
+        every = np.concatenate([grams[k] for k in y])
+        at = np.minimum(np.searchsorted(grams[x], every), len(grams[x]) - 1)
+        both = np.add.reduceat((grams[x][at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+        for k in y[both >= SIMILARITY * (len(grams[x]) + sizes - both)].tolist():
+            a, b = find(number[x]), find(number[k])
+            if a != b:
+                top[a] = b
+                out.append((max(int(rep[x]), int(rep[k])), min(int(rep[x]), int(rep[k]))))
+    return out
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs of different classes within each group (key, i, j); the rows come sorted by group."""
+    """Links between classes within each group (key, i, j); the rows come sorted by group."""
     rest: pa.Table | None = None
 
-    def found(group: pa.Table) -> pa.RecordBatch:
-        rep, cls, mine = (group.column(c).to_numpy() for c in ("rep", "class", "mine"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
-        for x in left:
-            y = right[(cls[right] != cls[x]) & ((rep[right] > rep[x]) | (i != j))]
-            y = y[_agreement(sketch[x], sketch[y]) >= PLAUSIBLE] if len(y) else y
-            a.append(np.full(len(y), rep[x]))
-            b.append(rep[y])
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
+    def links(group: pa.Table) -> pa.RecordBatch:
+        found = _links_within(group)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
         now = pa.Table.from_batches([batch])
@@ -223,14 +282,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not now.num_rows:
             continue
         keys = [now.column(c).to_numpy() for c in ("key", "i", "j")]
-        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         at = 0
-        for c in cut.tolist():
-            yield found(now.slice(at, c - at).combine_chunks())
+        for c in (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist():
+            yield links(now.slice(at, c - at))
             at = c
         rest = now.slice(at)
     if rest is not None and rest.num_rows:
-        yield found(rest.combine_chunks())
+        yield links(rest)
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -254,18 +312,17 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     sketches = reps.select("rep", "sketch")
     likely = scratch.keep(plausible(stars, sketches), "likely")
-    links = scratch.keep(verify(likely, docs), "links")
+    links = scratch.keep(verify(likely, docs).select("a", "b"), "links")
     first = components(spark, links, scratch, "first")
     # Buckets that still hold several classes: whoever is no hub may yet be linked with another class there.
     held = members.filter("n > 2").select("key", "rep", "hub", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     held = scratch.keep(held, "held")
     mixed = held.filter("rep <> hub").groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least <> most").select("key", "n")
-    rest = held.filter("rep <> hub").select("key", "rep", "class").join(mixed.select("key"), "key", "left_semi").join(sketches, "rep")
-    groups = _blocked(rest, mixed)
-    across = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_across, "a bigint, b bigint").distinct()
-    more = scratch.keep(across.join(likely, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(scratch.keep(verify(more, docs), "late"))
+    rest = scratch.keep(held.filter("rep <> hub").select("key", "rep", "class").join(mixed.select("key"), "key", "left_semi"), "rest")
+    grams = elements(texts_of(docs, rest.select(F.col("rep").alias("doc_id")).distinct()))
+    groups = _blocked(rest, mixed).join(reps, "rep").join(grams, "rep")
+    across = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_across, "a bigint, b bigint")
+    links = links.unionByName(scratch.keep(across, "across"))
     joined = components(spark, links, scratch, "all")
     of_rep = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("class", "rep").alias("class_id"))
     # a hot name is one row of of_rep: Spark splits its side of the join
