@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from .lineage import cut
 
 NODE_KEY = ["project", "qualified_name"]
@@ -138,7 +139,7 @@ def summary_sections(text: Column) -> Column:
     """A map of the known `## SECTION` headings to their texts; an unknown heading stays in the section before it."""
     pieces = F.split(F.concat(F.lit("\n"), text), r"\n(?=## (?:" + "|".join(SECTIONS) + r")[ \t]*(?:\n|$))")
     own = F.filter(pieces, lambda p: p.rlike(r"^## (?:" + "|".join(SECTIONS) + r")[ \t]*(?:\n|$)"))
-    pairs = F.transform(own, lambda p: F.struct(F.regexp_extract(p, r"^## (\w+)", 1).alias("key"), F.trim(F.regexp_replace(p, r"^## \w+[ \t]*\n?", "")).alias("value")))
+    pairs = F.transform(own, lambda p: F.struct(F.regexp_extract(p, r"^## (\w+)", 1).alias("key"), scalar.trim(F.regexp_replace(p, r"^## \w+[ \t]*\n?", "")).alias("value")))
     return F.map_from_entries(pairs)
 
 
