@@ -491,7 +491,7 @@ l AS (SELECT doc_id, sqrt(sum(v * v)) AS l FROM x GROUP BY 1) SELECT a.doc_id AS
 
 
 def q_event_windows(spark, d):
-    return poller.windowed_counts(table(spark, d, "events")).select("window_start", "event_type", "n", F.round("total", 2).alias("total"))
+    return poller.windowed_counts(table(spark, d, "events")).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def q_sessions(spark, d):
@@ -572,6 +572,121 @@ def q_folder_chain(spark, d):
     return derive.folder_chain(f).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def q_suffix_lookup(spark, d):
+    n, _, _ = _graph(spark, d)
+    return dml.by_suffix(n, "Nation.7").select("id", "qualified_name")
+
+
+def q_ids_of(spark, d):
+    n, _, _ = _graph(spark, d)
+    asked = table(spark, d, "nation").select(F.concat(F.lit("bench.Nation."), F.col("n_nationkey") * 2).alias("qualified_name"))
+    return dml.ids_of(n.filter("label = 'Nation'"), asked)
+
+
+def q_edges_by_url(spark, d):
+    e = table(spark, d, "pages").select(F.col("page_id").alias("source_id"), F.to_json(F.struct(F.col("url").alias("url_path"))).alias("properties"))
+    return dml.edges_by_url(e, "1").select("source_id")
+
+
+def q_selectors(spark, d):
+    roots = table(spark, d, "part").select(F.concat(F.lit("/r/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/"), F.col("p_size")).alias("path")).distinct()
+    return dml.selectors(roots)
+
+
+def q_counts_by_type(spark, d):
+    _, e, _ = _graph(spark, d)
+    return e.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def _symbols(spark, d):
+    """Parts as functions, named from their types, and customers as configuration keys."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("Function").alias("label"), F.concat_ws("_", F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")), F.lit("size"), F.col("p_size")).alias("name"), F.lit("a.py").alias("file_path"))
+    c = table(spark, d, "part").select((F.col("p_size") + 10**7).alias("id"), F.lit("Variable").alias("label"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")).alias("name"), F.lit("conf.yaml").alias("file_path"))
+    c = c.groupBy("label", "name", "file_path").agg(F.min("id").alias("id")).select("id", "label", F.concat("name", F.lit("-size")).alias("name"), "file_path")
+    return p.unionByName(c)
+
+
+def q_config_link(spark, d):
+    return derive.config_links(_symbols(spark, d)).groupBy("config_key", "confidence").agg(F.count("*").alias("n"))
+
+
+def q_tests_edges(spark, d):
+    o = table(spark, d, "orders")
+    n = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "TestIt").otherwise("run").alias("name"), F.when(F.col("o_orderkey") % 3 == 0, "a_test.go").otherwise("a.go").alias("file_path"), F.lit("{}").alias("properties"))
+    e = o.select(F.col("o_orderkey").alias("source_id"), (F.col("o_orderkey") + 1).alias("target_id"), F.lit("CALLS").alias("type"))
+    return derive.tests_edges(n, e)
+
+
+def q_data_flows(spark, d):
+    o = table(spark, d, "orders")
+    calls = o.select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"), F.lit("HTTP_CALLS").alias("type"))
+    c = table(spark, d, "customer").select((F.col("c_nationkey") + 10**9).cast("bigint").alias("source_id"), F.col("c_custkey").alias("target_id"), F.lit("HANDLES").alias("type"))
+    return derive.data_flows(calls.union(c)).groupBy("target_id").agg(F.count("*").alias("n"))
+
+
+def q_cross_project(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("project"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"))
+    s = table(spark, d, "supplier").select(F.lit("BUILDING").alias("project"), (F.col("s_suppkey") + 10**7).alias("id"), F.col("s_nationkey").alias("key"))
+    return derive.cross_project(c, s).groupBy("project", "target_project").agg(F.count("*").alias("n"))
+
+
+def q_implementations(spark, d):
+    have = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("method"))
+    need = table(spark, d, "lineitem").filter("l_orderkey < 40").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("method"))
+    return derive.implementations(have, need)
+
+
+def q_longest_prefix(spark, d):
+    own = table(spark, d, "pages").select(F.concat(F.lit("m/"), F.col("page_id") % 50, F.lit("/x")).alias("specifier")).distinct()
+    known = spark.range(0, 50, 2).select(F.concat(F.lit("m/"), "id").alias("prefix"), F.concat(F.lit("M"), "id").alias("module"))
+    return derive.longest_prefix(own, known.union(spark.createDataFrame([("m", "all")], "prefix string, module string")))
+
+
+def q_name_resolution(spark, d):
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("lib."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".f"), F.col("p_partkey") % 900).alias("qualified_name"))
+    calls = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.lit("app").alias("module"), F.concat(F.lit("f"), F.col("l_partkey") % 1000).alias("callee"))
+    imports = spark.createDataFrame([("app", "b", "lib.Brand1")], "module string, local_name string, target string")
+    return derive.resolve_names(calls, n, imports).groupBy("strategy", "confidence").agg(F.count("*").alias("n"))
+
+
+def q_full_text(spark, d):
+    g = bench_graph(spark, d)
+    n = g.node_scan(["Nation", "Region", "Supplier"], ["name", "qualified_name", "file_path", "project"])
+    return search.full_text(n, "nation", projects=["bench"]).select("id", F.round("rank", 6).alias("rank"))
+
+
+def q_code_status(spark, d):
+    o = table(spark, d, "orders")
+    n = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "Class").otherwise("Function").alias("label"), F.when(F.col("o_orderkey") % 11 == 0, "x_test.go").otherwise("x.go").alias("file_path"), F.when(F.col("o_orderpriority") == "1-URGENT", '{"is_entry_point":true}').otherwise("{}").alias("properties"))
+    e = o.select(F.col("o_orderkey").alias("source_id"), (F.col("o_custkey") * 3).alias("target_id"), F.lit("CALLS").alias("type"))
+    return traverse.code_status(n, e).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_STATUS = """WITH c AS (SELECT o_custkey * 3 AS id, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN o_orderstatus = 'P' THEN 'structural' WHEN o_orderkey % 11 = 0 THEN 'test' WHEN o_orderpriority = '1-URGENT' THEN 'entry' WHEN n IS NULL THEN 'dead' WHEN n = 1 THEN 'single' ELSE 'normal' END AS status, count(*) AS n FROM orders LEFT JOIN c ON c.id = o_orderkey GROUP BY 1"""
+
+
+def q_edge_delta(spark, d):
+    old, new = _halves(spark, d)
+    return incremental.edge_delta(old.select("o_orderkey", "o_orderstatus"), new.select("o_orderkey", "o_orderstatus")).groupBy("op").agg(F.count("*").alias("n"))
+
+
+def q_url_scan(spark, d):
+    f = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("file_path"), F.concat(F.lit("export A_URL="), "url", F.lit("\nTOKEN_URL="), "url", F.lit("\nN=3\n")).alias("content"))
+    return texts.env_urls(f).select("file_path", "key", "value")
+
+
+def q_tfidf_idf(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    return similarity.idf(t).filter("df >= 100").select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+def q_impact_hops(spark, d):
+    n = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("Function").alias("label"), F.lit("f").alias("file_path"), F.col("o_orderkey").cast("int").alias("start_line"), F.col("o_orderkey").cast("int").alias("end_line"))
+    e = n.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"), F.lit("CALLS").alias("type"))
+    h = spark.createDataFrame([("f", 100, 102)], "file_path string, start int, end int")
+    return traverse.impact(n, e, h, 3)
+
+
 PLAIN: dict[str, tuple[Query, str | None]] = {
     "degree_all": (q_degree_all, f"WITH {NODES}, {EDGES}, g AS (SELECT id, sum(i) AS i, sum(o) AS o FROM {_DEGREES} GROUP BY 1) SELECT nodes.id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM nodes LEFT JOIN g ON g.id = nodes.id"),
     "degree_typed": (q_degree_typed, f"WITH {EDGES}, g AS (SELECT id, sum(i) AS i, sum(o) AS o FROM {_DEGREES} WHERE type = 'SUPPLIED_BY' GROUP BY 1) SELECT {_id('Supplier', 's_suppkey')} AS id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM supplier LEFT JOIN g ON g.id = {_id('Supplier', 's_suppkey')}"),
@@ -607,7 +722,7 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "tag_words": (q_tag_words, None),
     "topk_per_group": (q_topk_per_group, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     "tfidf_pairs": (q_tfidf, _TFIDF),
-    "event_windows": (q_event_windows, "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
+    "event_windows": (q_event_windows, "SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "sessions": (q_sessions, _SESSIONS),
     "hunk_overlap": (q_overlap, _OVERLAP),
     "code_search": (q_code_search, _CODE),
@@ -617,6 +732,24 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "semantic_score": (q_semantic_score, None),
     "path_scalars": (q_path_scalars, _SCALARS),
     "folder_chain": (q_folder_chain, None),
+    "suffix_lookup": (q_suffix_lookup, f"SELECT {_id('Nation', 'n_nationkey')} AS id, 'bench.Nation.' || n_nationkey AS qualified_name FROM nation WHERE n_nationkey = 7"),
+    "ids_of": (q_ids_of, f"SELECT 'bench.Nation.' || n_nationkey * 2 AS qualified_name, CASE WHEN n_nationkey * 2 < 25 THEN {_id('Nation', 'n_nationkey * 2')} ELSE 0 END AS id FROM nation"),
+    "edges_by_url": (q_edges_by_url, "SELECT page_id AS source_id FROM pages WHERE contains(url, '1')"),
+    "selectors": (q_selectors, "WITH r AS (SELECT DISTINCT replace(p_brand, '#', '') AS b, p_size AS s FROM part) SELECT '/r/' || b || '/' || s AS path, CASE WHEN count(*) OVER (PARTITION BY s) = 1 THEN CAST(s AS VARCHAR) ELSE b || '/' || s END AS selector FROM r"),
+    "counts_by_type": (q_counts_by_type, f"WITH {EDGES} SELECT type, count(*) AS n FROM edges GROUP BY 1"),
+    "config_link": (q_config_link, "SELECT replace(lower(p_type), ' ', '-') || '-size' AS config_key, CAST(0.75 AS DOUBLE) AS confidence, count(*) AS n FROM part GROUP BY 1"),
+    "tests_edges": (q_tests_edges, "SELECT a.o_orderkey AS source_id, b.o_orderkey AS target_id FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderstatus = 'O' AND a.o_orderkey % 3 = 0 AND b.o_orderkey % 3 <> 0"),
+    "data_flows": (q_data_flows, "SELECT c_nationkey + 1000000000 AS target_id, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1"),
+    "cross_project": (q_cross_project, "WITH p AS (SELECT c_mktsegment AS m FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_mktsegment <> 'BUILDING') SELECT m AS project, 'BUILDING' AS target_project, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT 'BUILDING', m, count(*) FROM p GROUP BY m"),
+    "implementations": (q_implementations, "WITH h AS (SELECT DISTINCT l_suppkey AS c, l_returnflag || l_linestatus AS m FROM lineitem), n AS (SELECT DISTINCT l_orderkey AS i, l_returnflag || l_linestatus AS m FROM lineitem WHERE l_orderkey < 40), k AS (SELECT i, count(*) AS n FROM n GROUP BY 1) SELECT c AS class_id, n.i AS interface_id FROM h JOIN n ON n.m = h.m JOIN k ON k.i = n.i GROUP BY 1, 2, k.n HAVING count(*) = k.n"),
+    "longest_prefix": (q_longest_prefix, "SELECT DISTINCT 'm/' || page_id % 50 || '/x' AS specifier, CASE WHEN page_id % 2 = 0 THEN 'M' || page_id % 50 ELSE 'all' END AS module FROM pages"),
+    "name_resolution": (q_name_resolution, None),
+    "full_text": (q_full_text, None),
+    "code_status": (q_code_status, _STATUS),
+    "edge_delta": (q_edge_delta, "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 < 8), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 > 1) SELECT 'insert' AS op, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'delete', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"),
+    "url_scan": (q_url_scan, "SELECT CAST(page_id AS VARCHAR) AS file_path, 'A_URL' AS key, url AS value FROM pages WHERE regexp_matches(url, '^[a-z][a-z0-9+.-]*://')"),
+    "idf": (q_tfidf_idf, "WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS token FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT token, count(*) AS df, round(ln(n / count(*)), 6) AS idf FROM t, n GROUP BY token, n HAVING count(*) >= 100"),
+    "impact_hops": (q_impact_hops, "SELECT o_orderkey AS id, CAST(greatest(1, 100 - o_orderkey) AS INT) AS hop FROM orders WHERE o_orderkey BETWEEN 97 AND 101"),
 }
 
 QUERIES: dict[str, Query] = {name: _cypher(text) for name, (text, _) in CYPHER.items()} | {name: q for name, (q, _) in PLAIN.items()}
