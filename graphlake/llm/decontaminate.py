@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, clean_texts, text_blocks
+from .common import blocks, bounded, clean_texts, give_back, text_blocks
 from .words import shingles, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -210,6 +210,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item was found, with all their columns."""
+    bounded(spark)
     for index in parts(benchmark):
         docs = docs.filter(_is_clean(spark.sparkContext.broadcast(index))("text"))
     return docs
@@ -224,5 +225,6 @@ def _is_clean(taken):
             for a, b in blocks(texts):
                 clean[[a + h.text for h in taken.value.search(texts[a:b])]] = False
             yield pa.array(clean)
+            give_back()
 
     return is_clean

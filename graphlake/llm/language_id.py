@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, text_blocks
+from .common import blocks, bounded, free_name, give_back, text_blocks
 from .pretokens import MARK
 from .words import mix
 
@@ -26,6 +26,8 @@ FEATURES = 1 << 13
 #: Labelled texts per language that the classifier is fitted on, at most; languages, at most.
 SAMPLE, LANGUAGES = 400, 200
 CENTROIDS = 4
+#: A text takes as much room as so many characters, whatever its length.
+PER_TEXT = 4096
 #: A text is rejected when its best cosine is below this share of what the centroid's own texts of its length reach.
 REJECT = 0.3
 UNKNOWN = "und"
@@ -143,11 +145,11 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = held_out(docs.select("doc_id", "lang")).filter("not held_out and lang is not null and doc_id is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang")
-    ids = chosen.orderBy("lang", "doc_id").limit(sample * LANGUAGES)  # the bound that makes the broadcast safe
+    ids = chosen.dropDuplicates(["doc_id"]).orderBy("lang", "doc_id").limit(sample * LANGUAGES)  # the bound that makes the broadcast safe
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")
 
     def features(batches):
-        for batch, texts in text_blocks(batches, 1 << 18):
+        for batch, texts in text_blocks(batches, 1 << 19, PER_TEXT):
             found, letters = counts(texts)
             sparse = [np.flatnonzero(row) for row in found]
             langs = batch.column(batch.schema.get_field_index("lang"))
@@ -155,6 +157,7 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
             data = [pa.array([i.astype("<i4").tobytes() + row[i].astype("<f4").tobytes() for i, row in zip(sparse, found)], pa.binary())]
             yield pa.RecordBatch.from_arrays([ids, langs, *data, pa.array(letters, pa.int64())], ["doc_id", "lang", "found", "letters"])
 
+    bounded(spark)
     rows = texts.select("doc_id", "lang", "text").mapInArrow(features, "doc_id bigint, lang string, found binary, letters bigint").collect()
     rows = sorted((r for r in rows if r.letters), key=lambda r: (r.lang, r.doc_id, r.found))
     taken: dict[str, int] = {}
@@ -166,22 +169,35 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(found, np.array([r.letters for r in rows], np.int64), [r.lang for r in rows])
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns of docs with lang_pred, score and rejected.
-
-    Predictions come from the text alone. A null text, or one without a letter, is `und` with score 0 and rejected;
-    so is everything where no document could be learnt from. Repeated rows give repeated results; an empty table none.
-    """
-    model = model or train(spark, docs)
-    taken = spark.sparkContext.broadcast(model)
+def predictor(spark: SparkSession, docs: DataFrame, model: Model | None = None):
+    """A function from the text column to a struct of lang_pred, score and rejected."""
+    taken = spark.sparkContext.broadcast(model or train(spark, docs))
+    bounded(spark)
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             texts = [x or "" for x in column.to_pylist()]
-            parts = [taken.value.predict(texts[a:b]) for a, b in blocks(texts, 1 << 19)]
+            parts = [taken.value.predict(texts[a:b]) for a, b in blocks(texts, 1 << 19, PER_TEXT)]
             arrays = [pa.array([x for p in parts for x in p[i]], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "rejected"])
+            give_back()
+
+    return predict
+
+
+def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """All columns of docs, but for those of the same names, with lang_pred, score and rejected.
+
+    Predictions come from the text alone. A null text, or one without a letter, is `und` with score 0 and rejected;
+    so is everything where no document could be learnt from. Repeated rows give repeated results; an empty table none.
+    """
+    name, new = free_name(docs, "_found"), ("lang_pred", "score", "rejected")
+    found = docs.withColumn(name, predictor(spark, docs, model)("text"))
+    return found.select(*(c for c in docs.columns if c.lower() not in new), f"{name}.*")
+
 
-    found = docs.select([c for c in docs.columns if c not in ("lang_pred", "score", "rejected", "_found")]).withColumn("_found", predict("text"))
-    return found.select(*found.columns[:-1], "_found.*")
+def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns as they are."""
+    name = free_name(docs, "_found")
+    return docs.withColumn(name, predictor(spark, docs)("text")).filter(f"not {name}.rejected").drop(name)

@@ -16,11 +16,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, Scratch, clean_texts, text_blocks
+from .common import BLOCK_CHARS, Scratch, clean_texts, file_system, text_blocks
 from .pretokens import MARK, Encoder, byte_level_starts, risky
 
 MAGIC = b"GLTOKEN1"
@@ -80,10 +79,6 @@ class EliasFano:
         return cls(n, low_bits, np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8), np.frombuffer(samples, np.uint32))
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
-
-
 class Writer:
     """Streams one file; it appears under its name only when whole, so a repeated task replaces it."""
 
