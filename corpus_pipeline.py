@@ -11,7 +11,7 @@ from graphlake.llm.queries import PIECES
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known well enough; those without a letter and those unlike any language go."""
-    return language_id.identify(spark, docs).filter("not rejected").select(*docs.columns)
+    return language_id.keep_known(spark, docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

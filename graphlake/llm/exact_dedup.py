@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 
 #: A state partition is for so many rows at least: each costs files of some megabytes however few keys it holds.
 STATE_ROWS = 20_000
@@ -85,11 +85,12 @@ def dedup(spark: SparkSession, docs: DataFrame, digest=sha256) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat doc_id and text, one."""
-    ruled = dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    doc, sha, mine = (free_name(docs, n) for n in ("_id", "_sha", "_mine"))
+    ruled = dedup(spark, docs).filter("kept").select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha))
     kept = Scratch(spark, "exact").keep(ruled, "kept")
-    mine = docs.withColumn("_mine", F.sha2(normalised(F.col("text")), 256))
-    left = mine.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_sha")), "left_semi")
-    return left.dropDuplicates(["doc_id", "_mine"]).drop("_mine")
+    own = docs.withColumn(mine, F.sha2(normalised(F.col("text")), 256))
+    left = own.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(sha)), "left_semi")
+    return left.dropDuplicates(["doc_id", mine]).drop(mine)
 
 
 ORACLE_SQL = r"""

@@ -1,0 +1,115 @@
+"""PII, chat formatting and exact dedup."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import oracle
+import pytest
+from pyspark.sql import functions as F
+
+from graphlake.llm import chat, exact_dedup, pii, queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def brute(text: str) -> list[tuple[int, int, int]]:
+    tests = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m)),
+        "phone": lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    return sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.BASE) for m in re.finditer(pii.PLAIN[kind], text) if tests[kind](m.group()))
+
+
+def test_pii_matches_brute_force(spark):
+    random.seed(3)
+    parts = ["a.b@c.de", "x@y", "_d@e.f", "1.2.3.4", "999.1.1.1", "0001.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (0)30 1234567-8", "+1 2", ".", " ", "@", "é", "🙂", "-", "12", "%"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(1, 14))) for _ in range(1500)]
+    texts += ["7" * 50_000, "a" * 100_000, "1.2.3.4." * 5000, "+" + "1 " * 20_000, ""]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert [(s.begin, s.rank, s.end) for s in r.found if s.rank < len(pii.BASE)] == brute(texts[r.doc_id]), texts[r.doc_id][:80]
+
+
+def test_pii_adds_ibans_and_context(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00 but DE89 3704 0044 0532 0130 01; social security 123-45-6789, plain 123-45-6789"
+    (r,) = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    kinds = [s.kind for s in r.found if s.rank >= len(pii.BASE)]
+    assert kinds.count("iban") == 1 and "ssn" in kinds
+    assert next(s for s in r.found if s.kind == "iban").score > 0.9
+
+
+def test_pii_odd_rows(odd, none):
+    rows = pii.digest(pii.find_pii(odd)).collect()
+    assert len(rows) == odd.count() and pii.digest(pii.find_pii(none)).count() == 0
+    assert next(r for r in rows if r.doc_id == 3).base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", ["op4_chat", "op5_exact_dedup"])
+def test_sql(spark, name):
+    assert oracle.differences(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.ORACLE_SQL[name]) == ""
+
+
+def test_pii_sql(spark):
+    assert oracle.differences(queries.QUERIES["op1_pii"](spark, SF).drop("spans"), oracle.connect(SF), pii.ORACLE_SQL) == ""
+
+
+def test_escapes_are_reversible(spark):
+    template = chat.Template()
+    random.seed(5)
+    parts = [*template.controls(), "\\", "<", "[", "s>", "/INST]", "x", " ", "\n", "\\\\", "<\\s>"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", chat.escape(F.col("t"), template)).withColumn("u", chat.unescape(F.col("e"), template))
+    for r in df.collect():
+        assert r.u == r.t and not any(c in r.e for c in template.controls()), r
+
+
+def test_chat_reads_back(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (2, 0, "assistant", "first"), (3, None, None, None), (3, 1, "tool[ROLE]", "x\n"), (None, 0, "user", "q"), (4, 0, "user", "a"), (4, 0, "user", "a")]
+    chats = chat.format_chats(spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, segments int, valid string"))
+    read = {r.conv_id: r for r in chat.read_chats(chats).collect()}
+    assert [(t.role, t.text) for t in read[1].turns] == [("user", "hi"), ("assistant", "</s>[INST] ok [/INST]")]
+    assert read[1].loss_text == "</s>[INST] ok [/INST]" and read[1].valid
+    assert not read[2].valid and read[2].loss_text == "first"
+    assert [(t.role, t.text) for t in read[3].turns] == [("", ""), ("tool[ROLE]", "x\n")]
+    assert len(read[4].turns) == 2 and [t.text for t in read[None].turns] == ["q"]
+    assert chat.digest(chat.read_chats(chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")))).count() == 0
+
+
+def test_exact_dedup_odd_rows(spark, odd, none):
+    rows = exact_dedup.dedup(spark, odd).collect()
+    assert len(rows) == odd.count() and exact_dedup.dedup(spark, none).count() == 0
+    fox = [r for r in rows if r.group_size == 4]
+    assert {r.keep_id for r in fox} == {1} and sum(r.kept for r in fox) == 1
+    blank = [r for r in rows if r.group_size == 3]
+    assert {r.keep_id for r in blank} == {3} and sum(r.kept for r in blank) == 1
+    left = exact_dedup.keep_first(spark, odd)
+    assert left.columns == odd.columns and left.count() == sum(r.kept for r in rows)
+
+
+def test_equal_digests_of_unequal_texts_stay_apart(spark):
+    rows = [(i, f"text {i % 40}") for i in range(200)]
+    weak = exact_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 1).cast("binary"))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in weak.collect()) == [(i, i % 40, 5) for i in range(200)]
+
+
+def test_state_goes_on_from_where_it_was(spark, tmp_path):
+    schema = "digest binary, doc_id bigint, row bigint, locator string"
+    for first in (10, 3):
+        spark.createDataFrame([(b"a", first, first, "f")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        state = exact_dedup.keyed_state(spark, rows, str(tmp_path / "state"), 2).collect()
+    assert [(r.keep_id, r.group_size) for r in state] == [(3, 2)]
