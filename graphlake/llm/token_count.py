@@ -2,25 +2,30 @@
 pre-token frequencies of the documents, and summed.
 
 Documents are dealt into blocks of bounded size. A block lists its distinct pre-tokens and how often each document has
-them; the distinct pre-tokens of all blocks meet once to be counted, and the counts go back to the blocks.
+them; the frequencies wait in the shared folder while the pre-tokens of all blocks meet by hash, where each distinct one
+is counted once and the counts go back to the blocks.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import Scratch, clean_texts, text_blocks
+from .common import Scratch, clean_texts, read_whole, text_blocks, write_whole
 from .pretokens import MARK, byte_level_starts, risky, units
 
 #: A block of documents ends when it has so many code points; a document is never split.
-BLOCK = 32 << 20
-_ROWS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("piece", pa.binary()), ("docs", pa.binary()), ("extra", pa.binary())])
+BLOCK = 16 << 20
+#: A row has the pre-tokens of a block that fall into a bucket, or their counts on the way back to the block.
+_ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+_SQL = "block bigint, bucket int, data binary"
+#: Buckets per shuffle partition.
+SPREAD = 4
 
 
 @cache
@@ -62,18 +67,38 @@ class _Block:
         self.fixed.append(fixed)
         self.chars += sum(map(len, texts))
 
-    def rows(self, number: int):
-        triples = np.concatenate(self.triples, axis=1)
-        sizes, fixed = np.concatenate(self.sizes), np.concatenate(self.fixed)
+    def save(self, path: str) -> None:
+        """Documents and frequencies, codes as steps from the one before, compressed."""
+        doc, code, often = np.concatenate(self.triples, axis=1)
         names = pa.array(self.ids, pa.int64())
         known = np.array([x is not None for x in self.ids])
-        docs = np.stack([names.fill_null(0).to_numpy(zero_copy_only=False), known, sizes, fixed]).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"block": [number], "code": [-1], "piece": [None], "docs": [docs.tobytes()], "extra": [triples.tobytes()]}, _ROWS)
+        docs = np.stack([names.fill_null(0).to_numpy(zero_copy_only=False), known, np.concatenate(self.sizes), np.concatenate(self.fixed), np.bincount(doc, minlength=len(known))]).astype(np.int64)
+        data = np.array([len(known), len(doc)], np.int64).tobytes() + docs.tobytes() + np.diff(code, prepend=0).astype(np.int32).tobytes() + often.astype(np.int32).tobytes()
+        write_whole(path, len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True))
+
+    @staticmethod
+    def load(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc_id, known, bytes, fixed tokens) of the documents, and the triples' documents, codes and counts."""
+        raw = read_whole(path)
+        data = pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+        n, m = np.frombuffer(data, np.int64, 2)
+        docs = np.frombuffer(data, np.int64, 5 * n, 16).reshape(5, n)
+        at = 16 + 40 * int(n)
+        code = np.cumsum(np.frombuffer(data, np.int32, m, at))
+        return docs[:4], np.repeat(np.arange(n), docs[4]), code, np.frombuffer(data, np.int32, m, at + 4 * int(m))
+
+    def rows(self, number: int, buckets: int):
+        """One row for each bucket with its pre-tokens: codes, sizes and bytes. A block without any has one empty row."""
         pieces = list(self.codes)
-        for a in range(0, len(pieces), 50_000):
-            n = len(pieces[a : a + 50_000])
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(pieces[a : a + n], pa.binary()), none, none], schema=_ROWS)
+        bucket = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(part):
+                own = [pieces[i] for i in part]
+                data = np.array([len(part), *part, *map(len, own)], np.int32).tobytes() + b"".join(own)
+                yield pa.RecordBatch.from_pydict({"block": [number], "bucket": [int(bucket[part[0]])], "data": [data]}, _ROWS)
+        if not pieces:
+            yield pa.RecordBatch.from_pydict({"block": [number], "bucket": [0], "data": [np.zeros(1, np.int32).tobytes()]}, _ROWS)
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, limit: int = 512, block: int = BLOCK) -> DataFrame:
@@ -82,42 +107,54 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, limi
     Reads doc_id and text. Null and empty texts have no tokens; null and repeated doc_ids give a row each; an empty
     table gives none. Special strings inside a text count as the library takes them.
     """
-    scratch = Scratch(spark, "counts")
+    folder = Scratch(spark, "counts").path("blocks")
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def frequencies(batches):
         tokenizer, special = _tokenizer(tokenizer_path)
         task, made = TaskContext.get().partitionId(), 0
         now = _Block()
+
+        def finish():
+            number = task << 32 | made
+            now.save(f"{folder}/{number}")
+            yield from now.rows(number, buckets)
+
         for batch, texts in text_blocks(batches):
             now.add(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts, tokenizer, special)
             if now.chars >= block:
-                yield from now.rows(task << 32 | made)
+                yield from finish()
                 now, made = _Block(), made + 1
         if now.ids:
-            yield from now.rows(task << 32 | made)
+            yield from finish()
 
-    rows = scratch.keep(clean_texts(docs).mapInArrow(frequencies, "block bigint, code int, piece binary, docs binary, extra binary"), "blocks")
+    rows = clean_texts(docs).mapInArrow(frequencies, _SQL)
 
-    def count(batches):
+    def count(group: pa.Table) -> pa.Table:
+        """Counts the distinct pre-tokens of a bucket once; a row goes back to each block."""
         tokenizer, _ = _tokenizer(tokenizer_path)
-        for batch in batches:
-            pieces = [p.decode("utf-8", "surrogatepass") for p in batch.column(0).to_pylist()]
-            n = [len(e) for a in range(0, len(pieces), 20_000) for e in tokenizer.encode_batch_fast(pieces[a : a + 20_000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["piece", "n"])
-
-    listed = rows.filter("piece is not null").select("block", "code", "piece")
-    counted = listed.select("piece").distinct().mapInArrow(count, "piece binary, n int")
-    back = listed.join(counted, "piece").select("block", "code", "n", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("extra"))
-    back = back.unionByName(rows.filter("piece is null").select("block", "code", F.lit(0).alias("n"), "docs", "extra"))
+        codes, sizes, texts = [], [], []
+        for data in group.column("data").to_pylist():
+            n = int(np.frombuffer(data, np.int32, 1)[0])
+            codes.append(np.frombuffer(data, np.int32, n, 4))
+            sizes.append(np.frombuffer(data, np.int32, n, 4 + 4 * n))
+            texts.append(data[4 + 8 * n :])
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
+        column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))]).dictionary_encode()
+        pieces = [p.decode("utf-8", "surrogatepass") for p in column.dictionary.to_pylist()]
+        each = np.array([len(e) for a in range(0, len(pieces), 20_000) for e in tokenizer.encode_batch_fast(pieces[a : a + 20_000], add_special_tokens=False)], np.int32)
+        per = np.split(each[column.indices.to_numpy()], np.cumsum([len(c) for c in codes])[:-1])
+        back = [np.stack([c, n]).tobytes() for c, n in zip(codes, per)]
+        return pa.table([group.column("block"), group.column("bucket"), pa.array(back, pa.binary())], schema=_ROWS)
+
+    counted = rows.groupBy("bucket").applyInArrow(count, _SQL)
 
     def total(group: pa.Table) -> pa.Table:
-        code = group.column("code").to_numpy()
-        head = int(np.flatnonzero(code < 0)[0])
-        size = np.zeros(len(code), np.int64)
-        size[code[code >= 0]] = group.column("n").to_numpy()[code >= 0]
-        names, known, sizes, fixed = np.frombuffer(group.column("docs")[head].as_py(), np.int64).reshape(4, -1)
-        doc, piece, often = np.frombuffer(group.column("extra")[head].as_py(), np.int32).reshape(3, -1)
+        counts = np.concatenate([np.frombuffer(x, np.int32).reshape(2, -1) for x in group.column("data").to_pylist()], axis=1)
+        size = np.zeros(counts.shape[1], np.int64)
+        size[counts[0]] = counts[1]
+        (names, known, sizes, fixed), doc, piece, often = _Block.load(f"{folder}/{group.column('block')[0].as_py()}")
         tokens = fixed + np.bincount(doc, often * size[piece], len(names)).astype(np.int64)
         return pa.table({"doc_id": pa.array(names, mask=known == 0), "n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit})
 
-    return back.groupBy("block").applyInArrow(total, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return counted.groupBy("block").applyInArrow(total, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
