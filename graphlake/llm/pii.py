@@ -42,7 +42,7 @@ CHECKS = {
     "iban": "length(replace(x.m, ' ', '')) between 15 and 34 and aggregate(split(concat(substr(replace(x.m, ' ', ''), 5), substr(replace(x.m, ' ', ''), 1, 4)), ''), 0, (r, c) -> (r * if(c <= '9', 10, 100) + ascii(c) - if(c <= '9', 48, 55)) % 97) = 1",
     "ssn": "true",
 }
-#: Words that raise a span's score when they stand within WINDOW characters before it.
+#: Words that raise a span's score when they stand within WINDOW characters before it, behind the match before.
 CONTEXT = {
     "email": r"\b(?:mail|e-mail|contact|write)\b",
     "ip": r"\b(?:ip|host|server|address)\b",
@@ -58,16 +58,16 @@ LEAST = 0.5
 
 
 def _walk(kind: str) -> str:
-    """Walks over the (piece, match) pairs of a kind and gathers its confirmed spans."""
+    """Walks over the (piece, match) pairs of a kind and gathers its confirmed spans; the last piece has no match."""
     begin = "a.pos + length(x.p)"
-    near = f"lower(substr(text, cast(greatest(1, {begin} - {WINDOW} + 1) as int), cast(least({WINDOW}, {begin}) as int)))"
+    near = f"lower(right(x.p, {WINDOW}))"
     score = f"least(1.0d, {SCORES[kind]}d + if({near} rlike r'{CONTEXT[kind]}', {BONUS}d, 0.0d))"
     span = f"named_struct('begin', {begin}, 'rank', {KINDS.index(kind)}, 'end', {begin} + length(x.m), 'kind', '{kind}', 'score', {score})"
     keep = CHECKS[kind] if kind in BASE else f"{CHECKS[kind]} and {score} >= {LEAST}"
     return (
-        f"aggregate(transform(found_{kind}, (m, i) -> named_struct('p', split_{kind}[i], 'm', m)), "
+        f"aggregate(zip_with(split_{kind}, found_{kind}, (p, m) -> named_struct('p', p, 'm', m)), "
         "named_struct('pos', 0L, 'spans', cast(array() as array<struct<begin: bigint, rank: int, end: bigint, kind: string, score: double>>)), "
-        f"(a, x) -> named_struct('pos', {begin} + length(x.m), 'spans', if({keep}, array_append(a.spans, {span}), a.spans)), a -> a.spans)"
+        f"(a, x) -> named_struct('pos', {begin} + length(x.m), 'spans', if(x.m is not null and {keep}, array_append(a.spans, {span}), a.spans)), a -> a.spans)"
     )
 
 
