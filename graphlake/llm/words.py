@@ -52,7 +52,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     is_word[1:-1] = _word_chars()[cp]
     edge = np.diff(is_word)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(max(21, int(len(cp)).bit_length()))
+    up, down = _powers(max(20, int(len(cp)).bit_length()))
     sums = _sums((cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)])
     hashes = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * SEED)
     borders = np.zeros(len(texts) + 1, np.int64)
@@ -63,9 +63,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of `width` words as (hash, text index), in order; a text of fewer words, but one at least, has one."""
     n, counts = len(words), np.diff(first)
-    powers = _powers(21)[0]
+    powers = _powers(20)[0]
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
-    for j in range(width):
+    for j in range(width if n >= width else 0):
         rolled += words[j : n - width + 1 + j] * powers[j + 1]
     doc = np.repeat(np.arange(len(counts)), counts)
     inside = doc[: len(rolled)] == doc[width - 1 :] if len(rolled) else np.zeros(0, bool)

@@ -97,13 +97,15 @@ def brute_hits(docs: list[tuple[int, str]], items: list[tuple[int, str]]) -> dic
     out = {}
     for item, said in items:
         own, n = grams(said), len(words.word_hashes([said])[0])
+        if not n:
+            continue
         for doc, text in docs:
             w = words.word_hashes([text])[0]
             best = 0.0
             for i in range(len(w) - n + 1):
                 part = Counter(words.shingles(w[i : i + n], np.array([0, n]), min(5, n))[0].tolist())
                 best = max(best, sum((part & own).values()) / sum((part | own).values()))
-            if n and best >= 0.8:
+            if best >= 0.8:
                 out[doc, item] = best
     return out
 
