@@ -693,7 +693,7 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "dead_nodes": (q_dead_nodes, f"SELECT {_id('Customer', 'c_custkey')} AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "bfs_minhop": (q_bfs_minhop, f"{_BFS} SELECT seed, CAST(1 AS INT) AS hop, count(*) AS n FROM h1 GROUP BY 1 UNION ALL SELECT seed, 2, count(*) FROM h2 GROUP BY 1 UNION ALL SELECT seed, 3, count(*) FROM h3 GROUP BY 1"),
     "trace_risk": (q_trace_risk, _TRACE),
-    "call_depth": (q_call_depth, None),
+    "call_depth": (q_call_depth, "SELECT CAST(0 AS INT) AS hop, count(*) AS n FROM customer UNION ALL SELECT 1, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) + (SELECT count(DISTINCT c_nationkey) FROM customer) UNION ALL SELECT 2, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))) + (SELECT count(DISTINCT n_regionkey) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer))"),
     "impact_summary": (q_impact, "WITH a AS (SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS c, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS h, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS m) SELECT c AS critical, h AS high, m AS medium, CAST(0 AS BIGINT) AS low, c + h + m AS total, false AS has_cross_service FROM a"),
     "search_structural": (q_search_structural, _SEARCH),
     "connected_names": (q_connected_names, f"SELECT {_id('Region', 'r_regionkey')} AS id, list_sort(list(n_name))[1:3] AS callers, CAST([] AS VARCHAR[]) AS callees FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey"),
@@ -719,7 +719,7 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "delete_cascade": (q_delete_cascade, _CASCADE),
     "dense_ids": (q_dense_ids, "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS n FROM customer) SELECT o_orderkey, n AS source_id FROM orders JOIN r ON c_custkey = o_custkey"),
     "grouped_topology": (q_grouped_topology, "SELECT l_orderkey AS source_id, 'HAS' AS type, l_suppkey AS target_id, list_sort(list(l_returnflag)) AS payloads FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 3"),
-    "tag_words": (q_tag_words, None),
+    "tag_words": (q_tag_words, "WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_type), ' ')) AS w FROM part), c AS (SELECT w FROM w GROUP BY w HAVING count(*) >= 2) SELECT id, list_sort(list(w)) AS tags FROM w JOIN c USING (w) WHERE length(w) >= 2 AND w NOT IN (" + ", ".join(f"'{x}'" for x in scalar.DECORATOR_STOPWORDS) + ") GROUP BY id"),
     "topk_per_group": (q_topk_per_group, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     "tfidf_pairs": (q_tfidf, _TFIDF),
     "event_windows": (q_event_windows, "SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
@@ -731,7 +731,7 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "tld": (q_tld, _TLD),
     "semantic_score": (q_semantic_score, None),
     "path_scalars": (q_path_scalars, _SCALARS),
-    "folder_chain": (q_folder_chain, None),
+    "folder_chain": (q_folder_chain, "WITH f AS (SELECT DISTINCT ltrim(regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1), '/') AS p FROM pages), s AS (SELECT string_split(p, '/') AS a FROM f WHERE p <> ''), i AS (SELECT a, unnest(range(1, len(a) + 1)) AS k FROM s), u AS (SELECT DISTINCT array_to_string(a[1:k - 1], '/') AS parent, array_to_string(a[1:k], '/') AS child, CASE WHEN k = len(a) THEN 'file' ELSE 'folder' END AS kind FROM i) SELECT kind, count(*) AS n FROM u GROUP BY 1"),
     "suffix_lookup": (q_suffix_lookup, f"SELECT {_id('Nation', 'n_nationkey')} AS id, 'bench.Nation.' || n_nationkey AS qualified_name FROM nation WHERE n_nationkey = 7"),
     "ids_of": (q_ids_of, f"SELECT 'bench.Nation.' || n_nationkey * 2 AS qualified_name, CASE WHEN n_nationkey * 2 < 25 THEN {_id('Nation', 'n_nationkey * 2')} ELSE 0 END AS id FROM nation"),
     "edges_by_url": (q_edges_by_url, "SELECT page_id AS source_id FROM pages WHERE contains(url, '1')"),
