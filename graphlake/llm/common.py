@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Code points handled at once inside a Python worker; bounds its memory (a longer text is a block of its own).
 BLOCK_CHARS = 1 << 20
 #: Rows and bytes that a worker gets at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +63,18 @@ def blocks(texts: list[str | None], limit: int = BLOCK_CHARS, each: int = 1) ->
         yield begin, len(texts)
 
 
+def merged(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Larger batches of at least `size` bytes each, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_CHARS, each: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their `text` column as strings; null is empty."""
     for batch in batches:
@@ -98,7 +110,8 @@ def clean_texts(docs: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """Returns freed memory to the system, which the C library would keep for the worker's next task."""
+    """Returns freed memory to the system, which allocators would keep for the worker's next task."""
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 

@@ -24,6 +24,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 24
 #: Items are taken to the executors in parts of at most so many words or items, one pass over the documents each.
 PART_WORDS, PART_ITEMS = 2_000_000, 20_000
+#: Code points searched at once.
+BLOCK = 1 << 19
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -187,7 +189,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
         def run(batches, taken=taken):
             index = taken.value
-            for batch, texts in text_blocks(batches):
+            for batch, texts in text_blocks(batches, BLOCK):
                 hits = sorted(index.search(texts), key=lambda h: (h.text, h.item))
                 names = batch.column(batch.schema.get_field_index("doc_id"))
                 yield pa.RecordBatch.from_arrays(
@@ -222,7 +224,7 @@ def _is_clean(taken):
         for column in columns:
             texts = [x or "" for x in column.to_pylist()]
             clean = np.ones(len(texts), bool)
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BLOCK):
                 clean[[a + h.text for h in taken.value.search(texts[a:b])]] = False
             yield pa.array(clean)
             give_back()

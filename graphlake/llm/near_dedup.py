@@ -111,7 +111,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, name, sketch (a byte per coordinate), bands."""
 
     def run(batches):
-        for batch, texts in text_blocks(batches, 1 << 19, PER_TEXT):
+        for batch, texts in text_blocks(batches, 1 << 18, PER_TEXT):
             gram, owner, names = _profile(texts)
             signature = signatures(gram, owner, len(texts))
             sketch = signature.astype(np.uint8)
@@ -204,7 +204,7 @@ def elements(docs: DataFrame) -> DataFrame:
     """rep, grams: each text's weighted shingles as a sorted set, in which the n-th occurrence is an element of its own."""
 
     def run(batches):
-        for batch, texts in text_blocks(batches, 1 << 19, PER_TEXT):
+        for batch, texts in text_blocks(batches, 1 << 18, PER_TEXT):
             gram, owner, _ = _profile(texts)
             order = np.lexsort((gram, owner))
             gram, owner = gram[order], owner[order]

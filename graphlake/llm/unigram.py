@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_CHARS, clean_texts, text_blocks
+from .common import clean_texts, text_blocks
 from .pretokens import MARK, Encoder, units, word_starts
 
 MARKER = "▁"
 #: An uncovered character costs so much more than the worst piece.
 UNKNOWN_COST = 10.0
+#: Encoded units that a worker remembers, twice.
+REMEMBERED = 120_000
 
 
 def _fields(data: bytes):
@@ -170,7 +172,7 @@ class Viterbi:
         a = 0
         while a < len(order):  # units of like length share a matrix of bounded size
             b, top = a + 1, max(8, int(sizes[order[a]]) * 2)
-            while b < len(order) and sizes[order[b]] <= top and (b - a) * top < 1 << 20:
+            while b < len(order) and sizes[order[b]] <= top and (b - a) * top < 1 << 18:
                 b += 1
             for i, ids in zip(order[a:b], self._batch([texts[i] for i in order[a:b]])):
                 out[i] = ids
@@ -249,9 +251,7 @@ def encoder(path: str) -> Encoder:
     def whole(texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, np.uint32) for x in viterbi([t.encode("utf-8", "surrogatepass") for t in texts])]
 
-    if viterbi.whole:
-        return Encoder(word_starts, viterbi, whole, lambda text: True)
-    return Encoder(word_starts, viterbi, whole, lambda text: MARK in text)
+    return Encoder(word_starts, viterbi, whole, (lambda text: True) if viterbi.whole else (lambda text: MARK in text), REMEMBERED)
 
 
 def encode(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +272,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch, texts in text_blocks(batches, 2 * BLOCK_CHARS):
+        for batch, texts in text_blocks(batches, 1 << 19):
             ids, counts = encode(model_path, texts)
             ends = np.concatenate(([0], np.cumsum(counts)))
             same = [decode(model_path, ids[ends[i] : ends[i + 1]]) == t for i, t in enumerate(texts)]
