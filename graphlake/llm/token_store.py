@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, Scratch, clean_texts, file_system, text_blocks
+from .common import BLOCK_CHARS, Scratch, clean_texts, file_system, merged, text_blocks
 from .pretokens import MARK, Encoder, byte_level_starts, risky
 
 MAGIC = b"GLTOKEN1"
@@ -184,7 +184,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, fold
 
     def encode(batches):
         encoder = byte_level_encoder(tokenizer_path)
-        for batch, texts in text_blocks(batches, 2 * BLOCK_CHARS):
+        for batch, texts in text_blocks(merged(batches), 2 * BLOCK_CHARS):
             ids, counts = encoder(texts)
             ends = np.concatenate(([0], np.cumsum(counts + 1)))
             out = np.full(ends[-1], end_id, "<u4")

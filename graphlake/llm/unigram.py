@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import clean_texts, text_blocks
-from .pretokens import MARK, Encoder, units, word_starts
+from .pretokens import MARK, Encoder, word_starts
 
 MARKER = "▁"
 #: An uncovered character costs so much more than the worst piece.
@@ -281,6 +281,3 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([name, pa.array(counts, pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     return clean_texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
-
-
-__all__ = ["DoubleArray", "Model", "Viterbi", "decode", "encode", "encode_documents", "load_model", "units"]
