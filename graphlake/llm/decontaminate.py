@@ -3,6 +3,8 @@
 A window has as many words as a benchmark item. Fingerprints of windows and items are compared block by block
 (multi-index hashing), which finds every item within the radius; the exact weighted similarity of five-word shingles
 then decides. Windows are hashed wherever they could share a shingle with the item, as any similar window must.
+A text of fewer words than an item is one window against it, compared exactly with every item of which it holds enough
+shingles, whatever the fingerprints say.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ class Hit:
     text: int
     item: int
     start: int
+    words: int
     distance: int
     similarity: float
 
@@ -102,12 +105,14 @@ class Index:
             text, begin = owner[at], at - place[which] - starts[owner[at]]
             # where each size is to be slid over each text: around each alignment, as far as a similar window may lie
             size = self.sizes[it]
+            has, asks = (starts[1:] - starts[:-1])[text], size - width + 1
+            short, enough = has < asks, has / asks >= SIMILARITY
+            self._whole(own, starts, width, text[short & enough], it[short & enough], at[short & enough], best)
+            text, begin, size = text[~short], begin[~short], size[~short]
             for key in np.unique(text << 32 | size):
                 t, s = int(key >> 32), int(key & 0xFFFFFFFF)
                 a, b = starts[t], starts[t + 1]
                 last = b - a - (s - width + 1)
-                if last < 0:
-                    continue
                 near = np.zeros(last + 2, np.int32)
                 mine = begin[(text == t) & (size == s)] if len(begin) < 1000 else begin[np.flatnonzero((text == t) & (size == s))]
                 mine = np.unique(mine)
@@ -117,6 +122,19 @@ class Index:
                 self._slide(own[a:b], at_start, s, width, t, best)
         return list(best.values())
 
+    def _whole(self, own: np.ndarray, starts: np.ndarray, width: int, text: np.ndarray, item: np.ndarray, at: np.ndarray, best: dict) -> None:
+        """Texts of fewer words than an item, each as one window. text, item, at: which place of `own` has a shingle of the item."""
+        places = np.unique(np.stack([text, item, at], axis=1), axis=0)
+        pairs, shared = np.unique(places[:, :2], axis=0, return_counts=True)
+        for (t, i), n in zip(pairs.tolist(), shared.tolist()):
+            grams = own[starts[t] : starts[t + 1]]
+            if n / (len(grams) + len(self.grams[i]) - n) < SIMILARITY:  # no more than n are in both
+                continue
+            similarity = self._similarity(grams, i)
+            if similarity >= SIMILARITY:
+                distance = int(np.unpackbits(fingerprints(_bits(grams).sum(axis=0)) ^ self.prints[i]).sum())
+                best[t, i] = Hit(t, i, 0, len(grams) + width - 1, distance, similarity)
+
     def _slide(self, grams: np.ndarray, starts: np.ndarray, size: int, width: int, text: int, best: dict) -> None:
         items, table = self.tables[size]
         n = size - width + 1
@@ -138,7 +156,7 @@ class Index:
                 similarity = self._similarity(grams[begin : begin + n], it)
                 old = best.get((text, it))
                 if similarity >= SIMILARITY and (old is None or (-similarity, begin) < (-old.similarity, old.start)):
-                    best[text, it] = Hit(text, it, begin, distance, similarity)
+                    best[text, it] = Hit(text, it, begin, size, distance, similarity)
 
     def _similarity(self, grams: np.ndarray, item: int) -> float:
         """Sum of minima over sum of maxima of the shingle counts."""
@@ -180,8 +198,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """doc_id, item_id, start_word, n_words, distance, similarity: the best window of each similar item in each row.
 
     Reads doc_id and text, item_id and text. Null texts and texts without words match nothing; of equal items each is
-    reported; of equally similar windows the first counts; repeated rows give repeated results. An item longer than a
-    document, in words, is not looked for in it. Empty tables give no rows.
+    reported; of equally similar windows the first counts; repeated rows give repeated results. A document of fewer words
+    than an item is one window, of n_words words. Empty tables give no rows.
     """
     out = None
     for index in parts(benchmark):
@@ -197,7 +215,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
                         names.take(pa.array([h.text for h in hits], pa.int64())),
                         pa.array([index.names[h.item] for h in hits], pa.int64()),
                         pa.array([h.start for h in hits], pa.int64()),
-                        pa.array([int(index.sizes[h.item]) for h in hits], pa.int64()),
+                        pa.array([h.words for h in hits], pa.int64()),
                         pa.array([h.distance for h in hits], pa.int32()),
                         pa.array([h.similarity for h in hits], pa.float64()),
                     ],

@@ -132,6 +132,36 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.keep_clean(spark, d, b).count() == 60 - len({k[0] for k in want})
 
 
+def test_documents_of_fewer_words_than_an_item(spark):
+    """Each such document is one window: an item cut off at its ends, or without some of its words."""
+    random.seed(12)
+    items = [(i, " ".join(random.choice([f"w{k}" for k in range(40)]) for _ in range(n))) for i, n in enumerate([50, 80, 30, 12, 9, 6, 5, 2])]
+    docs, bodies = [], [said.split() for _, said in items]
+    for body in bodies:
+        for cut in range(len(body)):
+            docs += [(len(docs), " ".join(body[: len(body) - cut])), (len(docs) + 1, " ".join(body[cut:]))]
+        for lost in range(1, 4):
+            keep = sorted(random.sample(range(len(body)), max(len(body) - lost, 0)))
+            docs.append((len(docs), " ".join(body[k] for k in keep)))
+    want = {}
+    for item, said in items:
+        size, width = len(said.split()), min(5, len(said.split()))
+        for doc, text in docs:
+            w = words.word_hashes([text])[0]
+            for i in range(max(len(w) - size, 0) + 1 if len(w) >= width else 0):
+                n = min(size, len(w))
+                part, own = Counter(words.shingles(w[i : i + n], np.array([0, n]), width)[0].tolist()), grams(said)
+                similarity = sum((part & own).values()) / sum((part | own).values())
+                if similarity >= 0.8 and similarity > want.get((doc, item), (0,))[0]:
+                    want[doc, item] = similarity, i, n
+    assert sum(n < len(items[item][1].split()) for (_, item), (_, _, n) in want.items()) > 50
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in decontaminate.contaminated(spark, d, b).collect()}
+    assert {k: (round(v[0], 9), *v[1:]) for k, v in got.items()} == {k: (round(v[0], 9), *v[1:]) for k, v in want.items()}
+    dirty = {doc for doc, _ in want}
+    assert {r.doc_id for r in decontaminate.keep_clean(spark, d, b).collect()} == {doc for doc, _ in docs} - dirty
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, (300, 8), dtype=np.uint8)
