@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .lineage import cut
 
 #: A prime; permutation k of a hash h below 2**28 is (a_k h + b_k) mod PRIME, exact in 64-bit integers.
 PRIME = 2147483647
@@ -171,6 +172,41 @@ def hyperplane_signature(vector: Column, dimensions: int, planes: int = 64) -> C
     return F.array(*((d >= 0).cast("int") for d in dots))
 
 
+#: Rows of a block of vectors, and of it compared at once.
+BLOCK, SLICE = 4096, 512
+
+
+def banded_cosines(vectors: DataFrame, dimensions: int, least: float, planes: int = 64, n_bands: int = 16) -> DataFrame:
+    """a, b, score: cosines of `least` (over 0) or more, of all pairs a < b whose signatures share a band. vectors: id, vector.
+
+    A bucket of a few bits holds a large part of all rows. So rows are dealt into blocks, and each two blocks meet in
+    one task, in place of a join of every bucket with itself; no bucket is passed over. Null vectors are in no pair.
+    """
+    own = vectors.filter("vector is not null").select("id", "vector", F.array_join(hyperplane_signature(F.col("vector"), dimensions, planes), "").alias("bits"))
+    n = max(1, -(-vectors.count() // BLOCK))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        ids, block = part["id"].to_numpy(), part["block"].to_numpy()
+        v = np.stack(part["vector"].to_list()).astype(float)
+        norms = np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.divide(v, norms, out=np.zeros_like(v), where=norms > 0)
+        bits = np.frombuffer("".join(part["bits"]).encode(), np.uint8).reshape(len(part), n_bands, -1) & 1
+        bands = bits @ (1 << np.arange(bits.shape[2]))
+        left, right = np.flatnonzero(block == part["i"].iloc[0]), np.flatnonzero(block == part["j"].iloc[0])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for k in range(0, len(left), SLICE):
+            cosines = v[left[k : k + SLICE]] @ v[right].T
+            x, y = np.nonzero(cosines >= least)
+            score, x, y = cosines[x, y], left[k + x], right[y]
+            keep = (bands[x] == bands[y]).any(axis=1) & ((block[x] != block[y]) | (ids[x] < ids[y]))
+            out.append((np.minimum(ids[x], ids[y])[keep], np.maximum(ids[x], ids[y])[keep], score[keep]))
+        return pd.DataFrame(dict(zip(("a", "b", "score"), map(np.concatenate, zip(*out)))))
+
+    return cut(own.groupBy("i", "j").applyInPandas(run, "a bigint, b bigint, score double"))
+
+
 def path_proximity(a: Column, b: Column) -> Column:
     """1 + 0.1 x the shared leading folders over the deeper path's folders."""
 

@@ -548,13 +548,11 @@ _TLD = "SELECT p_partkey AS id, CAST(sum(p_size % 4) OVER (PARTITION BY (p_partk
 
 
 def q_semantic_score(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").filter("id < 200")
-    signed = v.select("id", F.array_join(similarity.hyperplane_signature(F.col("embedding"), 64, 16), "").alias("s"))
-    banded = signed.select("id", F.explode(F.array(*(F.concat(F.lit(f"{i}:"), F.substr("s", F.lit(i * 4 + 1), F.lit(4))) for i in range(4)))).alias("k"))
-    pairs = banded.alias("x").join(banded.alias("y"), "k").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = pairs.join(v.select(F.col("id").alias("a"), F.col("embedding").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("embedding").alias("vb")), "b")
-    score = scalar.cosine(F.col("va"), F.col("vb"))
-    own = both.select("a", "b", score.alias("index"), score.alias("tfidf"), score.alias("api"), score.alias("type"), score.alias("decorator"), score.alias("profile"), F.lit(0.0).alias("minhash"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    # the table has one signal, which stands for all but minhash
+    signals = [x for x in similarity.WEIGHTS if x != "minhash"]
+    least = 0.3 / sum(similarity.WEIGHTS[x] for x in signals) - 1e-9
+    own = similarity.banded_cosines(v, 64, least).select("a", "b", *(F.col("score").alias(x) for x in signals), F.lit(0.0).alias("minhash"))
     return similarity.semantic_edges(own.select("a", "b", similarity.combined_score().alias("score")), 0.3, 10)
 
 

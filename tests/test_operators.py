@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphlake import queries
 from graphlake.functions import scalar
 from graphlake.operators import arch, communities, derive, dml, incremental, search, similarity, traverse
 from graphlake.schema import EDGE, NODE
@@ -239,6 +240,34 @@ def test_semantic_budget(spark):
     assert sorted((r.a, r.b) for r in got) == [(0, i) for i in range(1, 11)] + [(1, 2)]
 
 
+def test_semantic_score_equals_brute_force(spark, tmp_path, monkeypatch):
+    """Over all rows, in several blocks, with every pair that shares one of 16 bands of 4 planes."""
+    monkeypatch.setattr(similarity, "BLOCK", 90)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(260, 64)) + 1.1 * rng.normal(size=(6, 64))[rng.integers(0, 6, 260)]
+    v[17] = 0
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v, x, planes = v.astype(np.float32).astype(float), 7, np.zeros((64, 64))
+    for p in range(64):
+        for d in range(64):
+            x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+            planes[p, d] = 1 if x >> 63 else -1
+    bits = (v @ planes.T >= 0).reshape(260, 16, 4)
+    pairs = []
+    for a in range(260):
+        for b in range(a + 1, 260):
+            score = 0.85 * float(v[a] @ v[b]) / max(float(np.linalg.norm(v[a]) * np.linalg.norm(v[b])), 1e-12)
+            if score >= 0.3 and (bits[a] == bits[b]).all(axis=1).any():
+                pairs.append((-score, a, b))
+    used, want = [0] * 260, {}
+    for score, a, b in sorted(pairs):
+        if used[a] < 10 and used[b] < 10:
+            used[a], used[b], want[a, b] = used[a] + 1, used[b] + 1, -score
+    got = {(r.a, r.b): r.score for r in queries.QUERIES["semantic_score"](spark, str(tmp_path)).collect()}
+    assert len(pairs) > len(want) > 200 and max(b for _, b in want) >= 200
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_vectors_of_tokens(spark):
     t = spark.createDataFrame([(d, p, w) for d, text in enumerate(["get user name", "get user mail", "draw red box"]) for p, w in enumerate(text.split())], "doc int, pos int, token string")
     v = {r.token: np.array(r.vector) for r in similarity.token_vectors(t, 32).collect()}
