@@ -62,4 +62,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_token_store, op3_sharding, op4_chat, op5_exact_dedup, op6_language_id, op7_decontaminate, op8_token_count, op9_unigram, op10_near_dedup)
 }
-ORACLE_SQL = {"op4_chat": chat.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op1_pii": pii.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
