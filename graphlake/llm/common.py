@@ -18,11 +18,16 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that all executors and the driver see: spark.checkpoint.dir, or a new local one where that is unset.
+
+    On a cluster the setting must be there: nobody shares a folder of the driver's machine.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphlake-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -40,10 +45,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
         """Only for tables that no frame still reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -65,11 +65,23 @@ class EliasFano:
             low |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << j
         return (position - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1, dtype=np.int64) if self.low_bits else 0
-        return ((ones - np.arange(self.n)) << self.low_bits) + low
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """The i-th to (j - 1)-th values: from the sample before i to the sample behind j, whatever the sequence's length."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        sample, behind = i // SAMPLE, -(-j // SAMPLE)
+        begin = int(self.samples[sample]) >> 3
+        end = (int(self.samples[behind]) >> 3) + 1 if behind < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + begin * 8
+        ones = ones[ones >= int(self.samples[sample])][i - sample * SAMPLE : j - sample * SAMPLE]
+        if not self.low_bits:
+            return ones - np.arange(i, j)
+        first, last = i * self.low_bits, j * self.low_bits
+        bits = np.unpackbits(self.low[first >> 3 : (last + 7) >> 3], bitorder="little")[first & 7 :][: last - first].reshape(j - i, self.low_bits)
+        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1, dtype=np.int64)
+        return ((ones - np.arange(i, j)) << self.low_bits) + low
 
     def parts(self) -> list[bytes]:
         return [self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]
@@ -134,16 +146,34 @@ class Reader:
         a, b = self.ends.select(i), self.ends.select(i + 1)
         return np.frombuffer(self.file.read_at((b - a) * self.width, len(MAGIC) + a * self.width), self.about["dtype"])
 
-    def documents(self, block: int = 1 << 22) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, first token, ids) of all documents; some `block` tokens are read at once."""
-        ends, names = self.ends.all(), self.names.all() + self.about["base"]
-        nulls, i = self.about["nulls"], 0
-        while i < self.about["docs"]:
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + block, "right")) - 1)
-            data = np.frombuffer(self.file.read_at(int(ends[j] - ends[i]) * self.width, len(MAGIC) + int(ends[i]) * self.width), self.about["dtype"])
-            for k in range(i, j):
-                yield (None if k < nulls else int(names[k - nulls])), int(ends[k]), data[ends[k] - ends[i] : ends[k + 1] - ends[i]]
-            i = j
+    def find(self, doc_id: int) -> int:
+        """The place of the first document with this id, by binary search over select; the number of documents if there is none."""
+        nulls, base = self.about["nulls"], self.about["base"]
+        low, high = 0, self.names.n
+        while low < high:
+            middle = (low + high) // 2
+            if self.names.select(middle) + base < doc_id:
+                low = middle + 1
+            else:
+                high = middle
+        found = low < self.names.n and self.names.select(low) + base == doc_id
+        return low + nulls if found else self.about["docs"]
+
+    def documents(self, block: int = 1 << 22, docs: int = 4096) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, first token, ids) of all documents; boundaries of `docs` documents are selected and some `block` tokens read at once."""
+        nulls, n = self.about["nulls"], self.about["docs"]
+        for a in range(0, n, docs):
+            b = min(a + docs, n)
+            ends = self.ends.select_range(a, b + 1)
+            names = self.names.select_range(max(a - nulls, 0), max(b - nulls, 0)) + self.about["base"]
+            names = [None] * (b - a - len(names)) + names.tolist()
+            i = 0
+            while i < b - a:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + block, "right")) - 1)
+                data = np.frombuffer(self.file.read_at(int(ends[j] - ends[i]) * self.width, len(MAGIC) + int(ends[i]) * self.width), self.about["dtype"])
+                for k in range(i, j):
+                    yield names[k], int(ends[k]), data[ends[k] - ends[i] : ends[k + 1] - ends[i]]
+                i = j
 
 
 @cache
@@ -225,7 +255,11 @@ def _vocabulary(path: str, end_id: int) -> int:
 
 
 def read_tokens(listed: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in the listed files."""
+    """doc_id, start, n_tokens, ids_crc32 of each document in the listed files.
+
+    Reads path and first, whatever other columns the list has. Repeated and null doc_ids give a row each; a document
+    without text has its end id alone; a very long one is read at once, others in blocks. An empty list gives no rows.
+    """
 
     def read(batches):
         for batch in batches:
