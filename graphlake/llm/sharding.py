@@ -5,6 +5,7 @@ shard where most of its group is, as far as the shards' quotas of rows allow; do
 quotas turn away, fill the shards up. The row counts of the shards differ by one at most.
 
 The state of a round is a table of cells (group part, first shard, shard, rows): documents that share one move together.
+Groups that fit into a shard are one part; only what no shard could hold is split.
 """
 
 from __future__ import annotations
@@ -76,26 +77,42 @@ def _lookup(values: dict, default, *keys: Column) -> Column:
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked for each row.
 
-    Reads doc_id and text. size is the text's UTF-8 bytes (null: none) plus 8; null and empty texts are equal. Law
-    `rows`: the shards' row counts differ by one at most; grown_shard is null. Repeated rows are rows of their own,
-    null doc_ids are allowed. A group larger than half a shard is split into parts that move on their own. An empty
+    Reads doc_id and text, whatever other columns there are. size is the text's UTF-8 bytes (null: none) plus 8; null and
+    empty texts are equal; a very long text is one row like any other. Law `rows`: the shards' row counts differ by one at
+    most; grown_shard is null. Repeated rows are rows of their own, null doc_ids are allowed. A group of more rows than the
+    smallest shard holds cannot stay together: it is split into parts of a shard's size at most, which move on their own.
+    Of shards with as many neighbours a hash decides; after `rounds` rounds what still moves stays where it is. An empty
     table gives no rows.
     """
     scratch = Scratch(spark, "shards")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("text"))
-    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "raw")
     total = rows.count()
     cap = {s: total // shards + (s < total % shards) for s in range(shards)}
     least = max(1, total // shards)
-    groups = rows.groupBy("text").count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") * 2 / least).cast("int")).select("text", "parts")
-    linked = rows.join(groups, "text").select("row", "text", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"), F.pmod(F.xxhash64("row", "text"), F.lit(shards)).cast("int").alias("first"))
-    linked = scratch.keep(linked, "linked")
-    cells = scratch.keep(linked.groupBy("text", "part", "first").agg(F.count("*").alias("n")).withColumn("shard", F.col("first")), "cells-0")
+    # no more groups than shards can be larger than a shard, but in tables of fewer rows than shards, where none is split
+    sizes = scratch.keep(rows.groupBy("text").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    large = {r.text.hex(): -(-r.n // least) for r in sizes.filter(F.col("n") > least).collect()} if total >= shards else {}
+    parts = _lookup(large, 1, F.lower(F.hex("text")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).withColumn("first", F.pmod(F.xxhash64("row", "text"), F.lit(shards)).cast("int"))
+    # rows of a group meet in cells: a hot text is as many keys as it has parts and first shards
+    every = rows.groupBy("text", "part", "first").agg(F.count("*").alias("n"))
+    cells = scratch.keep(every.join(sizes.select("text"), "text", "left_semi").withColumn("shard", F.col("first")), "cells-0")
     for step in range(1, rounds + 1):
+        load = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        room = {s: max(cap[s] - load.get(s, 0), 0) for s in range(shards)}
         here = cells.groupBy("text", "part", "shard").agg(F.sum("n").alias("m"))
-        # of shards with as many neighbours, the text's own hash decides
-        best = here.groupBy("text", "part").agg(F.max_by("shard", F.struct("m", F.xxhash64("text", "part", "shard"))).alias("to"))
+        whole = here.groupBy("text", "part").agg(F.sum("m").alias("whole"))
+        # towards the shard of the most neighbours among those that have room for all of them; of as many, the text's own
+        # hash decides. Where none has, all go to a shard drawn by room.
+        fits = F.col("m") + _lookup(room, 0, F.col("shard")) >= F.col("whole")
+        here = here.join(whole, ["text", "part"]).withColumn("fits", fits)
+        best = here.groupBy("text", "part").agg(F.max_by(F.struct("shard", "fits"), F.struct("fits", "m", F.xxhash64("text", "part", "shard"))).alias("best"))
+        ends = [sum(room[k] for k in range(s + 1)) for s in range(shards)]
+        drawn = F.pmod(F.xxhash64("text", "part", F.lit(step)), F.lit(max(ends[-1], 1)))
+        other = F.least(F.size(F.filter(F.array(*(F.lit(e) for e in ends)), lambda e: e <= drawn)), F.lit(shards - 1)).cast("int")
+        best = best.select("text", "part", F.when(F.col("best.fits"), F.col("best.shard")).otherwise(other).alias("to"))
         asked = scratch.keep(cells.join(best, ["text", "part"]), f"asked-{step}")
         sums = asked.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # shards x shards rows
         loads: dict[int, int] = {}
@@ -108,9 +125,12 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
         draw = F.pmod(F.xxhash64("text", "part", "shard", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
         moves = (F.col("shard") != F.col("to")) & (draw < _lookup(share, 0.0, F.col("shard"), F.col("to")))
         cells = scratch.keep(asked.select("text", "part", "first", "n", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")), f"cells-{step}")
-    placed = linked.join(cells.drop("n"), ["text", "part", "first"]).select("row", F.col("shard").alias("wish"), F.xxhash64("text", "part").alias("order"))
+        scratch.drop(f"cells-{step - 1}", f"asked-{step}")
     over = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    wanted = rows.join(placed, "row", "left")
+    placed = cells.select("text", "part", "first", F.col("shard").alias("wish"))
+    wanted = rows.join(placed, ["text", "part", "first"], "left").withColumn("order", F.when(F.col("wish").isNotNull(), F.xxhash64("text", "part")))
+    wanted = scratch.keep(wanted.drop("text", "part", "first"), "wanted")
+    scratch.drop("raw", "sizes")
     if any(n > cap[s] for s, n in over.items()):
         # A quota was drawn too full: what lies beyond a shard's capacity, by rank, is placed like a document without links.
         ranked = _rank(scratch, wanted.filter("wish is not null"), ["wish"], ["order", "row"], "ranked")
@@ -126,3 +146,16 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
     out = out.select("doc_id", "size", "text_crc32", "shard", "row", F.col("order").isNotNull().alias("linked"))
     out = _rank(scratch, out, ["shard"], ["row"], "slots")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "linked")
+
+
+def cut_links(groups: DataFrame) -> DataFrame:
+    """One row: links, cut. The pairs of rows of a group, and those of them whose rows are in different shards.
+
+    groups: text, shard, one row for each document; any other columns may stand beside them. Null texts are one group.
+    Pairs are counted from the groups' sizes, none is made.
+    """
+    here = groups.groupBy("text", "shard").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    each = here.groupBy("text").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("kept"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    every, kept = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), zero), F.coalesce(F.sum("kept"), zero)
+    return each.agg((every / 2).cast("bigint").alias("links"), ((every - kept) / 2).cast("bigint").alias("cut"))
