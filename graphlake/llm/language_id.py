@@ -23,8 +23,9 @@ from .words import mix
 
 #: Hashed n-gram features.
 FEATURES = 1 << 13
-#: Labelled texts per language that the classifier is fitted on, at most; languages, at most.
-SAMPLE, LANGUAGES = 400, 200
+#: Labelled texts that the classifier is fitted on, at most: of each language, and of all together. More languages than
+#: TEXTS are refused.
+SAMPLE, TEXTS = 400, 4000
 CENTROIDS = 4
 #: A text takes as much room as so many characters, whatever its length.
 PER_TEXT = 4096
@@ -35,17 +36,19 @@ UNKNOWN = "und"
 
 @cache
 def _letters() -> np.ndarray:
-    return np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), np.bool_, 0x110000)
+    """2 for letters, 1 for the marks that stand on them, else 0."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8, 0x110000)
 
 
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram counts (texts x FEATURES) and the number of letters. Anything but letters is one space."""
+    """N-gram counts (texts x FEATURES) and the number of letters. Anything but letters and marks is one space."""
     lower = [t.lower().replace(MARK, " ") for t in texts]
     cp = np.frombuffer(MARK.join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     border = cp == ord(MARK)
-    letter = _letters()[cp]
+    kind = _letters()[cp]
+    letter = kind > 0
     doc = np.cumsum(border) - border
-    n_letters = np.bincount(doc[letter], minlength=len(texts))
+    n_letters = np.bincount(doc[kind == 2], minlength=len(texts))
     keep = letter | border
     keep[1:] |= letter[:-1]  # the first of what stands between letters
     code = np.where(letter, cp, 32).astype(np.uint64)[keep]
@@ -136,17 +139,30 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(crc == 0, F.lit(False)))
 
 
-def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled texts of each language, those with the smallest hashes of their doc_ids.
+def sample_of(docs: DataFrame, sample: int = SAMPLE, texts: int = TEXTS) -> DataFrame:
+    """doc_id, lang of the documents that are learnt from: of each language those with the smallest hashes of their ids.
 
-    Only documents with doc_id, lang and text that are not held out are learnt from. No more than LANGUAGES
-    languages are taken, the first in alphabetical order.
+    Only documents with doc_id, lang and a letter in their text that are not held out are taken. Each language gives
+    `sample` of them at most, or as many fewer as leave all languages their share of `texts`; none is left out, and
+    more languages than `texts` raise ValueError. Languages are counted first, and of a large one only the rows with
+    small hashes are ranked, some twice as many as are wanted, so no task gets more of it than that.
     """
-    known = held_out(docs.select("doc_id", "lang")).filter("not held_out and lang is not null and doc_id is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).filter(F.col("rank") <= sample).select("doc_id", "lang")
-    ids = chosen.dropDuplicates(["doc_id"]).orderBy("lang", "doc_id").limit(sample * LANGUAGES)  # the bound that makes the broadcast safe
-    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")
+    known = held_out(docs.select("doc_id", "lang", "text")).filter(r"not held_out and lang is not null and doc_id is not null and text rlike '\\p{L}'").select("doc_id", "lang")
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(texts + 1).collect()
+    if len(sizes) > texts:
+        raise ValueError(f"more than {texts} languages")
+    each = min(sample, texts // max(1, len(sizes)))
+    limits = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (2.0 * each + 100) / max(r.n, 1))) for r in sizes], "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    small = known.join(F.broadcast(limits), "lang").filter(place < F.col("share")).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id"))
+    return small.withColumn("rank", rank).filter(F.col("rank") <= each).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+
+
+def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits on a bounded sample of each language, see sample_of; of rows that repeat a doc_id no more than its share is used."""
+    ids = spark.createDataFrame(sample_of(docs, sample).collect(), "doc_id bigint, lang string")  # TEXTS rows at most, sent to all executors
+    texts = docs.select("doc_id", F.col("lang").alias("told"), "text").filter(r"text rlike '\\p{L}'").join(F.broadcast(ids), "doc_id").filter("told = lang")
 
     def features(batches):
         for batch, texts in text_blocks(batches, 1 << 19, PER_TEXT):
@@ -158,10 +174,9 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([ids, langs, *data, pa.array(letters, pa.int64())], ["doc_id", "lang", "found", "letters"])
 
     bounded(spark)
-    rows = texts.select("doc_id", "lang", "text").mapInArrow(features, "doc_id bigint, lang string, found binary, letters bigint").collect()
-    rows = sorted((r for r in rows if r.letters), key=lambda r: (r.lang, r.doc_id, r.found))
-    taken: dict[str, int] = {}
-    rows = [r for r in rows if taken.setdefault(r.lang, 0) < sample and not taken.update({r.lang: taken[r.lang] + 1})]  # repeated doc_ids
+    rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of repeated doc_ids the smallest text
+    rows = rows.mapInArrow(features, "doc_id bigint, lang string, found binary, letters bigint").collect()
+    rows = sorted((r for r in rows if r.letters), key=lambda r: (r.lang, r.doc_id))
     found = np.zeros((len(rows), FEATURES), np.float32)
     for row, r in zip(found, rows):
         half = len(r.found) // 2
@@ -189,8 +204,9 @@ def predictor(spark: SparkSession, docs: DataFrame, model: Model | None = None):
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All columns of docs, but for those of the same names, with lang_pred, score and rejected.
 
-    Predictions come from the text alone. A null text, or one without a letter, is `und` with score 0 and rejected;
-    so is everything where no document could be learnt from. Repeated rows give repeated results; an empty table none.
+    Predictions come from the text alone, whole and of any length. A null text, or one without a letter, is `und` with
+    score 0 and rejected; so is everything where no document could be learnt from. Of equally near centroids the first
+    counts, in order of languages. Repeated rows give repeated results; an empty table none.
     """
     name, new = free_name(docs, "_found"), ("lang_pred", "score", "rejected")
     found = docs.withColumn(name, predictor(spark, docs, model)("text"))
@@ -198,6 +214,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
 
 
 def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns as they are."""
+    """The rows of docs that are not rejected, with all their columns as they are, those named like a result's too."""
     name = free_name(docs, "_found")
     return docs.withColumn(name, predictor(spark, docs)("text")).filter(f"not {name}.rejected").drop(name)
