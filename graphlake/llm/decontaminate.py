@@ -1,10 +1,12 @@
 """Benchmark decontamination with SimHash windows.
 
-A window has as many words as a benchmark item. Fingerprints of windows and items are compared block by block
-(multi-index hashing), which finds every item within the radius; the exact weighted similarity of five-word shingles
-then decides. Windows are hashed wherever they could share a shingle with the item, as any similar window must.
-A text of fewer words than an item is one window against it, compared exactly with every item of which it holds enough
-shingles, whatever the fingerprints say.
+A window has as many words as a benchmark item. The n-th occurrence of a five-word shingle in a window or an item is an
+element of its own, so their weighted similarity is that of two sets. Fingerprints of windows and items are compared
+block by block (multi-index hashing): of two fingerprints within the radius a certain number of blocks must nearly
+agree, and a table for each block tells which items nearly agree with each value of it. The exact similarity then decides.
+
+Only windows are hashed that could be similar to some item: most of their shingles must be an item's. A text of fewer
+words than an item is one window against it.
 """
 
 from __future__ import annotations
@@ -19,25 +21,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded, clean_texts, give_back, text_blocks
-from .words import shingles, word_hashes
+from .words import SEED, mix, occurrences, shingles, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Fingerprints have 64 bits in so many blocks; those within RADIUS have a block within RADIUS // BLOCKS.
-BLOCKS, RADIUS = 8, 24
-#: Items are taken to the executors in parts of at most so many words or items, one pass over the documents each.
+#: Two sets of as many elements and similarity 0.8 differ in 15 % of all bits, 39 of 256; RADIUS is 5 standard deviations above.
+BITS, RADIUS = 256, 68
+#: Blocks of 8 bits. Of fingerprints within RADIUS at most RADIUS // (NEAR + 1) blocks differ in more than NEAR bits.
+BLOCKS, NEAR = 32, 2
+AGREEING = BLOCKS - RADIUS // (NEAR + 1)
+#: Items are taken to the executors in parts of at most so many words or items, one pass over the documents each: 16 MB of
+#: shingles and 20 MB of block tables.
 PART_WORDS, PART_ITEMS = 2_000_000, 20_000
-#: Code points searched at once.
-BLOCK = 1 << 19
+#: Code points searched at once; shingles whose bits are summed at once; windows x words of the tables compared at once.
+BLOCK, SUMMED, COMPARED = 1 << 19, 1 << 13, 1 << 18
+
+
+def _bits(elements: np.ndarray) -> np.ndarray:
+    """The 256 hash bits of each element."""
+    words = mix(elements[:, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * SEED)
+    return np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(elements), BITS // 8), axis=1)
+
 
+def fingerprints(sums: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """32 bytes of majority bits from sums of the bits of n elements each."""
+    return np.packbits(2 * sums > n, axis=-1)
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """Each hash as 64 votes of 1 or -1."""
-    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
+def fingerprint(grams: np.ndarray) -> np.ndarray:
+    """Of the elements of one window or item."""
+    elements, _ = occurrences(grams, np.zeros(len(grams), np.int64))
+    return fingerprints(_bits(elements).sum(axis=0, dtype=np.int64), len(elements))
 
-def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """The sign bits of vote sums as 8 bytes each."""
-    return np.packbits(sums > 0, axis=-1)
+
+def least_shared(a: int, b: int) -> int:
+    """So many elements must two similar sets of a and b elements share."""
+    return int(np.ceil(SIMILARITY * (a + b) / (1 + SIMILARITY) - 1e-9))
 
 
 @dataclass(frozen=True)
@@ -51,122 +69,160 @@ class Hit:
 
 
 class Index:
-    """The items of one part, by their word counts."""
+    """The items of one part, in order of shingle width (5, or less for shorter items) and word count."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         words, first = word_hashes([t for _, t in items])
         sizes = np.diff(first)
-        keep = [i for i in range(len(items)) if sizes[i]]
-        self.names = [items[i][0] for i in keep]
-        self.sizes = sizes[keep]
+        order = [int(i) for i in np.lexsort((sizes, np.minimum(sizes, WIDTH))) if sizes[i]]
+        self.names = [items[i][0] for i in order]
+        self.sizes = sizes[order]
+        self.widths = np.minimum(self.sizes, WIDTH)
         self.grams = []
-        for i in keep:
+        for i, width in zip(order, self.widths):
             own = words[first[i] : first[i + 1]]
-            self.grams.append(shingles(own, np.array([0, len(own)]), min(WIDTH, len(own)))[0])
-        self.prints = np.stack([fingerprints(_bits(g).sum(axis=0)) for g in self.grams]) if keep else np.zeros((0, 8), np.uint8)
-        self.counts = [dict(zip(*(x.tolist() for x in np.unique(g, return_counts=True)))) for g in self.grams]
+            self.grams.append(shingles(own, np.array([0, len(own)]), int(width))[0])
+        self.prints = np.stack([fingerprint(g) for g in self.grams]) if order else np.zeros((0, BITS // 8), np.uint8)
+
+    @cached_property
+    def elements(self) -> list[np.ndarray]:
+        return [np.sort(occurrences(g, np.zeros(len(g), np.int64))[0]) for g in self.grams]
 
     @cached_property
-    def by_width(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each shingle width (5, or less for shorter items): sorted shingles, their items and places, and a filter."""
+    def by_width(self) -> dict[int, tuple[int, int, np.ndarray, np.ndarray]]:
+        """For each shingle width: from which item to which, all their shingles, and a filter of hashes."""
         out = {}
-        for width in sorted({min(WIDTH, int(n)) for n in self.sizes}):
-            mine = [i for i, n in enumerate(self.sizes) if min(WIDTH, n) == width]
-            gram = np.concatenate([self.grams[i] for i in mine])
-            item = np.repeat(mine, [len(self.grams[i]) for i in mine])
-            place = np.concatenate([np.arange(len(self.grams[i])) for i in mine])
-            order = np.argsort(gram, kind="stable")
+        for width in np.unique(self.widths):
+            a, b = np.searchsorted(self.widths, [width, width + 1])
+            gram = np.unique(np.concatenate(self.grams[a:b]))
             seen = np.zeros(1 << 22, bool)
             seen[gram & np.uint64((1 << 22) - 1)] = True
-            out[width] = gram[order], item[order], place[order], seen
+            out[int(width)] = int(a), int(b), gram, seen
         return out
 
     @cached_property
-    def tables(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """For each word count: its items, and for each block and byte whether each item's block is near that byte."""
-        near = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8), axis=0).reshape(256, 8, 256).sum(axis=1) <= RADIUS // BLOCKS
-        return {int(n): (mine := np.flatnonzero(self.sizes == n), np.stack([near[:, self.prints[mine, b]] for b in range(BLOCKS)])) for n in np.unique(self.sizes)}
+    def tables(self) -> np.ndarray:
+        """For each block and each of its 256 values: a bit for every item whose block differs from it in NEAR bits at most."""
+        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= NEAR
+        n = len(self.prints)
+        out = np.zeros((BLOCKS, 256, -(-n // 64) * 8), np.uint8)
+        for b in range(BLOCKS):
+            bits = np.packbits(near[:, self.prints[:, b]], axis=1, bitorder="little")
+            out[b, :, : bits.shape[1]] = bits
+        return out.view(np.uint64)
+
+    def candidates(self, prints: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) where enough blocks nearly agree, among the items from low to high."""
+        a, b = low // 64, -(-high // 64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, COMPARED // (b - a))
+        for s in range(0, len(prints), step):
+            part = prints[s : s + step]
+            planes = [np.zeros((len(part), b - a), np.uint64) for _ in range(BLOCKS.bit_length())]
+            for block in range(BLOCKS):  # adds one bit to each item's count, which lies across the planes
+                carry = self.tables[block, part[:, block], a:b]
+                for k, plane in enumerate(planes):
+                    planes[k], carry = plane ^ carry, plane & carry
+            enough, equal = np.zeros_like(planes[0]), np.full_like(planes[0], np.iinfo(np.uint64).max)
+            for k in reversed(range(len(planes))):
+                if AGREEING >> k & 1:
+                    equal &= planes[k]
+                else:
+                    enough |= equal & planes[k]
+                    equal &= ~planes[k]
+            bits = np.unpackbits((enough | equal).view(np.uint8), axis=1, bitorder="little")[:, low - a * 64 : high - a * 64]
+            window, item = np.nonzero(bits)
+            found.append((window + s, item + low))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def search(self, texts: list[str]) -> list[Hit]:
         """The best window of each similar item in each text."""
         words, first = word_hashes(texts)
         best: dict[tuple[int, int], Hit] = {}
-        for width, (gram, item, place, seen) in self.by_width.items():
+        for width, (low, high, gram, seen) in self.by_width.items():
             own, owner = _all_windows(words, first, width)
             maybe = np.flatnonzero(seen[own & np.uint64((1 << 22) - 1)])
-            left, right = np.searchsorted(gram, own[maybe], "left"), np.searchsorted(gram, own[maybe], "right")
-            maybe, left, right = maybe[left < right], left[left < right], right[left < right]
-            if not len(maybe):
+            marked = maybe[gram[np.minimum(np.searchsorted(gram, own[maybe]), len(gram) - 1)] == own[maybe]]
+            if not len(marked):
                 continue
             starts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            n = right - left
-            which = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at, it = np.repeat(maybe, n), item[which]
-            text, begin = owner[at], at - place[which] - starts[owner[at]]
-            # where each size is to be slid over each text: around each alignment, as far as a similar window may lie
-            size = self.sizes[it]
-            has, asks = (starts[1:] - starts[:-1])[text], size - width + 1
-            short, enough = has < asks, has / asks >= SIMILARITY
-            self._whole(own, starts, width, text[short & enough], it[short & enough], at[short & enough], best)
-            text, begin, size = text[~short], begin[~short], size[~short]
-            for key in np.unique(text << 32 | size):
-                t, s = int(key >> 32), int(key & 0xFFFFFFFF)
-                a, b = starts[t], starts[t + 1]
-                last = b - a - (s - width + 1)
-                near = np.zeros(last + 2, np.int32)
-                mine = begin[(text == t) & (size == s)] if len(begin) < 1000 else begin[np.flatnonzero((text == t) & (size == s))]
-                mine = np.unique(mine)
-                np.add.at(near, np.clip(mine - s, 0, last + 1), 1)
-                np.add.at(near, np.clip(mine + s + 1, 0, last + 1), -1)
-                at_start = np.flatnonzero(np.cumsum(near)[: last + 1] > 0)
-                self._slide(own[a:b], at_start, s, width, t, best)
+            sizes = self.sizes[low:high] - width + 1
+            for n in np.unique(sizes).tolist():
+                at = _dense(marked, owner, starts, n, least_shared(n, n))
+                if len(at):
+                    a, b = np.searchsorted(sizes, [n, n + 1])
+                    self._verify(own, owner, starts, at, n, width, low + int(a), low + int(b), best)
+            # whole texts of fewer shingles than an item
+            has, held = np.diff(starts), np.bincount(owner[marked], minlength=len(texts))
+            for t in np.flatnonzero((has > 0) & (held * (1 + SIMILARITY) >= SIMILARITY * (2 * has + 1) - 1e-9)).tolist():
+                n = int(has[t])
+                most = min(n / SIMILARITY, held[t] * (1 + SIMILARITY) / SIMILARITY - n) + 1e-9
+                a, b = np.searchsorted(sizes, [n + 1, int(most) + 1])
+                if a < b:
+                    self._verify(own, owner, starts, starts[t : t + 1], n, width, low + int(a), low + int(b), best)
         return list(best.values())
 
-    def _whole(self, own: np.ndarray, starts: np.ndarray, width: int, text: np.ndarray, item: np.ndarray, at: np.ndarray, best: dict) -> None:
-        """Texts of fewer words than an item, each as one window. text, item, at: which place of `own` has a shingle of the item."""
-        places = np.unique(np.stack([text, item, at], axis=1), axis=0)
-        pairs, shared = np.unique(places[:, :2], axis=0, return_counts=True)
-        for (t, i), n in zip(pairs.tolist(), shared.tolist()):
-            grams = own[starts[t] : starts[t + 1]]
-            if n / (len(grams) + len(self.grams[i]) - n) < SIMILARITY:  # no more than n are in both
-                continue
-            similarity = self._similarity(grams, i)
-            if similarity >= SIMILARITY:
-                distance = int(np.unpackbits(fingerprints(_bits(grams).sum(axis=0)) ^ self.prints[i]).sum())
-                best[t, i] = Hit(t, i, 0, len(grams) + width - 1, distance, similarity)
-
-    def _slide(self, grams: np.ndarray, starts: np.ndarray, size: int, width: int, text: int, best: dict) -> None:
-        items, table = self.tables[size]
-        n = size - width + 1
-        for a in range(0, len(starts), 4096):
-            part = starts[a : a + 4096]
-            low, high = int(part[0]), int(part[-1]) + n
-            sums = np.zeros((high - low + 1, 64), np.int32)
-            np.cumsum(_bits(grams[low:high]), axis=0, out=sums[1:])
-            prints = fingerprints(sums[part - low + n] - sums[part - low])
-            candidate = np.zeros((len(part), len(items)), bool)
-            for b in range(BLOCKS):
-                candidate |= table[b][prints[:, b]]
-            for w, i in zip(*np.nonzero(candidate)):
-                it = int(items[i])
-                distance = int(np.unpackbits(prints[w] ^ self.prints[it]).sum())
-                if distance > RADIUS:
+    def _verify(self, own: np.ndarray, owner: np.ndarray, starts: np.ndarray, at: np.ndarray, n: int, width: int, low: int, high: int, best: dict) -> None:
+        """Windows of n shingles at the given places against the items from low to high."""
+        for part, prints in _prints(own, at, n):
+            window, item = self.candidates(prints, low, high)
+            distance = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1, dtype=np.int64)
+            near = distance <= RADIUS
+            before, elements = -1, None
+            for w, i, d in zip(window[near].tolist(), item[near].tolist(), distance[near].tolist()):
+                if w != before:
+                    before, elements = w, occurrences(own[part[w] : part[w] + n], np.zeros(n, np.int64))[0]
+                other = self.elements[i]
+                both = int((other[np.minimum(np.searchsorted(other, elements), len(other) - 1)] == elements).sum())
+                similarity = both / (n + len(other) - both)
+                if similarity < SIMILARITY:
                     continue
-                begin = int(part[w])
-                similarity = self._similarity(grams[begin : begin + n], it)
-                old = best.get((text, it))
-                if similarity >= SIMILARITY and (old is None or (-similarity, begin) < (-old.similarity, old.start)):
-                    best[text, it] = Hit(text, it, begin, size, distance, similarity)
-
-    def _similarity(self, grams: np.ndarray, item: int) -> float:
-        """Sum of minima over sum of maxima of the shingle counts."""
-        left = dict(self.counts[item])
-        both = 0
-        for g in grams.tolist():
-            if left.get(g, 0):
-                left[g] -= 1
-                both += 1
-        return both / (len(grams) + len(self.grams[item]) - both)
+                text = int(owner[part[w]])
+                begin = int(part[w] - starts[text])
+                old = best.get((text, i))
+                if old is None or (-similarity, begin) < (-old.similarity, old.start):
+                    best[text, i] = Hit(text, i, begin, n + width - 1, d, similarity)
+
+
+def _dense(marked: np.ndarray, owner: np.ndarray, starts: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Where windows of n shingles begin that hold `least` marked ones. owner: the text of each shingle."""
+    if len(marked) < least:
+        return np.zeros(0, np.int64)
+    a, b = marked[: len(marked) - least + 1], marked[least - 1 :]
+    near = np.flatnonzero((b - a < n) & (owner[a] == owner[b]))
+    a, b, text = a[near], b[near], owner[a[near]]
+    begin, end = np.maximum(b - n + 1, starts[text]), np.minimum(a, starts[text + 1] - n)
+    begin, end = begin[begin <= end], end[begin <= end]
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    begin[1:] = np.maximum(begin[1:], end[:-1] + 1)  # ranges go up; each place once
+    size = np.maximum(end - begin + 1, 0)
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _prints(own: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints of the windows of n shingles that begin at the given places, some at a time."""
+    fresh = np.minimum(np.diff(at, prepend=at[0] - n), n)  # shingles that a window adds to those of the window before
+    total = np.cumsum(fresh)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + max(SUMMED - n, 1), "right")))
+        part, step = at[i:j], fresh[i:j].copy()
+        step[0] = n
+        begin = np.cumsum(step) - n  # of each window among the shingles below
+        place = np.repeat(part + n - step, step) + np.arange(step.sum()) - np.repeat(np.cumsum(step) - step, step)
+        grams = own[place]
+        sums = np.zeros((len(grams) + 1, BITS), np.int32)
+        np.cumsum(_bits(mix(grams)), axis=0, out=sums[1:])
+        prints = fingerprints(sums[begin + n] - sums[begin], n)
+        order = np.argsort(grams, kind="stable")
+        before = np.full(len(grams), -1)
+        same = grams[order[1:]] == grams[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        for w in np.flatnonzero(np.maximum.accumulate(before)[begin + n - 1] >= begin):  # a shingle occurs again
+            prints[w] = fingerprint(grams[begin[w] : begin[w] + n])
+        yield part, prints
+        i = j
 
 
 def _all_windows(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +253,10 @@ def parts(benchmark: DataFrame) -> Iterator[Index]:
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, distance, similarity: the best window of each similar item in each row.
 
-    Reads doc_id and text, item_id and text. Null texts and texts without words match nothing; of equal items each is
-    reported; of equally similar windows the first counts; repeated rows give repeated results. A document of fewer words
-    than an item is one window, of n_words words. Empty tables give no rows.
+    Reads doc_id and text, item_id and text, whatever other columns there are. Null texts and texts without words match
+    nothing; texts of any length are searched whole; of equal items each is reported; of equally similar windows the first
+    counts; repeated rows give repeated results. A document of fewer words than an item is one window, of n_words words.
+    Empty tables give no rows.
     """
     out = None
     for index in parts(benchmark):
@@ -229,7 +286,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item was found, with all their columns."""
+    """The rows of docs in which no item was found, with all their columns as they are; null texts stay."""
     bounded(spark)
     for index in parts(benchmark):
         docs = docs.filter(_is_clean(spark.sparkContext.broadcast(index))("text"))

@@ -77,3 +77,16 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
         order = np.argsort(owner, kind="stable")
         out, owner = out[order], owner[order]
     return out, owner
+
+
+def occurrences(gram: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-th occurrence of a shingle in its text as an element of its own: (elements, texts) in order of texts.
+
+    So texts are plain sets, whose similarity is the weighted one of their shingles.
+    """
+    order = np.lexsort((gram, owner))
+    gram, owner = gram[order], owner[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+    unit = np.arange(len(gram)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return mix(gram + unit.astype(np.uint64) * SEED), owner
