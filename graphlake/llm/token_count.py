@@ -3,11 +3,13 @@ pre-token frequencies of the documents, and summed.
 
 Documents are dealt into blocks of bounded size. A block lists its distinct pre-tokens and how often each document has
 them; the frequencies wait in the shared folder while the pre-tokens of all blocks meet by hash, where each distinct one
-is counted once and the counts go back to the blocks.
+is counted once and the counts go back to the blocks. A block's pre-tokens and its frequencies always come from the same
+run of its task, whatever runs again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from functools import cache
 
@@ -67,14 +69,20 @@ class _Block:
         self.fixed.append(fixed)
         self.chars += sum(map(len, texts))
 
-    def save(self, path: str) -> None:
-        """Documents and frequencies, codes as steps from the one before, compressed."""
+    def save(self, folder: str, place: int) -> int:
+        """Writes documents and frequencies, codes as steps from the one before, compressed; returns the file's number.
+
+        The number is a hash of the content and of the block's place, so that a task that runs again with its rows in
+        another order writes other files, and never replaces one whose codes are in use.
+        """
         doc, code, often = np.concatenate(self.triples, axis=1)
         names = pa.array(self.ids, pa.int64())
         known = np.array([x is not None for x in self.ids])
         docs = np.stack([names.fill_null(0).to_numpy(zero_copy_only=False), known, np.concatenate(self.sizes), np.concatenate(self.fixed), np.bincount(doc, minlength=len(known))]).astype(np.int64)
         data = np.array([len(known), len(doc)], np.int64).tobytes() + docs.tobytes() + np.diff(code, prepend=0).astype(np.int32).tobytes() + often.astype(np.int32).tobytes()
-        write_whole(path, len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True))
+        number = int.from_bytes(hashlib.sha256(place.to_bytes(8, "little") + data + b"".join(self.codes)).digest()[:8], "little") >> 1
+        write_whole(f"{folder}/{number}", len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True))
+        return number
 
     @staticmethod
     def load(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,10 +112,12 @@ class _Block:
 def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, limit: int = 512, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row.
 
-    Reads doc_id and text. Null and empty texts have no tokens; null and repeated doc_ids give a row each; an empty
-    table gives none. Special strings inside a text count as the library takes them.
+    Reads doc_id and text, whatever other columns there are. Null and empty texts have no tokens; null and repeated
+    doc_ids give a row each; a very long text is a block of its own; an empty table gives none. Special strings inside a
+    text count as the library takes them.
     """
-    folder = Scratch(spark, "counts").path("blocks")
+    scratch = Scratch(spark, "counts")
+    folder = scratch.path("blocks")
     buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def frequencies(batches):
@@ -116,9 +126,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, limi
         now = _Block()
 
         def finish():
-            number = task << 32 | made
-            now.save(f"{folder}/{number}")
-            yield from now.rows(number, buckets)
+            yield from now.rows(now.save(folder, task << 32 | made), buckets)
 
         for batch, texts in text_blocks(batches):
             now.add(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts, tokenizer, special)
@@ -128,7 +136,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, limi
         if now.ids:
             yield from finish()
 
-    rows = clean_texts(docs).mapInArrow(frequencies, _SQL)
+    # Written as a table: of tasks that run twice one is committed, and only what it says of its blocks counts from there on.
+    rows = scratch.keep(clean_texts(docs).mapInArrow(frequencies, _SQL), "pieces")
 
     def count(group: pa.Table) -> pa.Table:
         """Counts the distinct pre-tokens of a bucket once; a row goes back to each block."""
