@@ -9,14 +9,17 @@ gives back every text exactly; a marker character that a text itself holds is en
 from __future__ import annotations
 
 import math
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import clean_texts, text_blocks
+from .common import blocks, bounded, clean_texts, free_name, give_back, text_blocks
 from .pretokens import MARK, Encoder, word_starts
 
 MARKER = "▁"
@@ -24,6 +27,10 @@ MARKER = "▁"
 UNKNOWN_COST = 10.0
 #: Encoded units that a worker remembers, twice.
 REMEMBERED = 120_000
+#: Longer units are cut where no piece and no character can reach across, which changes nothing.
+LONG = 512
+#: So few units of like length are encoded one by one, more of them together.
+FEW = 64
 
 
 def _fields(data: bytes):
@@ -68,12 +75,32 @@ class Model:
         return float(self.scores[self.normal].min()) - UNKNOWN_COST
 
 
+#: Numbers of fields in the model's messages and of piece types, fixed by its format.
+PIECE, TRAINER, NORMALIZER = 1, 2, 3
+PIECE_TYPE, USER_DEFINED = 3, 4
+CHARSMAP, DUMMY_PREFIX, NO_EXTRA_SPACES, ESCAPE_SPACES, RULES = 2, 3, 4, 5, 6
+
+
+def _check_normalizer(parts: list[tuple[int, object]]) -> None:
+    """Refuses models whose texts are changed before they are cut: only identity with a space put in front is supported."""
+    spec = dict(_fields(next((v for k, v in parts if k == NORMALIZER), b"")))
+    if spec.get(CHARSMAP) or spec.get(RULES):
+        raise ValueError("the model maps characters before it encodes, which is not supported")
+    if not spec.get(DUMMY_PREFIX, 1) or spec.get(NO_EXTRA_SPACES, 1) or not spec.get(ESCAPE_SPACES, 1):
+        raise ValueError("only models that put one space in front of a text and keep all others are supported")
+    if any(dict(_fields(v)).get(PIECE_TYPE) == USER_DEFINED for k, v in parts if k == PIECE):
+        raise ValueError("user-defined symbols are not supported")
+
+
 @cache
 def load_model(path: str) -> Model:
+    """The pieces of a model file. Models that normalise texts or have user-defined symbols are refused."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    trainer = next(v for k, v in _fields(sp.serialized_model_proto()) if k == 2)
+    parts = list(_fields(sp.serialized_model_proto()))
+    _check_normalizer(parts)
+    trainer = next(v for k, v in parts if k == TRAINER)
     unigram = dict(_fields(trainer)).get(3, 1) == 1
     n = sp.get_piece_size()
     names = [sp.id_to_piece(i) for i in range(n)]
@@ -164,8 +191,33 @@ class Viterbi:
         #: Does some piece hold a space behind another character? Then units may not be cut before spaces.
         self.whole = any(b" " in p.lstrip(b" ") for p in first)
 
+    def cuts(self, text: bytes) -> np.ndarray:
+        """Places that no piece and no character of the text spans: 0, ..., the length. The parts between are encoded alone."""
+        n = len(text)
+        chars = np.frombuffer(text, np.uint8).astype(np.int64)
+        width = 1 + (chars >= 0xC0).astype(np.int64) + (chars >= 0xE0) + (chars >= 0xF0)
+        reach = np.minimum(np.arange(n) + width, n)
+        reach[(chars & 0xC0) == 0x80] = 0  # no character begins here
+        live, states = np.arange(n), np.ones(n, np.int64)
+        for d in range(min(self.longest, n)):
+            keep = live + d < n
+            live, states = live[keep], states[keep]
+            states = self.trie.step(states, chars[live + d])
+            live, states = live[states > 0], states[states > 0]
+            hit = live[self.trie.value[states] >= 0]
+            reach[hit] = np.maximum(reach[hit], hit + d + 1)
+            if not len(live):
+                break
+        furthest = np.maximum.accumulate(reach)
+        return np.concatenate(([0], np.flatnonzero(furthest <= np.arange(1, n + 1)) + 1))
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each unit as little-endian unsigned 32-bit integers."""
+        ends = [self.cuts(t).tolist() if len(t) > LONG else [0, len(t)] for t in texts]
+        found = iter(self._units([t[a:b] for t, cuts in zip(texts, ends) for a, b in zip(cuts, cuts[1:])]))
+        return [b"".join(next(found) for _ in cuts[1:]) for cuts in ends]
+
+    def _units(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(sizes, kind="stable")
@@ -174,11 +226,52 @@ class Viterbi:
             b, top = a + 1, max(8, int(sizes[order[a]]) * 2)
             while b < len(order) and sizes[order[b]] <= top and (b - a) * top < 1 << 18:
                 b += 1
-            for i, ids in zip(order[a:b], self._batch([texts[i] for i in order[a:b]])):
+            group = [texts[i] for i in order[a:b]]
+            for i, ids in zip(order[a:b], self._batch(group) if b - a >= FEW else map(self._one, group)):
                 out[i] = ids
             a = b
         return out
 
+    @cached_property
+    def _lists(self) -> tuple[list[int], list[int], list[int], list[float]]:
+        return self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.model.scores.tolist()
+
+    def _one(self, text: bytes) -> bytes:
+        """The same for one unit, byte by byte in plain numbers: linear in its length, however long it is."""
+        base, check, value, scores = self._lists
+        n, size, unknown = len(text), len(check), self.model.unknown_score
+        best, back, used = array("d", [-math.inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for i, c in enumerate(text):
+            score = best[i]
+            if score == -math.inf:
+                continue
+            width = 1 + (c >= 0xC0) + (c >= 0xE0) + (c >= 0xF0)
+            state, j, alone = 1, i, False
+            while j < n:
+                to = base[state] + text[j] + 1
+                if to >= size or check[to] != state:
+                    break
+                state, j = to, j + 1
+                piece = value[state]
+                if piece >= 0:
+                    alone |= j - i == width
+                    if score + scores[piece] > best[j]:
+                        best[j], back[j], used[j] = score + scores[piece], i, piece
+            if not alone and i + width <= n and score + unknown > best[i + width]:
+                best[i + width], back[i + width], used[i + width] = score + unknown, i, -1
+        out, end = [], n
+        while end:
+            begin = back[end]
+            if used[end] >= 0:
+                out.append(used[end])
+            elif self.model.byte_ids[0] >= 0:
+                out += [int(self.model.byte_ids[c]) for c in reversed(text[begin:end])]
+            else:
+                out.append(self.model.unknown)
+            end = begin
+        return np.array(out[::-1], np.uint32).tobytes()
+
     def _batch(self, texts: list[bytes]) -> list[bytes]:
         m, trie = self.model, self.trie
         n, top = len(texts), max(map(len, texts))
@@ -264,20 +357,42 @@ def decode(path: str, ids: np.ndarray) -> str:
     return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")[1:]
 
 
+def _encoded(model_path: str, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """n_tokens, ids, round_trip of each text."""
+    ids, counts = encode(model_path, texts)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    same = [decode(model_path, ids[ends[i] : ends[i + 1]]) == t for i, t in enumerate(texts)]
+    return pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(same, pa.bool_())
+
+
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip (does decoding the ids give the text?).
 
-    Reads doc_id and text. Null and empty texts have no ids and decode to the empty text; null and repeated doc_ids
-    give a row each; an empty table gives none.
+    Reads doc_id and text, whatever other columns there are. Null and empty texts have no ids and decode to the empty
+    text; texts of any length are encoded whole; null and repeated doc_ids give a row each; an empty table gives none.
+    Of segmentations with the same score the one with the longer pieces from the end counts.
     """
 
     def run(batches):
         for batch, texts in text_blocks(batches, 1 << 19):
-            ids, counts = encode(model_path, texts)
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            same = [decode(model_path, ids[ends[i] : ends[i + 1]]) == t for i, t in enumerate(texts)]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
             name = batch.column(batch.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([name, pa.array(counts, pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([name, *_encoded(model_path, texts)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     return clean_texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
+
+
+def with_ids(docs: DataFrame, model_path: str) -> DataFrame:
+    """All columns of docs, but for those of the same names, with n_tokens, ids and round_trip; rows as in encode_documents."""
+    bounded(docs.sparkSession)
+
+    @F.arrow_udf("n_tokens bigint, ids array<int>, round_trip boolean")
+    def coded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            texts = [x or "" for x in column.to_pylist()]
+            parts = [pa.StructArray.from_arrays(_encoded(model_path, texts[a:b]), ["n_tokens", "ids", "round_trip"]) for a, b in blocks(texts, 1 << 19)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())]))
+            give_back()
+
+    name, new = free_name(docs, "_coded"), ("n_tokens", "ids", "round_trip")
+    found = docs.withColumn(name, coded("text"))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new), f"{name}.*")
