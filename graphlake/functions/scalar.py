@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is worked out once however often body, or a lambda in it, says it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -210,24 +209,27 @@ def config_words(x: Column) -> Column:
 
 
 # Abbreviations in code and what they stand for.
-ABBREVIATIONS = dict(
-    pair.split(":")
-    for pair in (
-        "err:error exc:exception ex:exception ctx:context cfg:config conf:configuration env:environment opt:option opts:options "
-        "req:request res:response resp:response rsp:response hdr:header hdrs:headers str:string fmt:format msg:message txt:text lbl:label desc:description "
-        "buf:buffer arr:array vec:vector lst:list dict:dictionary tbl:table stk:stack que:queue fn:function func:function cb:callback proc:procedure "
-        "ctor:constructor dtor:destructor db:database col:column stmt:statement txn:transaction trx:transaction repo:repository "
-        "auth:authentication authz:authorization perm:permission cred:credential tok:token pwd:password val:value num:number int:integer bool:boolean "
-        "flt:float dbl:double idx:index iter:iterator elem:element cnt:count len:length sz:size pos:position off:offset cap:capacity "
-        "init:initialize deinit:deinitialize alloc:allocate dealloc:deallocate del:delete rm:remove impl:implementation iface:interface abs:abstract "
-        "decl:declaration param:parameter arg:argument attr:attribute prop:property ret:return src:source dst:destination tgt:target orig:original "
-        "prev:previous cur:current tmp:temporary temp:temporary conn:connection sess:session sock:socket addr:address url:uniform srv:server cli:client "
-        "svc:service ep:endpoint mgr:manager ctrl:controller hdlr:handler sched:scheduler disp:dispatcher reg:registry chan:channel sem:semaphore mtx:mutex "
-        "wg:waitgroup sig:signal evt:event sub:subscriber pub:publisher spec:specification mock:mock stub:stub assert:assertion log:logging lvl:level "
-        "dbg:debug wrn:warning inf:info ts:timestamp dur:duration ttl:timetolive ver:version ns:namespace pkg:package mod:module lib:library dep:dependency "
-        "ref:reference ptr:pointer obj:object doc:document cmd:command ops:operations util:utility hlp:helper ext:extension"
-    ).split()
-)
+ABBREVIATIONS = {
+    "err": "error", "exc": "exception", "ex": "exception", "ctx": "context", "cfg": "config", "conf": "configuration", "env": "environment",
+    "opt": "option", "opts": "options", "req": "request", "res": "response", "resp": "response", "rsp": "response", "hdr": "header",
+    "hdrs": "headers", "str": "string", "fmt": "format", "msg": "message", "txt": "text", "lbl": "label", "desc": "description", "buf": "buffer",
+    "arr": "array", "vec": "vector", "lst": "list", "dict": "dictionary", "tbl": "table", "stk": "stack", "que": "queue", "fn": "function",
+    "func": "function", "cb": "callback", "proc": "procedure", "ctor": "constructor", "dtor": "destructor", "db": "database", "col": "column",
+    "stmt": "statement", "txn": "transaction", "trx": "transaction", "repo": "repository", "auth": "authentication", "authz": "authorization",
+    "perm": "permission", "cred": "credential", "tok": "token", "pwd": "password", "val": "value", "num": "number", "int": "integer",
+    "bool": "boolean", "flt": "float", "dbl": "double", "idx": "index", "iter": "iterator", "elem": "element", "cnt": "count", "len": "length",
+    "sz": "size", "pos": "position", "off": "offset", "cap": "capacity", "init": "initialize", "deinit": "deinitialize", "alloc": "allocate",
+    "dealloc": "deallocate", "del": "delete", "rm": "remove", "impl": "implementation", "iface": "interface", "abs": "abstract",
+    "decl": "declaration", "param": "parameter", "arg": "argument", "attr": "attribute", "prop": "property", "ret": "return", "src": "source",
+    "dst": "destination", "tgt": "target", "orig": "original", "prev": "previous", "cur": "current", "tmp": "temporary", "temp": "temporary",
+    "conn": "connection", "sess": "session", "sock": "socket", "addr": "address", "url": "uniform", "srv": "server", "cli": "client",
+    "svc": "service", "ep": "endpoint", "mgr": "manager", "ctrl": "controller", "hdlr": "handler", "sched": "scheduler", "disp": "dispatcher",
+    "reg": "registry", "chan": "channel", "sem": "semaphore", "mtx": "mutex", "wg": "waitgroup", "sig": "signal", "evt": "event",
+    "sub": "subscriber", "pub": "publisher", "spec": "specification", "mock": "mock", "stub": "stub", "assert": "assertion", "log": "logging",
+    "lvl": "level", "dbg": "debug", "wrn": "warning", "inf": "info", "ts": "timestamp", "dur": "duration", "ttl": "timetolive", "ver": "version",
+    "ns": "namespace", "pkg": "package", "mod": "module", "lib": "library", "dep": "dependency", "ref": "reference", "ptr": "pointer",
+    "obj": "object", "doc": "document", "cmd": "command", "ops": "operations", "util": "utility", "hlp": "helper", "ext": "extension",
+}
 
 
 def code_tokens(x: Column) -> Column:
@@ -239,7 +241,7 @@ def code_tokens(x: Column) -> Column:
     return F.concat(words, F.filter(F.transform(words, lambda w: F.try_element_at(known, w)), lambda w: w.isNotNull()))
 
 
-#: Words of decorators that say nothing.
+# Words of decorators that say nothing.
 DECORATOR_STOPWORDS = ("get", "set", "new", "class", "method", "function", "value", "type", "param", "return", "public", "private", "for", "if", "the", "and", "or", "not", "with", "from", "app", "router")
 
 
@@ -261,7 +263,7 @@ def url_path(url: Column) -> Column:
 
 def duration_ns(start: Column, end: Column) -> Column:
     """end - start of texts, not below 0; 0 where one is missing or no number."""
-    return F.greatest(F.coalesce(end.try_cast("bigint"), F.lit(0)) - F.coalesce(start.try_cast("bigint"), F.lit(0)), F.lit(0))
+    return F.greatest(F.coalesce(F.try_subtract(end.try_cast("bigint"), start.try_cast("bigint")), F.lit(0)), F.lit(0))
 
 
 def route_canonical(path: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 
 
 def classify_files(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -18,12 +21,21 @@ def classify_files(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def snapshot_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys with op: insert, update or delete. One full outer join on the keys, comparing one hash a row."""
+    """The keys with op: insert, update or delete. One full outer join on the keys; null keys meet null keys.
+
+    Rows are compared by a digest in which every null has a place, so a value that moves to another column is seen.
+    """
+    from .dml import row_digest
+
     rest = [c for c in old.columns if c not in keys]
-    a = old.select(*keys, F.xxhash64(*rest).alias("_a"), F.lit(True).alias("_old"))
-    b = new.select(*keys, F.xxhash64(*rest).alias("_b"), F.lit(True).alias("_new"))
-    op = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_a") != F.col("_b"), "update")
-    return a.join(b, keys, "full").select(*keys, op.alias("op")).filter("op is not null")
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(*(F.col(k).alias(f"{mark}{i}") for i, k in enumerate(keys)), row_digest(df, rest).alias(f"{mark}_row"), F.lit(True).alias(f"{mark}_there"))
+
+    on = reduce(lambda x, y: x & y, (F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in range(len(keys))))
+    op = F.when(F.col("a_there").isNull(), "insert").when(F.col("b_there").isNull(), "delete").when(F.col("a_row") != F.col("b_row"), "update")
+    both = side(old, "a").join(side(new, "b"), on, "full")
+    return both.select(*(F.when(F.col("a_there"), F.col(f"a{i}")).otherwise(F.col(f"b{i}")).alias(k) for i, k in enumerate(keys)), op.alias("op")).filter("op is not null")
 
 
 def edge_delta(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -32,8 +44,9 @@ def edge_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def apply_delta(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """delta: the columns of old and op."""
-    kept = old.join(delta.select(*keys), keys, "left_anti")
+    """delta: the columns of old and op. Null keys are keys like others."""
+    gone = delta.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
+    kept = old.join(gone, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys))), "left_anti")
     return kept.unionByName(delta.filter("op <> 'delete'").select(*old.columns))
 
 
@@ -42,7 +55,12 @@ class StaleGeneration(RuntimeError):
 
 
 class Generations:
-    """Snapshots in numbered folders. A publication says which generation it follows; a reader pins one."""
+    """Snapshots in numbered folders. A publication says which generation it follows; a reader pins one.
+
+    Every publication writes a draft of its own. It is published by one rename that fails where the generation is there
+    already, so of two publishers one succeeds; the rename is atomic where the file system's is. A draft that is not
+    published is deleted.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -61,18 +79,38 @@ class Generations:
     def publish(self, tables: dict[str, DataFrame], expected: int) -> int:
         if self.latest() != expected:
             raise StaleGeneration(f"generation {self.latest()} is there, not {expected}")
-        number, draft = expected + 1, f"{self.root}/.draft-{expected + 1}"
+        draft = self.draft(tables)
+        self.commit(draft, expected + 1)
+        return expected + 1
+
+    def draft(self, tables: dict[str, DataFrame]) -> str:
+        """Writes the tables where no reader looks; returns the folder."""
+        draft = f"{self.root}/.draft-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{draft}/{name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        _, fs = self._fs()
-        if not fs.rename(path(draft), path(f"{self.root}/g={number}")):
-            raise StaleGeneration(f"generation {number} appeared meanwhile")
-        return number
+            df.write.option("compression", "zstd").parquet(f"{draft}/{name}")
+        return draft
+
+    def commit(self, draft: str, number: int) -> None:
+        """Publishes a draft as a generation, or raises StaleGeneration and deletes it."""
+        hadoop, (_, fs) = self.spark._jvm.org.apache.hadoop.fs, self._fs()
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)  # none: nothing is replaced
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(hadoop.Path(draft), hadoop.Path(f"{self.root}/g={number}"), options)
+        except (Py4JJavaError, PySparkException) as e:
+            fs.delete(hadoop.Path(draft), True)
+            if "FileAlreadyExists" not in str(e) and "already exists" not in str(e) and "not empty" not in str(e):
+                raise
+            raise StaleGeneration(f"generation {number} appeared meanwhile") from e
 
     def read(self, name: str, generation: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/g={generation or self.latest()}/{name}")
 
+    def check(self, generation: int) -> None:
+        """Raises StaleGeneration if what was read is no longer the latest: for a scan that must not mix generations."""
+        if self.latest() != generation:
+            raise StaleGeneration(f"generation {self.latest()} is there, not {generation}")
+
 
 #: Edge types that indexing makes anew; others that lead into changed files are kept over it.
 RECOMPUTED = ("SIMILAR_TO", "SEMANTICALLY_RELATED", "FILE_CHANGES_WITH", "CONFIGURES", "TESTS", "TESTS_FILE", "DATA_FLOWS")
@@ -98,7 +136,3 @@ def same_content(a: DataFrame, b: DataFrame) -> bool:
     from .dml import multiset_digest
 
     return multiset_digest(a).head() == multiset_digest(b.select(*a.columns)).head()
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

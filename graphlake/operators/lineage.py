@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the shared folder of spark.checkpoint.dir, or a new local one where unset."""
+    """The same rows from a checkpoint in the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a new local folder serves a local session; on a cluster the setting must be there.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not told and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         context.setCheckpointDir(told or tempfile.mkdtemp(prefix="graphlake-"))
     return df.checkpoint()
