@@ -6,9 +6,9 @@ the files. A stored graph holds its properties as JSON text, read by path.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +18,17 @@ from .schema import EDGE, ENVELOPE, NODE, NODE_TYPES, check
 
 @dataclass(frozen=True)
 class NodeTable:
-    """One label's nodes: `df` has the envelope's id and name, and any typed property columns."""
+    """One label's nodes: the table has the envelope's id and name, and any typed property columns.
+
+    source: the table, or what opens it when a query first asks for the label.
+    """
 
     label: str
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
 
     @property
     def properties(self) -> list[str]:
@@ -30,12 +37,25 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """One type's edges: `df` has source_id and target_id, and any typed property columns."""
+    """One type's edges: the table has source_id and target_id, and any typed property columns.
+
+    rows: the table, or what opens it. repeated: it may list an edge several times, which counts once.
+    """
 
     type: str
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]
     source: str
     target: str
+    repeated: bool = False
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        """The edges as they are listed, for walks, which count a node once anyhow."""
+        return self.rows if isinstance(self.rows, DataFrame) else self.rows()
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.listed.distinct() if self.repeated else self.listed
 
     @property
     def properties(self) -> list[str]:
@@ -99,8 +119,11 @@ class PropertyGraph:
             return self.spark.createDataFrame([], ", ".join(["id bigint", "label string", *(f"`{c}` {NODE_TYPES.get(c, 'string')}" for c in columns)]))
         return _union([t.df.select("id", F.lit(t.label).alias("label"), *(self._typed(t.df, c, kinds[c], t.label, t.properties) for c in columns)) for t in tables])
 
-    def edge_scan(self, types: Iterable[str] | None, columns: Iterable[str]) -> DataFrame:
-        """source_id, target_id, type and the asked columns of the edges with these types (None: all)."""
+    def edge_scan(self, types: Iterable[str] | None, columns: Iterable[str], repeated: bool = False) -> DataFrame:
+        """source_id, target_id, type and the asked columns of the edges with these types (None: all).
+
+        repeated: an edge may come several times, where that makes no difference and saves its table a shuffle.
+        """
         types, columns = (None if types is None else list(types)), [c for c in dict.fromkeys(columns) if c not in ("source_id", "target_id", "type")]
         if self.stored_edges is not None:
             df = self.stored_edges if types is None else self.stored_edges.filter(F.col("type").isin(types))
@@ -109,7 +132,7 @@ class PropertyGraph:
         kinds = {c: self._kind([dict(t.df.dtypes) for t in tables], c) for c in columns}
         if not tables:
             return self.spark.createDataFrame([], ", ".join(["source_id bigint", "target_id bigint", "type string", *(f"`{c}` string" for c in columns)]))
-        return _union([t.df.select("source_id", "target_id", F.lit(t.type).alias("type"), *(self._typed(t.df, c, kinds[c], t.type, t.properties) for c in columns)) for t in tables])
+        return _union([(t.listed if repeated else t.df).select("source_id", "target_id", F.lit(t.type).alias("type"), *(self._typed(t.df, c, kinds[c], t.type, t.properties) for c in columns)) for t in tables])
 
     def nodes(self) -> DataFrame:
         """All nodes in the envelope."""

@@ -29,11 +29,11 @@ def _col(var: str, field: str) -> Column:
 
 
 class Compiler:
-    def __init__(self, graph: PropertyGraph, functions: dict[str, Callable] | None = None) -> None:
-        self.graph, self.functions = graph, {k.lower(): f for k, f in (functions or {}).items()}
+    def __init__(self, graph: PropertyGraph, functions: dict[str, Callable] | None = None, depth: int | None = None, compat: bool = False) -> None:
+        self.graph, self.functions, self.depth, self.compat = graph, {k.lower(): f for k, f in (functions or {}).items()}, depth, compat
 
     def compile(self, text: str) -> DataFrame:
-        return self.query(parse(text, set(self.functions)))
+        return self.query(parse(text, set(self.functions), self.depth))
 
     def query(self, q: t.Query) -> DataFrame:
         df = self.branch(q)
@@ -50,6 +50,7 @@ class Compiler:
 
     def branch(self, q: t.Query) -> DataFrame:
         self.kinds: dict[str, str] = {}  # variable -> node, edge, path or value
+        self.texts: dict[tuple[int, object], bool] = {}  # is an expression over a table text?
         self.bound: set[str] = set()
         self.needs = self._needs(q)
         df: DataFrame | None = None
@@ -93,6 +94,13 @@ class Compiler:
                         needs.setdefault(a.name, set()).update(own.get(x.name, {"name"} if x.name == "collect" else set()))
             elif isinstance(x, t.Item) and isinstance(x.of, t.Name):
                 passed.append((x.of.name, x.title))
+        # a label that a pattern asks of a variable matched before must be at hand
+        seen: set[str] = {new for _, new in passed}
+        for n in t.walk((q.clauses, q.returned)):
+            if isinstance(n, t.NodePattern):
+                if n.labels:
+                    needs.setdefault(n.name, set()).update({"label"} if n.name in seen else set())
+                seen.add(n.name)
         returned = q.returned
         if returned is None and q.clauses:
             first = next((c for c in q.clauses if isinstance(c, t.Match)), None)
@@ -191,7 +199,7 @@ class Compiler:
     def narrow(self, df: DataFrame, n: t.NodePattern) -> DataFrame:
         """What a bound variable's pattern asks beyond its name."""
         if n.labels:
-            df = df.filter(_col(n.name, "label").isin(*n.labels)) if f"{n.name}__label" in df.columns else df
+            df = df.filter(_col(n.name, "label").isin(*n.labels))
         return self.values(df, n)
 
     def expand(self, df: DataFrame, a: t.NodePattern, e: t.EdgePattern, b: t.NodePattern, back: bool) -> DataFrame:
@@ -206,7 +214,7 @@ class Compiler:
             edges = self._edges_of(keep, fields)
             implied = True
         else:
-            edges = self.graph.edge_scan(e.types or None, fields)
+            edges = self.graph.edge_scan(e.types or None, fields, repeated=e.variable)
         ends = ("source_id", "target_id") if direction != "in" else ("target_id", "source_id")
         r = e.name or "_edge"
         told = [F.col("type").alias(f"{r}__type"), *(F.col(f"`{f}`").alias(f"{r}__{f}") for f in fields)] if e.name and not e.variable else []
@@ -218,7 +226,7 @@ class Compiler:
             if not e.variable:
                 self.bound.add(e.name)
         if e.variable:
-            own = reach(df.select(F.col(f"`{a.name}__id`").alias("seed")).distinct(), own.select("_from", "_to"), e.least, e.most).select(F.col("seed").alias("_from"), F.col("node").alias("_to"))
+            own = reach(df.select(F.col(f"`{a.name}__id`").alias("seed")).filter("seed is not null").distinct(), own.select("_from", "_to"), e.least, e.most).select(F.col("seed").alias("_from"), F.col("node").alias("_to"))
         if b.name in self.bound:
             df = df.join(own, (_col(a.name, "id") == F.col("_from")) & (_col(b.name, "id") == F.col("_to"))).drop("_from", "_to")
             return self.narrow(df, b)
@@ -332,10 +340,13 @@ class Compiler:
         if aggregated:
             keys = [e.alias(n) for n, e, is_key in outputs if is_key]
             sums = [e.alias(n) for n, e, is_key in outputs if not is_key]
-            df = (df.groupBy(*keys) if keys else df.groupBy()).agg(*sums).select(*(f"`{n}`" for n in names))
+            if self.compat and not keys:
+                df = df.groupBy().agg(*sums, F.count("*").alias("_rows")).filter("_rows > 0").select(*(f"`{n}`" for n in names))
+            else:
+                df = (df.groupBy(*keys) if keys else df.groupBy()).agg(*sums).select(*(f"`{n}`" for n in names))
         else:
             df = df.select(*(e.alias(n) for n, e, _ in outputs), *(e.alias(n) for n, e in hidden))
-        if p.distinct:
+        if p.distinct and not self.compat:
             df = df.distinct()
         if order:
             df = df.orderBy(*order)
@@ -343,8 +354,13 @@ class Compiler:
             df = df.offset(p.skip)
         if p.limit is not None:
             df = df.limit(p.limit)
+        if p.distinct and self.compat:
+            df = df.distinct()
         if keep:
             self.kinds, self.bound = kinds, set(kinds)
+        elif self.compat:
+            shown = dict(df.dtypes)
+            df = df.select(*((F.coalesce(F.col(f"`{n}`"), F.lit("")) if shown[n] == "string" else F.col(f"`{n}`")).alias(n) for n in df.columns))
         return df.drop(*(n for n, _ in hidden)) if hidden else df
 
     # -- expressions
@@ -415,7 +431,12 @@ class Compiler:
     def is_text(self, df: DataFrame, e: object) -> bool:
         if isinstance(e, t.Literal):
             return isinstance(e.value, str)
-        return df.select(self.expression(df, e)).schema[0].dataType.simpleString() == "string"
+        key = (id(df), e)
+        if key not in self.texts:
+            # the type is asked of an empty table with the same columns, not of the whole plan
+            empty = self.graph.spark.createDataFrame([], df.schema)
+            self.texts[key] = empty.select(self.expression(df, e)).schema[0].dataType.simpleString() == "string"
+        return self.texts[key]
 
     def compare(self, df: DataFrame, op: str, left: object, right: object) -> Column:
         """Typed comparison: text beside a number or truth value is read as one, and is null if it is none."""
@@ -463,7 +484,7 @@ class Compiler:
             return F.count_distinct(x) if c.distinct else F.count(x)
         x = self.expression(df, first)
         if c.name in AGGREGATES:
-            plain = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "collect": lambda v: F.array_sort(F.collect_list(v))}
+            plain = {"count": (lambda v: F.count(F.lit(1))) if self.compat else F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "collect": lambda v: F.array_sort(F.collect_list(v))}
             unlike = {"count": F.count_distinct, "sum": F.sum_distinct, "avg": lambda v: F.try_divide(F.sum_distinct(v), F.count_distinct(v)), "min": F.min, "max": F.max, "collect": lambda v: F.array_sort(F.collect_set(v))}
             return (unlike if c.distinct else plain)[c.name](x)
         from ..functions import scalar
@@ -472,9 +493,14 @@ class Compiler:
         return scalar.QUERY_FUNCTIONS[c.name](x, *rest)
 
 
-def run(graph: PropertyGraph, text: str, functions: dict[str, Callable] | None = None, max_rows: int | None = None) -> DataFrame:
-    """The rows of a query. functions: more scalar functions by name; max_rows: a ceiling, one row past it raises."""
-    df = Compiler(graph, functions).compile(text)
+def run(graph: PropertyGraph, text: str, functions: dict[str, Callable] | None = None, max_rows: int | None = None, depth: int | None = None, compat: bool = False) -> DataFrame:
+    """The rows of a query. functions: more scalar functions by name; max_rows: a ceiling, one row past it raises.
+
+    depth: the longest path that variable lengths are taken for, as some engines clamp it; without it every length is exact.
+    compat: missing text is shown as empty, count(x) counts rows, aggregates of nothing give no row, and DISTINCT comes
+    after LIMIT, as engines have it in which everything is text.
+    """
+    df = Compiler(graph, functions, depth, compat).compile(text)
     if max_rows is None:
         return df
     if df.limit(max_rows + 1).count() > max_rows:

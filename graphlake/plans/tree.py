@@ -75,7 +75,7 @@ class EdgePattern:
     types: tuple[str, ...] = ()
     direction: str = "out"  # out, in, any
     least: int = 1
-    most: int = 1
+    most: int | None = 1  # None: any length
     variable: bool = False
 
 
