@@ -15,9 +15,12 @@ from ..functions import scalar
 def change_coupling(commits: DataFrame, most_files: int = 20, least: int = 3, threshold: float = 0.3) -> DataFrame:
     """file_a, file_b, co_changes, score, last_co_change. commits: commit, file, ts; a commit of many files says nothing.
 
-    The pairs of a commit are made from its own array of at most `most_files` names.
+    Commits are counted before their files are gathered, so the pairs of a commit are made from an array of at most
+    `most_files` names and no other is.
     """
-    own = commits.groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files"), F.max("ts").alias("ts")).filter(F.size("files") <= most_files)
+    each = commits.groupBy("commit", "file").agg(F.max("ts").alias("ts"))
+    few = each.groupBy("commit").agg(F.count("file").alias("n"), F.max("ts").alias("last")).filter(F.col("n").between(1, most_files)).select("commit", F.col("last"))
+    own = each.filter("file is not null").join(few, "commit").groupBy("commit", F.col("last").alias("ts")).agg(F.array_sort(F.collect_list("file")).alias("files"))
     counts = own.select(F.explode("files").alias("file")).groupBy("file").agg(F.count("*").alias("n"))
     first = own.select("ts", "files", F.posexplode("files").alias("i", "file_a"))
     pairs = first.select("ts", "file_a", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("file_b"))
@@ -32,48 +35,61 @@ def change_coupling(commits: DataFrame, most_files: int = 20, least: int = 3, th
 
 # Confidences of the ways to resolve a name.
 CONFIDENCE = {"import_map": 0.95, "import_map_suffix": 0.85, "same_module": 0.90, "qualified_suffix": 0.90, "unique_name": 0.75, "suffix_match": 0.55}
-MOST_CANDIDATES = 256
 
 
 def _last(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 
 
+def _prefixes(name: Column) -> Column:
+    """The name and what stands before each of its dots: a, a.b, a.b.c of a.b.c."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+
+
+def _suffixes(name: Column) -> Column:
+    """What stands behind each dot of the name: b.c, c of a.b.c."""
+    parts = F.split(name, r"\.")
+    n = F.size(parts)
+    return F.when(n > 1, F.transform(F.sequence(F.lit(2), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_names(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """call_id, target_id, strategy, confidence: the best way for each call that some way resolves.
 
     calls: call_id, module, callee; nodes: id, qualified_name; imports: module, local_name, target (a qualified name).
-    Every way is one join; ties go to the lesser qualified name.
+    Every way is an equality join with the best candidate of each key, so no call meets all candidates of a common name,
+    however many there are; ties go to the lesser qualified name.
     """
     calls = calls.withColumn("prefix", F.element_at(F.split("callee", r"\."), 1)).withColumn("suffix", F.regexp_replace("callee", r"^[^.]*\.?", "")).withColumn("last", _last(F.col("callee")))
     names = nodes.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("qn")).withColumn("last", _last(F.col("qn"))).withColumn("home", F.regexp_replace("qn", r"\.[^.]*$", ""))
+    first = F.min(F.struct("qn", "target_id")).alias("best")
     mapped = calls.join(imports.withColumnRenamed("local_name", "prefix"), ["module", "prefix"])
     ways = []
 
     def way(df: DataFrame, name: str, confidence: Column | float | None = None) -> None:
         c = F.lit(CONFIDENCE[name]) if confidence is None else confidence
-        ways.append(df.select("call_id", "target_id", "qn", F.lit(name).alias("strategy"), c.cast("double").alias("confidence")))
-
-    exact = mapped.withColumn("qn", F.concat_ws(".", "target", F.when(F.col("suffix") != "", F.col("suffix")).otherwise(F.col("prefix"))))
-    way(exact.join(names.select("qn", "target_id"), "qn"), "import_map")
-    inside = mapped.filter("suffix <> ''").join(names.select("qn", "target_id", "last"), "last")
-    way(inside.filter(F.col("qn").startswith(F.concat("target", F.lit("."))) & F.col("qn").endswith(F.concat(F.lit("."), "suffix"))), "import_map_suffix")
-    way(calls.withColumn("qn", F.concat_ws(".", "module", "callee")).join(names.select("qn", "target_id"), "qn"), "same_module")
-    dotted = calls.filter("suffix <> ''").join(names.select("qn", "target_id", "last"), "last").filter(F.col("qn").endswith(F.concat(F.lit("."), "callee")))
-    way(dotted, "qualified_suffix")
-    by_name = names.groupBy("last").agg(F.count("*").alias("n"))
-    reachable = imports.select("module", F.col("target").alias("reached")).distinct()
-    near = calls.join(by_name.filter(F.col("n") <= MOST_CANDIDATES), "last").join(names.select("qn", "target_id", "last", "home"), "last")
-    near = near.join(reachable, (near["module"] == reachable["module"]) & ((F.col("home") == F.col("reached")) | F.col("home").startswith(F.concat("reached", F.lit(".")))), "left").drop(reachable["module"])
-    near = near.groupBy("call_id", "target_id", "qn", "n").agg(F.count("reached").alias("_seen")).withColumn("_reach", F.col("_seen") > 0)
-    way(near.filter("n = 1"), "unique_name", F.when(F.col("_reach"), CONFIDENCE["unique_name"]).otherwise(CONFIDENCE["unique_name"] * 0.5))
-    some = F.max("_reach").over(Window.partitionBy("call_id"))
-    spread = F.least(F.lit(1.0), F.lit(3.0) / F.col("n")) * CONFIDENCE["suffix_match"]
-    many = near.filter("n > 1").withColumn("_some", some).filter("_reach or not _some")
-    way(many, "suffix_match", F.when(F.col("_some"), spread).otherwise(spread * 0.5))
-    order = {name: i for i, name in enumerate(CONFIDENCE)}
+        ways.append(df.select("call_id", F.col("best.target_id").alias("target_id"), F.col("best.qn").alias("qn"), F.lit(name).alias("strategy"), c.cast("double").alias("confidence")))
+
+    whole = names.groupBy(F.col("qn").alias("key")).agg(first)
+    exact = mapped.withColumn("key", F.concat_ws(".", "target", F.when(F.col("suffix") != "", F.col("suffix")).otherwise(F.col("prefix"))))
+    way(exact.join(whole, "key"), "import_map")
+    ends = names.select("qn", "target_id", F.explode(_suffixes(F.col("qn"))).alias("key"))
+    between = ends.select("qn", "target_id", "key", F.explode(_prefixes(F.regexp_replace("qn", r"\.[^.]*$", ""))).alias("target")).groupBy("target", "key").agg(first)
+    way(mapped.filter("suffix <> ''").withColumn("key", F.col("suffix")).join(between, ["target", "key"]), "import_map_suffix")
+    way(calls.withColumn("key", F.concat_ws(".", "module", "callee")).join(whole, "key"), "same_module")
+    way(calls.filter("suffix <> ''").withColumn("key", F.col("callee")).join(ends.groupBy("key").agg(first), "key"), "qualified_suffix")
+    by_name = names.groupBy("last").agg(F.count("*").alias("n"), first)
+    homes = names.select("last", "qn", "target_id", F.explode(_prefixes(F.col("home"))).alias("reached")).groupBy("last", "reached").agg(first)
+    reachable = calls.select("module", "last").distinct().join(imports.select("module", F.col("target").alias("reached")).distinct(), "module")
+    reachable = reachable.join(homes, ["last", "reached"]).groupBy("module", "last").agg(F.min("best").alias("near"))
+    named = calls.join(by_name, "last").join(reachable, ["module", "last"], "left")
+    reach = F.col("near").isNotNull()
+    way(named.filter("n = 1"), "unique_name", F.when(reach, CONFIDENCE["unique_name"]).otherwise(CONFIDENCE["unique_name"] * 0.5))
+    share = F.least(F.lit(1.0), F.lit(3.0) / F.col("n")) * CONFIDENCE["suffix_match"]
+    way(named.filter("n > 1").withColumn("best", F.coalesce("near", "best")), "suffix_match", F.when(reach, share).otherwise(share * 0.5))
     rank = F.lit(99)
-    for name, i in order.items():
+    for i, name in enumerate(CONFIDENCE):
         rank = F.when(F.col("strategy") == name, i).otherwise(rank)
     best = reduce(DataFrame.unionByName, ways).groupBy("call_id").agg(F.min_by(F.struct("target_id", "strategy", "confidence"), F.struct(rank, "qn", "target_id")).alias("b"))
     return best.select("call_id", "b.*")
@@ -102,19 +118,19 @@ def tag_words(decorated: DataFrame) -> DataFrame:
 def config_links(nodes: DataFrame) -> DataFrame:
     """source_id, target_id, confidence, config_key: symbols that a configuration key names, whole (0.85) or in part (0.75).
 
-    A key of k words is looked for among the runs of k words that a symbol's own name has, and by its text in the
-    name of the run's length; both are equalities.
+    A name gives its parts of the lengths that keys have and of no other, and meets the keys by equality; of two keys or
+    more of a length each part is one row.
     """
     key = scalar.config_key(F.col("name"))
     config = nodes.filter((F.col("label") == "Variable") & scalar.is_config_path(F.col("file_path"))).select(F.col("id").alias("target_id"), F.col("name").alias("config_key"), key.alias("norm"))
     parts = F.split("norm", "_")
     config = config.filter((F.size(parts) >= 2) & F.forall(parts, lambda w: F.length(w) >= 3))
     code = nodes.filter(F.col("label").isin("Function", "Variable", "Class", "Struct") & ~scalar.is_config_path(F.col("file_path"))).select(F.col("id").alias("source_id"), key.alias("own")).filter("own <> ''")
-    # every part of a name between two places of it: names are short, and keys then meet them by equality
-    n = F.length("own")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substr("own", i, j - i + 1))))
-    pieces = F.array_distinct(F.filter(pieces, lambda p: F.length(p) >= 7))
-    found = code.withColumn("norm", F.explode(pieces)).join(config, "norm")
+    # the lengths of keys, and for each the texts that keys begin with: few numbers, and three letters that rule most parts out
+    heads = config.select(F.length("norm").alias("size"), F.substring("norm", 1, 3).alias("head")).distinct()
+    starts = code.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("own") - 6, F.lit(1))))).withColumn("head", F.expr("substr(own, at, 3)"))
+    found = starts.join(heads, "head").filter("at + size - 1 <= length(own)").withColumn("norm", F.expr("substr(own, at, size)"))
+    found = found.select("source_id", "own", "norm").distinct().join(config, "norm")
     return found.select("source_id", "target_id", F.when(F.col("own") == F.col("norm"), 0.85).otherwise(0.75).alias("confidence"), "config_key")
 
 
@@ -164,27 +180,64 @@ def routes(edges: DataFrame) -> DataFrame:
 def route_matches(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     """call_id, handler_id: paths that agree segment by segment, where {} stands for any, and methods that agree or are ANY.
 
-    calls, handlers: call_id or handler_id, path, method. Equality on the number of segments, the method and the first
-    fixed segment where both have one; the rest is checked on the pairs that meet.
+    calls, handlers: call_id or handler_id, path, method. Equal paths are one row each before they meet. Two paths that
+    agree have equal texts at every place where neither has {}; they meet by their pattern of places and by the texts at
+    the places that the two patterns have in common, so the patterns, not the paths, are compared with each other.
     """
+    segments = lambda path: F.split(scalar.route_canonical(path), "/")
+    method = F.upper(F.coalesce("method", F.lit("ANY")))
 
-    def parted(df: DataFrame, side: str) -> DataFrame:
-        segments = F.split(scalar.route_canonical(F.col("path")), "/")
-        return df.select(f"{side}_id", segments.alias(f"{side}_path"), F.upper(F.coalesce("method", F.lit("ANY"))).alias(f"{side}_method"))
+    def parted(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        rows = df.select(f"{side}_id", segments(F.col("path")).alias("path"), method.alias(f"{side}_method"))
+        paths = rows.select("path").distinct().withColumn("mask", F.transform("path", lambda s: ~s.contains("{}")))
+        return rows.withColumnRenamed("path", f"{side}_path"), paths.toDF(f"{side}_path", f"{side}_mask"), paths.select("mask").distinct().withColumnRenamed("mask", f"{side}_mask")
 
-    c, h = parted(calls, "call"), parted(handlers, "handler")
+    c_rows, c, c_masks = parted(calls, "call")
+    h_rows, h, h_masks = parted(handlers, "handler")
+    both = c_masks.withColumn("n", F.size("call_mask")).join(h_masks.withColumn("n", F.size("handler_mask")), "n")
+    both = both.select("call_mask", "handler_mask", F.zip_with("call_mask", "handler_mask", lambda a, b: a & b).alias("common"))
 
     def keyed(df: DataFrame, side: str) -> DataFrame:
-        first = F.try_element_at(f"{side}_path", F.lit(2))
-        return df.withColumn("n", F.size(f"{side}_path")).withColumn("head", F.when(first.contains("{}"), F.lit(None)).otherwise(F.coalesce(first, F.lit(""))))
-
-    c, h = keyed(c, "call"), keyed(h, "handler")
-    fixed = c.filter("head is not null").join(h.filter("head is not null"), ["n", "head"])
-    loose = c.filter("head is null").drop("head").join(h.drop("head"), "n").unionByName(c.filter("head is not null").drop("head").join(h.filter("head is null").drop("head"), "n"))
-    both = fixed.drop("head").unionByName(loose)
-    agree = F.forall(F.zip_with("call_path", "handler_path", lambda a, b: (a == b) | a.contains("{}") | b.contains("{}")), lambda x: x)
+        shown = F.transform(F.arrays_zip(F.col(f"{side}_path").alias("p"), F.col("common").alias("m")), lambda x: F.when(x["m"], x["p"]).otherwise("{}"))
+        return df.join(both, f"{side}_mask").select(f"{side}_path", "call_mask", "handler_mask", shown.alias("shown"))
+
+    met = keyed(c, "call").join(keyed(h, "handler"), ["call_mask", "handler_mask", "shown"]).select("call_path", "handler_path")
     methods = (F.col("call_method") == F.col("handler_method")) | (F.col("call_method") == "ANY") | (F.col("handler_method") == "ANY")
-    return both.filter(agree & methods).select("call_id", "handler_id").distinct()
+    return c_rows.join(met, "call_path").join(h_rows, "handler_path").filter(methods).select("call_id", "handler_id").distinct()
+
+
+def route_targets(routes: DataFrame, records: DataFrame) -> DataFrame:
+    """INFRA_MAPS (source_id, target_id): topics, queues and schedules bound to a URL, and the route of its path.
+
+    records: id, url; routes: id, path. Equal canonical paths.
+    """
+    asked = records.select(F.col("id").alias("source_id"), scalar.route_canonical(scalar.url_path(F.col("url"))).alias("route")).filter("route <> ''")
+    return asked.join(routes.select(F.col("id").alias("target_id"), scalar.route_canonical(F.col("path")).alias("route")), "route").select("source_id", "target_id").distinct()
+
+
+def config_routes(files: DataFrame) -> DataFrame:
+    """route, file_path: canonical paths of the URLs that configuration files hold. files: file_path, content."""
+    urls = F.explode(F.regexp_extract_all("content", F.lit(r"https?://[^\s'\"<>,;)]+"), 0)).alias("url")
+    own = files.filter(scalar.is_config_path(F.col("file_path"))).select("file_path", urls)
+    return own.select(scalar.route_canonical(scalar.url_path(F.col("url"))).alias("route"), "file_path").filter("route <> ''").distinct()
+
+
+def file_routes(files: DataFrame) -> DataFrame:
+    """route, method, file_path of files whose place is their route: src/routes/a/[id]/+server.ts is /a/{}.
+
+    Pages answer GET, servers any method; groups in parentheses are no segments, [...rest] and [id] stand for any text.
+    """
+    pattern = r"(?:^|/)src/routes/(?:(.*)/)?\+(page|server)(?:\.server)?\.(?:svelte|ts|js)$"
+    own = files.filter(F.col("file_path").rlike(pattern)).select("file_path", F.regexp_extract("file_path", pattern, 1).alias("folder"), F.regexp_extract("file_path", pattern, 2).alias("kind"))
+    parts = F.filter(F.split("folder", "/"), lambda s: (s != "") & ~s.rlike(r"^\(.*\)$"))
+    route = F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.regexp_replace(s, r"\[+[^\]]*\]+", "{}")), "/"))
+    return own.select(route.alias("route"), F.when(F.col("kind") == "page", "GET").otherwise("ANY").alias("method"), "file_path").distinct()
+
+
+def grpc_routes(services: DataFrame) -> DataFrame:
+    """route, id of remote procedures: /package.Service/Method. services: id, package, service, method."""
+    name = F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), "service")
+    return services.select(F.concat(F.lit("/"), name, F.lit("/"), F.col("method")).alias("route"), "id").distinct()
 
 
 def data_flows(edges: DataFrame) -> DataFrame:
@@ -197,7 +250,22 @@ def data_flows(edges: DataFrame) -> DataFrame:
 def cross_project(callers: DataFrame, handlers: DataFrame, kind: str = "CROSS_HTTP_CALLS") -> DataFrame:
     """Edges between projects that name the same route, channel or service, each way. callers, handlers: project, id, key."""
     a, b = callers.select(F.col("project").alias("pa"), F.col("id").alias("a"), "key"), handlers.select(F.col("project").alias("pb"), F.col("id").alias("b"), "key")
-    both = a.join(b, "key").filter("pa <> pb")
+    return _each_way(a.join(b, "key").filter("pa <> pb"), kind)
+
+
+def cross_project_routes(callers: DataFrame, handlers: DataFrame, kind: str = "CROSS_HTTP_CALLS") -> DataFrame:
+    """The same for routes: project, id, path, method. A call whose path no other project handles as it is goes by templates."""
+    a = callers.select(F.col("project").alias("pa"), F.col("id").alias("a"), "path", F.upper(F.coalesce("method", F.lit("ANY"))).alias("ma"))
+    b = handlers.select(F.col("project").alias("pb"), F.col("id").alias("b"), "path", F.upper(F.coalesce("method", F.lit("ANY"))).alias("mb"))
+    exact = a.join(b, "path").filter("pa <> pb and (ma = mb or ma = 'ANY' or mb = 'ANY')").select("pa", "a", "pb", "b")
+    rest = callers.join(exact.select(F.col("pa").alias("project"), F.col("a").alias("id")).distinct(), ["project", "id"], "left_anti")
+    pair = F.struct("project", "id")
+    met = route_matches(rest.select(pair.alias("call_id"), "path", "method"), handlers.select(pair.alias("handler_id"), "path", "method"))
+    loose = met.select(F.col("call_id.project").alias("pa"), F.col("call_id.id").alias("a"), F.col("handler_id.project").alias("pb"), F.col("handler_id.id").alias("b")).filter("pa <> pb")
+    return _each_way(exact.union(loose), kind)
+
+
+def _each_way(both: DataFrame, kind: str) -> DataFrame:
     out = both.select(F.col("pa").alias("project"), F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("pb").alias("target_project"))
     back = both.select(F.col("pb").alias("project"), F.col("b").alias("source_id"), F.col("a").alias("target_id"), F.col("pa").alias("target_project"))
     return out.union(back).distinct().withColumn("type", F.lit(kind))
@@ -211,6 +279,16 @@ def implementations(classes: DataFrame, interfaces: DataFrame) -> DataFrame:
     return met.join(need.groupBy("interface_id").agg(F.count("*").alias("n")), ["interface_id", "n"]).select("class_id", "interface_id")
 
 
+def overrides(classes: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """OVERRIDE (source_id, target_id): a method of a class and the one it stands for of an interface that the class fulfils.
+
+    classes, interfaces: id, method, method_id.
+    """
+    pairs = implementations(classes.select("id", "method"), interfaces.select("id", "method"))
+    own = pairs.join(classes.select(F.col("id").alias("class_id"), "method", F.col("method_id").alias("source_id")), "class_id")
+    return own.join(interfaces.select(F.col("id").alias("interface_id"), "method", F.col("method_id").alias("target_id")), ["interface_id", "method"]).select("source_id", "target_id").distinct()
+
+
 def folder_chain(files: DataFrame) -> DataFrame:
     """parent, child, kind (folder or file) of every path; the root is the empty path. files: file_path."""
     def steps(parts: Column) -> Column:
@@ -221,7 +299,7 @@ def folder_chain(files: DataFrame) -> DataFrame:
     return files.select(F.explode(scalar.let(F.split("file_path", "/"), steps)).alias("s")).select("s.*").distinct()
 
 
-# Words in a call's name that tell what service it reaches.
+#: Words in a call's name that tell what service it reaches.
 SERVICE_PATTERNS = {
     "http": ("requests.", "httpx.", "fetch", "axios", "http.get", "http.post", "urllib", "resttemplate", "webclient"),
     "async": ("publish", "send_message", "enqueue", "produce", "celery", "pubsub", "kafka", "rabbitmq", "sqs"),
@@ -261,7 +339,7 @@ def injected_calls(signatures: DataFrame) -> DataFrame:
     return signatures.select("call_id", F.explode(F.regexp_extract_all("signature", F.lit(r"Depends\(\s*([A-Za-z_][\w.]*)"), 1)).alias("callee"))
 
 
-# Names too common to trust when only a name is known.
+#: Names too common to trust when only a name is known.
 WEAK_NAMES = ("print", "push", "pop", "shift", "join", "split", "keys", "values", "map", "sort", "length", "get", "set", "add", "then", "catch", "forEach", "filter", "log")
 
 

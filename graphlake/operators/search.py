@@ -5,10 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .lineage import cut
+from .similarity import hyperplanes
 from .traverse import SEARCH_TYPES, degrees
 
 
@@ -74,14 +78,52 @@ def page(hits: DataFrame, ask: Search) -> DataFrame:
     return out if ask.limit is None else out.limit(ask.limit)
 
 
+def paged(hits: DataFrame, ask: Search) -> tuple[DataFrame, int]:
+    """A page and the exact number of all hits before paging."""
+    return page(hits, ask), hits.count()
+
+
+def scope(projects: DataFrame, selectors: list[str]) -> list[str]:
+    """The projects that the selectors name, in order; `*` is all that are ready and healthy.
+
+    projects: project, selector, ready, healthy. A selector that names none, several, or one that is not ready raises ValueError.
+    """
+    rows = projects.select("project", "selector", "ready", "healthy").collect()  # a row for each project
+    if "*" in selectors:
+        return sorted(r.project for r in rows if r.ready and r.healthy)
+    out = []
+    for s in dict.fromkeys(selectors):
+        found = [r for r in rows if s in (r.project, r.selector)]
+        if len(found) != 1:
+            raise ValueError(f"{s} names {len(found)} projects")
+        if not (found[0].ready and found[0].healthy):
+            raise ValueError(f"{s} is not ready")
+        out.append(found[0].project)
+    return sorted(set(out))
+
+
+def structural_in(nodes: DataFrame, edges: DataFrame, projects: list[str], ask: Search) -> tuple[DataFrame, int]:
+    """Structural search over several projects at once: sorted and paged once, with the exact total."""
+    own, links = (df.filter(F.col("project").isin(projects)) for df in (nodes, edges))
+    return paged(structural(own, links, ask), ask)
+
+
+def full_text_in(nodes: DataFrame, query: str, projects: list[str], file_glob: str = "", limit: int = 10, offset: int = 0) -> tuple[DataFrame, int]:
+    """A page of full-text hits over several projects, best first, with the exact total."""
+    hits = cut(full_text(nodes, query, file_glob, projects))
+    found = hits.orderBy("rank", "qualified_name", "id")
+    return (found.offset(offset) if offset else found).limit(limit), hits.count()
+
+
 def connected_names(nodes: DataFrame, edges: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:
     """id, callers, callees: up to `limit` neighbour names of each hit, in order of name."""
     names = nodes.select(F.col("id").alias("other"), "name")
     parts = []
     for side, here, there in (("callers", "target_id", "source_id"), ("callees", "source_id", "target_id")):
         own = edges.filter("type = 'CALLS'").select(F.col(here).alias("id"), F.col(there).alias("other"))
-        own = own.join(hits.select("id"), "id", "left_semi").join(names, "other").groupBy("id")
-        parts.append(own.agg(F.slice(F.array_sort(F.collect_set("name")), 1, limit).alias(side)))
+        own = own.join(hits.select("id"), "id", "left_semi").join(names, "other").select("id", "name").distinct()
+        first = own.withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy("name"))).filter(F.col("_rank") <= limit)
+        parts.append(first.groupBy("id").agg(F.array_sort(F.collect_list("name")).alias(side)))
     empty = F.array().cast("array<string>")
     out = hits.select("id").join(parts[0], "id", "left").join(parts[1], "id", "left")
     return out.select("id", F.coalesce("callers", empty).alias("callers"), F.coalesce("callees", empty).alias("callees"))
@@ -104,14 +146,15 @@ def terms(text: Column) -> Column:
 def bm25(docs: DataFrame, query: str, text: Column, key: str = "id") -> DataFrame:
     """key, score of every document with a word of the query; more is better.
 
-    Only the query's words are counted: one pass over the texts for their counts and lengths, and small sums.
+    Only the query's words are counted: one pass over the texts for their counts and lengths, which are written, and
+    small sums over those.
     """
     words = sorted({w for w in _plain_words(query)})
     if not words:
         return docs.select(key).limit(0).withColumn("score", F.lit(0.0))
     every = docs.select(key, terms(text).alias("_terms"))
     counts = [F.size(F.filter("_terms", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(words)]
-    rows = every.select(key, F.size("_terms").alias("_size"), *counts)
+    rows = cut(every.select(key, F.size("_terms").alias("_size"), *counts))
     sums = rows.agg(F.count("*").alias("_n"), F.avg("_size").alias("_mean"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(words))))
     hits = rows.filter(reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(words))))).crossJoin(F.broadcast(sums))  # one row
     length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.try_divide(F.col("_size"), F.col("_mean")))
@@ -175,6 +218,120 @@ def vector_search_many(vectors: DataFrame, queries: dict[str, list[float]], proj
     return own.select("node_id", "project", best.alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
+#: Vectors of a block, which is compared with all queries at once.
+SCANNED = 4096
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query, id, score, rank: the k nearest vectors of each query by cosine; ties go to the smaller id.
+
+    vectors, queries: id, vector. The queries, a stated set, are dealt into blocks; each block goes past all vectors,
+    and a task hands on no more than k rows for each query of a batch. Null vectors are near none.
+    """
+    rows = queries.filter("vector is not null").orderBy("id")
+    blocks = max(1, -(-queries.count() // SCANNED))
+    parts = []
+    for i in range(blocks):
+        taken = rows.offset(i * SCANNED).limit(SCANNED).collect()  # SCANNED vectors
+        if taken:
+            parts.append(_scanned(vectors, [r.id for r in taken], np.array([r.vector for r in taken], np.float64), k))
+    if not parts:
+        return queries.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    best = reduce(DataFrame.union, parts)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norms, out=np.zeros_like(v), where=norms > 0)
+
+
+def _scanned(vectors: DataFrame, names: list[int], wanted: np.ndarray, k: int) -> DataFrame:
+    taken = vectors.sparkSession.sparkContext.broadcast((np.array(names, np.int64), _unit(wanted)))
+
+    def run(batches):
+        ids, asked = taken.value
+        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            for a in range(0, batch.num_rows, SCANNED):
+                part = batch.slice(a, SCANNED)
+                lists = part.column(1)
+                v = _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1))
+                score = np.concatenate([best, np.round(asked @ v.T, 12)], axis=1)
+                near = np.concatenate([best_id, np.broadcast_to(part.column(0).to_numpy(), (len(ids), len(lists)))], axis=1)
+                order = np.lexsort((near, -score), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(near, order, 1)
+        n = best.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query", "id", "score"])
+
+    return vectors.filter("vector is not null").select("id", "vector").mapInArrow(run, "query bigint, id bigint, score double")
+
+
+def two_stage(vectors: DataFrame, queries: DataFrame, k: int = 10, prefetch: int = 400, planes: int = 256) -> DataFrame:
+    """query, id, score, rank: like nearest, but from codes: the sign bits of fixed planes choose `prefetch` vectors of each
+    query, whose exact cosines then decide.
+
+    The codes of all vectors are compared, so none is left out by its place; with prefetch at the number of vectors the
+    result is the exact one. Recall is a matter of the two parameters and is measured in the tests.
+    """
+    dimensions = len(vectors.filter("vector is not null").head()["vector"])
+    plane = hyperplanes(dimensions, planes)
+    rows = queries.filter("vector is not null").orderBy("id")
+    parts = []
+    for i in range(max(1, -(-queries.count() // SCANNED))):
+        taken = rows.offset(i * SCANNED).limit(SCANNED).collect()  # SCANNED vectors
+        if not taken:
+            continue
+        wanted = np.array([r.vector for r in taken], np.float64)
+        told = vectors.sparkSession.sparkContext.broadcast((np.array([r.id for r in taken], np.int64), _unit(wanted), np.packbits(wanted @ plane.T >= 0, axis=1), plane))
+
+        def run(batches, told=told):
+            ids, asked, codes, plane = told.value
+            kept = [np.zeros((len(ids), 0), t) for t in (np.int64, np.int64, np.float64)]  # distance, id, cosine
+            for batch in batches:
+                for a in range(0, batch.num_rows, SCANNED):
+                    part = batch.slice(a, SCANNED)
+                    lists = part.column(1)
+                    v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+                    own = np.packbits(v @ plane.T >= 0, axis=1)
+                    distance = np.zeros((len(ids), len(v)), np.int64)
+                    for b in range(own.shape[1]):
+                        distance += np.bitwise_count(codes[:, b, None] ^ own[None, :, b])
+                    names = np.broadcast_to(part.column(0).to_numpy(), distance.shape)
+                    first = np.lexsort((names, distance), axis=1)[:, :prefetch]
+                    exact = np.round(np.einsum("qd,qkd->qk", asked, _unit(v)[first]), 12)
+                    new = (np.take_along_axis(distance, first, 1), np.take_along_axis(names, first, 1), exact)
+                    both = [np.concatenate(x, axis=1) for x in zip(kept, new)]
+                    order = np.lexsort((both[1], both[0]), axis=1)[:, :prefetch]
+                    kept = [np.take_along_axis(x, order, 1) for x in both]
+            n = kept[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), *(pa.array(x.ravel()) for x in kept)], ["query", "distance", "id", "score"])
+
+        parts.append(vectors.filter("vector is not null").select("id", "vector").mapInArrow(run, "query bigint, distance bigint, id bigint, score double"))
+    if not parts:
+        return nearest(vectors, queries, k)
+    near = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    chosen = reduce(DataFrame.union, parts).withColumn("near", near).filter(F.col("near") <= prefetch)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return chosen.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "id", "score", "rank")
+
+
+def search_projects(vectors: DataFrame, token_vectors: DataFrame, words: list[str], projects: list[str], k: int = 10) -> DataFrame:
+    """node_id, project, score of keywords over several projects, whose token vectors must come from one model.
+
+    vectors: node_id, project, vector, model; token_vectors: project, token, vector, idf, model.
+    """
+    own, tokens = (df.filter(F.col("project").isin(projects)) for df in (vectors, token_vectors))
+    models = [r.model for r in own.select("model").union(tokens.select("model")).distinct().limit(2).collect()]
+    if len(models) > 1:
+        raise ValueError(f"vectors of different models: {sorted(map(str, models))}")
+    query = query_vector(tokens, words)
+    if query is None:
+        return own.select("node_id", "project", F.lit(0.0).alias("score")).limit(0)
+    return vector_search_many(own, {" ".join(words): query}, None, k)
+
+
 # -- source text
 
 

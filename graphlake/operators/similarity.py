@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +39,16 @@ def word_shingles(text: Column, width: int = 3) -> Column:
     return F.array_distinct(scalar.let(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), windows))
 
 
-def _permuted(a: int, b: int):
-    return lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME)
-
-
 def minhash(docs: DataFrame, key: str, text: str, size: int = SIZE, width: int = 3, least: int = 0) -> DataFrame:
-    """key, signature (array of `size` numbers); documents of fewer than `least` shingles have none.
+    """key, signature (array of `size` numbers); documents of fewer than `least` shingles have none. key names a document.
 
-    One pass: each document's shingle hashes are an array in its own row, so nothing is shuffled.
+    Each shingle is hashed once and the smallest value of each permutation kept as rows pass by, so what is shuffled is
+    one row for each document.
     """
     hashes = F.transform(word_shingles(F.col(text), width), lambda s: F.conv(F.substr(F.md5(s.cast("binary")), F.lit(1), F.lit(7)), 16, 10).cast("bigint"))
-    signature = scalar.let(hashes, lambda h: F.when(F.size(h) >= max(least, 1), F.array(*(F.array_min(F.transform(h, _permuted(a, b))) for a, b in coefficients(size)))))
-    return docs.select(key, signature.alias("signature")).filter("signature is not null")
+    every = docs.select(key, hashes.alias("_h")).filter(F.size("_h") >= max(least, 1)).select(key, F.explode("_h").alias("_h"))
+    least_of = [F.min((F.col("_h") * F.lit(a) + F.lit(b)) % F.lit(PRIME)).alias(f"_{i}") for i, (a, b) in enumerate(coefficients(size))]
+    return every.groupBy(key).agg(*least_of).select(key, F.array(*(F.col(f"_{i}") for i in range(size))).alias("signature"))
 
 
 def bands(signatures: DataFrame, key: str, bands: int = BANDS, size: int = SIZE) -> DataFrame:
@@ -59,14 +58,72 @@ def bands(signatures: DataFrame, key: str, bands: int = BANDS, size: int = SIZE)
     return signatures.select(key, F.explode(parts).alias("p")).select(key, "p.band", "p.bucket")
 
 
+#: Members of a bucket that are compared with each other in one task.
+MEMBERS = 512
+
+
+def representatives(signatures: DataFrame, key: str) -> DataFrame:
+    """rep, key: of documents with the same signature the smallest key stands for all."""
+    first = signatures.groupBy("signature").agg(F.min(key).alias("rep"))
+    return signatures.join(first, "signature").select("rep", key)
+
+
+def similar_pairs(signatures: DataFrame, key: str, least: float, size: int = SIZE, n_bands: int = BANDS, most: int | None = None) -> DataFrame:
+    """a, b, jaccard: pairs a < b of different signatures that share a bucket and agree on a share of `least` of their places.
+
+    One document stands for all of the same signature. Buckets are dealt into blocks, and two blocks of a bucket meet in
+    one task, which gives only the pairs that are similar enough, each in the first band that it shares. most: buckets
+    of more members are passed over.
+    """
+    own = cut(signatures.groupBy("signature").agg(F.min(key).alias("rep")))
+    banded = bands(own, "rep", n_bands, size).select("rep", F.xxhash64("band", "bucket").alias("bucket"), "band")
+    groups = banded.groupBy("bucket", "band").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = groups if most is None else groups.filter(F.col("n") <= most)
+    number = F.ceil(F.col("n") / MEMBERS).cast("int")
+    dealt = banded.join(groups, ["bucket", "band"]).withColumn("blocks", number).withColumn("mine", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep").join(own, "rep")
+    dealt = dealt.select("band", "bucket", "i", "j", "mine", "rep", "signature").repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "rep")
+    rows = size // n_bands
+
+    def pairs(group: pa.Table) -> pa.RecordBatch:
+        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+        mine, rep = group.column("mine").to_numpy(), group.column("rep").to_numpy()
+        places = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(rep), size)
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for x in left:
+            y = right[rep[right] > rep[x]] if i == j else right
+            same = places[x] == places[y]
+            share = same.sum(axis=1) / size
+            bands_shared = same.reshape(len(y), n_bands, rows).all(axis=2)
+            keep = (share >= least) & bands_shared[:, band]
+            if most is None:
+                keep &= bands_shared.argmax(axis=1) == band
+            found.append((np.minimum(rep[x], rep[y[keep]]), np.maximum(rep[x], rep[y[keep]]), share[keep]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "jaccard"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            keys = [now.column(c).to_numpy() for c in ("band", "bucket", "i", "j")]
+            at = 0
+            for c in (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist():
+                yield pairs(now.slice(at, c - at))
+                at = c
+            rest = now.slice(at)
+        if rest is not None and rest.num_rows:
+            yield pairs(rest)
+
+    found = dealt.mapInArrow(run, "a bigint, b bigint, jaccard double")
+    return found if most is None else found.distinct()  # the first band may be one that is passed over
+
+
 def candidates(signatures: DataFrame, key: str, most: int | None = None, size: int = SIZE, n_bands: int = BANDS) -> DataFrame:
-    """Pairs (a, b), a < b, that share a bucket. most: buckets of more members are passed over, as the reference has it."""
-    banded = bands(signatures, key, n_bands, size)
-    groups = banded.groupBy("band", "bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
-    groups = groups if most is None else groups.filter(F.col("_n") <= most)
-    own = banded.join(groups.select("band", "bucket"), ["band", "bucket"], "left_semi")
-    left, right = own.withColumnRenamed(key, "a"), own.withColumnRenamed(key, "b")
-    return left.join(right, ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
+    """Pairs (a, b), a < b, of one document for each signature that share a bucket. most: buckets of more members are passed over."""
+    return similar_pairs(signatures, key, 0.0, size, n_bands, most).select("a", "b")
 
 
 def scored(pairs: DataFrame, signatures: DataFrame, key: str) -> DataFrame:
@@ -84,10 +141,12 @@ def top_edges(edges: DataFrame, owner: str, order: list[Column], most: int = 10)
 def similar_edges(nodes: DataFrame, signatures: DataFrame, threshold: float = 0.95, most: int = 10) -> DataFrame:
     """SIMILAR_TO edges between nodes whose files have the same extension: source_id, target_id, jaccard, same_file.
 
-    nodes: id, qualified_name, file_path; signatures: id, signature. A pair belongs to the lesser qualified name.
+    nodes: id, qualified_name, file_path; signatures: id, signature. A pair belongs to the lesser qualified name. Nodes of
+    the same signature are linked with the smallest id among them, which stands for all towards the others.
     """
     names = nodes.select("id", "qualified_name", "file_path", F.regexp_extract("file_path", r"\.([^./]*)$", 1).alias("ext"))
-    pairs = scored(candidates(signatures, "id"), signatures, "id").filter(F.col("jaccard") >= threshold)
+    pairs = similar_pairs(signatures, "id", threshold)
+    pairs = pairs.unionByName(representatives(signatures, "id").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
     for side in ("a", "b"):
         pairs = pairs.join(names.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("qualified_name", "file_path", "ext"))), side)
     pairs = pairs.filter("ext_a = ext_b")
@@ -159,19 +218,31 @@ def document_vectors(tokens: DataFrame, vectors: DataFrame, dimensions: int = 64
     return _sum_vectors(rows, ["doc"], dimensions).select("doc", normalised(F.col("vector")).alias("vector"))
 
 
+def hyperplanes(dimensions: int, planes: int = 64) -> np.ndarray:
+    """Fixed planes of 1 and -1, from a linear congruential rule."""
+    out, x = np.empty(planes * dimensions), 7
+    for i in range(len(out)):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out[i] = 1.0 if x >> 63 else -1.0
+    return out.reshape(planes, dimensions)
+
+
 def hyperplane_signature(vector: Column, dimensions: int, planes: int = 64) -> Column:
     """Sign bits of the products with fixed planes of 1 and -1."""
-    rows, x = [], 7
-    for _ in range(planes):
-        plane = []
-        for _ in range(dimensions):
-            x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-            plane.append(1.0 if x >> 63 else -1.0)
-        rows.append(F.array(*map(F.lit, plane)))
+    rows = [F.array(*map(F.lit, plane.tolist())) for plane in hyperplanes(dimensions, planes)]
     dots = [F.aggregate(F.zip_with(vector, r, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v) for r in rows]
     return F.array(*((d >= 0).cast("int") for d in dots))
 
 
+def hyperplane_bands(vectors: DataFrame, dimensions: int, planes: int = 64, n_bands: int = 16) -> DataFrame:
+    """id, band, bucket: each run of planes / n_bands sign bits as one number. vectors: id, vector."""
+    width = planes // n_bands
+    bits = hyperplane_signature(F.col("vector"), dimensions, planes)
+    signed = vectors.filter("vector is not null").select("id", bits.alias("bits"))
+    buckets = F.array(*(F.struct(F.lit(b).alias("band"), sum((F.element_at("bits", b * width + i + 1) * (1 << i) for i in range(width)), F.lit(0)).alias("bucket")) for b in range(n_bands)))
+    return signed.select("id", F.explode(buckets).alias("p")).select("id", "p.band", "p.bucket")
+
+
 #: Rows of a block of vectors, and of it compared at once.
 BLOCK, SLICE = 4096, 512
 
@@ -207,6 +278,11 @@ def banded_cosines(vectors: DataFrame, dimensions: int, least: float, planes: in
     return cut(own.groupBy("i", "j").applyInPandas(run, "a bigint, b bigint, score double"))
 
 
+def profile_vector(counters: list[Column]) -> Column:
+    """A structural profile: counters of a node's shape as one vector, each on a logarithmic scale; missing ones count 0."""
+    return F.array(*(F.log1p(F.coalesce(c.cast("double"), F.lit(0.0))) for c in counters))
+
+
 def path_proximity(a: Column, b: Column) -> Column:
     """1 + 0.1 x the shared leading folders over the deeper path's folders."""
 
@@ -232,33 +308,29 @@ def combined_score(proximity: Column | None = None) -> Column:
 
 
 def semantic_edges(pairs: DataFrame, threshold: float = SEMANTIC_THRESHOLD, budget: int = 10) -> DataFrame:
-    """Edges (a, b, score) so that no node has more than `budget`, granted in order of score.
+    """Edges (a, b, score) so that no node has more than `budget`, granted in order of score, then a and b.
 
-    A pair that is not among the first `budget` of either end can never be granted, and a pair that is among them for
-    both ends always is; the order-dependent rest is walked by connected component of the remaining pairs.
+    A pair that is among as many first ones of both its ends as these have left is granted whatever becomes of the
+    others, so all such pairs are granted at once; then pairs of ends that have nothing left go, and so on. The best
+    pair of all is always among them.
     """
-    from .communities import components
-
-    own = pairs.filter(F.col("score") >= threshold)
-    ends = own.select("a", "b", "score", F.explode(F.array(F.col("a"), F.col("b"))).alias("end"))
-    rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("score"), "a", "b"))
-    ranked = ends.withColumn("_rank", rank).groupBy("a", "b", "score").agg(F.max("_rank").alias("_worst"))
-    sure = ranked.filter(F.col("_worst") <= budget).select("a", "b", "score")
-    if ranked.filter(F.col("_worst") > budget).isEmpty():
-        return sure
-    nodes = own.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    parts = components(nodes, own.select("a", "b"))
-
-    def grant(part: pd.DataFrame) -> pd.DataFrame:
-        used: dict[int, int] = {}
-        keep = np.zeros(len(part), bool)
-        part = part.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        for i, (a, b) in enumerate(zip(part.a, part.b)):
-            if used.get(a, 0) < budget and used.get(b, 0) < budget:
-                used[a], used[b], keep[i] = used.get(a, 0) + 1, used.get(b, 0) + 1, True
-        return part[keep][["a", "b", "score"]]
-
-    return own.join(parts.withColumnRenamed("id", "a"), "a").select("component", "a", "b", "score").groupBy("component").applyInPandas(grant, "a bigint, b bigint, score double")
+    left = cut(pairs.filter(F.col("score") >= threshold).select("a", "b", "score"))
+    granted: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = left.select("a", "b", "score", F.explode(F.array("a", "b")).alias("id"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "a", "b"))
+        first = ends.withColumn("rank", rank).filter(F.col("rank") <= budget)
+        if granted:
+            used = reduce(DataFrame.union, granted).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+            first = first.join(used, "id", "left").filter(F.col("rank") + F.coalesce("used", F.lit(0)) <= budget)
+        granted.append(cut(first.groupBy("a", "b", "score").agg(F.count("*").alias("n")).filter("n = 2").select("a", "b", "score")))
+        used = reduce(DataFrame.union, granted).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("used"))
+        full = cut(used.filter(F.col("used") >= budget).select("id"))
+        rest = left.join(granted[-1].select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(full.withColumnRenamed("id", end), end, "left_anti")
+        left = cut(rest.select("a", "b", "score"))
+    return reduce(DataFrame.union, granted) if granted else left
 
 
 def diffuse(vectors: DataFrame, edges: DataFrame, alpha: float = 0.3, dimensions: int = 64) -> DataFrame:
