@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar
 from .graph import PropertyGraph
+from .operator_queries import MORE
 from .operators import arch, communities, derive, dml, incremental, search, similarity, traverse
+from .operators.lineage import cut
 from .plans import compiler
 from .sources import texts
 from .sources.tables import EVENT_TYPES, KINDS, SPAN, bench_graph
@@ -97,8 +99,8 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     ),
     "not_exists_anti": (
-        "MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->() } RETURN c.name AS name",
-        "SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 400000 } RETURN c.name AS name",
+        "SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     ),
     "exists_or": (
         "MATCH (c:Customer) WHERE c.c_acctbal > 9000 OR EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 400000 } RETURN count(*) AS n",
@@ -137,8 +139,12 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT n_name AS nation, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
     ),
     "optional_match_where": (
-        "MATCH (c:Customer) WHERE c.c_custkey < 200 OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 RETURN c.name AS name, o.o_orderkey AS o_orderkey",
-        "SELECT c_name AS name, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 WHERE c_custkey < 200",
+        "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 480000 RETURN c.name AS name, o.o_orderkey AS o_orderkey",
+        "SELECT c_name AS name, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 480000",
+    ),
+    "optional_bound_end": (
+        "MATCH (n:Nation) OPTIONAL MATCH (s:Supplier)-[:IN_NATION]->(n) WHERE s.s_acctbal > 5000 RETURN n.name AS nation, count(s) AS suppliers",
+        "SELECT n_name AS nation, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1",
     ),
     "cross_match": ("MATCH (r:Region) MATCH (e:EventType) RETURN r.name AS region, e.name AS event", "SELECT r_name AS region, event_type AS event FROM region, (SELECT DISTINCT event_type FROM events)"),
     "cross_match_expand": (
@@ -149,9 +155,15 @@ CYPHER: dict[str, tuple[str, str]] = {
         "MATCH (n:Nation)-[:IN_REGION]->(r:Region) MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN r.name AS region, count(c) AS customers",
         "SELECT r_name AS region, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     ),
+    "shared_match_label": (
+        "MATCH (c:Customer)-[:PLACED|IN_NATION]->(x) MATCH (x:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(*) AS n",
+        "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    ),
+    "shared_match_other_label": ("MATCH (c:Customer)-[:PLACED]->(o) MATCH (o:Nation) RETURN count(*) AS n", "SELECT CAST(0 AS BIGINT) AS n"),
+    "fn_properties": ("MATCH (n:Nation) RETURN id(n) AS id, properties(n) AS properties", f"""SELECT {_id('Nation', 'n_nationkey')} AS id, '{{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}}' AS properties FROM nation"""),
     "var_length_1_3": (
-        "MATCH (c:Customer)-[*1..3]->(x) WHERE c.c_custkey <= 20 RETURN c.name AS name, x.label AS label, count(*) AS n",
-        f"WITH RECURSIVE {NODES}, {EDGES}, w AS (SELECT {_id('Customer', 'c_custkey')} AS seed, {_id('Customer', 'c_custkey')} AS spot, 0 AS hop FROM customer WHERE c_custkey <= 20 UNION ALL SELECT seed, target_id, hop + 1 FROM w JOIN edges ON spot = source_id WHERE hop < 3), m AS (SELECT seed, spot, min(hop) AS hop FROM w WHERE spot <> seed GROUP BY 1, 2) SELECT a.name, b.label, count(*) AS n FROM m JOIN nodes a ON a.id = seed JOIN nodes b ON b.id = spot GROUP BY 1, 2",
+        "MATCH (c:Customer)-[*1..3]->(x) WHERE c.c_acctbal > 9900 RETURN c.name AS name, x.label AS label, count(*) AS n",
+        f"WITH RECURSIVE {NODES}, {EDGES}, w AS (SELECT {_id('Customer', 'c_custkey')} AS seed, {_id('Customer', 'c_custkey')} AS spot, 0 AS hop FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT seed, target_id, hop + 1 FROM w JOIN edges ON spot = source_id WHERE hop < 3), m AS (SELECT seed, spot, min(hop) AS hop FROM w WHERE spot <> seed GROUP BY 1, 2) SELECT a.name, b.label, count(*) AS n FROM m JOIN nodes a ON a.id = seed JOIN nodes b ON b.id = spot GROUP BY 1, 2",
     ),
     "agg_count": ("MATCH (o:Order) RETURN o.o_orderpriority AS priority, count(*) AS n, count(o.o_totalprice) AS m", "SELECT o_orderpriority AS priority, count(*) AS n, count(o_totalprice) AS m FROM orders GROUP BY 1"),
     "agg_count_distinct": ("MATCH (o:Order) RETURN o.o_orderstatus AS status, count(DISTINCT o.o_custkey) AS customers", "SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1"),
@@ -238,8 +250,10 @@ _DEGREES = "(SELECT source_id AS id, 0 AS i, 1 AS o, type FROM edges UNION ALL S
 
 
 def q_dead_nodes(spark, d):
-    n, e, _ = _graph(spark, d)
-    return traverse.dead_code(n.filter("label = 'Customer'").withColumn("properties", F.lit("{}")), e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "type"), ["PLACED"]).select("id", "name")
+    """Parts that no large order line holds; those of size 1 are entry points."""
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") == 1, '{"is_entry_point":true}').otherwise("{}").alias("properties"))
+    e = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.lit("CALLS").alias("type"))
+    return traverse.dead_code(n, e).select("id", "name")
 
 
 def q_bfs_minhop(spark, d):
@@ -337,17 +351,29 @@ SELECT id, round(
 FROM t, s WHERE a > 0 OR b > 0 OR c > 0 ORDER BY score DESC, id LIMIT 50"""
 
 
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 def q_vector_topk(spark, d):
-    v = table(spark, d, "embeddings")
-    query = v.filter("vec_id = 7").head()["embedding"]
-    return search.vector_search(v, query, 20).select("vec_id", F.round("score", 5).alias("score"))
+    """The 20 nearest of every 50th row among all rows, which is the set of queries that searches are given."""
+    v = _vectors(spark, d)
+    return search.nearest(v, v.filter("id % 50 = 0"), 20).select("query", "id", F.round("score", 5).alias("score"))
+
+
+_TOPK = "WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.id AS query, v.id, list_cosine_similarity(v.e, q.e) AS score FROM v, v q WHERE q.id % 50 = 0) SELECT query, id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) <= 20"
+
+
+def q_two_stage(spark, d):
+    v = _vectors(spark, d)
+    return search.two_stage(v, v.filter("id % 50 = 0"), 20).select("query", "id", F.round("score", 5).alias("score"))
 
 
 def q_minhash(spark, d):
-    return similarity.minhash(table(spark, d, "documents"), "doc_id", "text", 16)
+    return similarity.minhash(table(spark, d, "documents"), "doc_id", "text")
 
 
-_COEFF = similarity.coefficients(16)
+_COEFF = similarity.coefficients()
 _SHINGLES = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
 h AS (SELECT doc_id, list_transform(sh, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS hs FROM s WHERE len(sh) > 0)"""
@@ -355,23 +381,28 @@ _MINHASH = f"WITH {_SHINGLES} SELECT doc_id, [{', '.join(f'list_min(list_transfo
 
 
 def q_lsh_pairs(spark, d):
-    signed = similarity.minhash(table(spark, d, "documents"), "doc_id", "text", 16)
-    pairs = similarity.candidates(signed, "doc_id", None, 16, 4)
-    return similarity.scored(pairs, signed, "doc_id").filter("jaccard >= 0.75").select("a", "b", "jaccard")
+    """Pairs of one document for each signature, and each other document with the one that stands for it."""
+    signed = cut(similarity.minhash(table(spark, d, "documents"), "doc_id", "text"))
+    copies = similarity.representatives(signed, "doc_id").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return similarity.similar_pairs(signed, "doc_id", 0.75).unionByName(copies)
 
 
-_LSH = f"WITH {_SHINGLES}, m AS (SELECT doc_id, [{', '.join(f'list_min(list_transform(hs, lambda h: (h * {a} + {b}) % {similarity.PRIME}))' for a, b in _COEFF)}] AS g FROM h), b AS (SELECT doc_id, g, unnest([0, 1, 2, 3]) AS band FROM m), k AS (SELECT doc_id, g, band, g[band * 4 + 1 : band * 4 + 4] AS bucket FROM b), p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.g AS ga, y.g AS gb FROM k x JOIN k y ON x.band = y.band AND x.bucket = y.bucket AND x.doc_id < y.doc_id), j AS (SELECT a, b, len(list_filter(range(1, 17), lambda i: ga[i] = gb[i])) / 16.0 AS jaccard FROM p) SELECT a, b, CAST(jaccard AS DOUBLE) AS jaccard FROM j WHERE jaccard >= 0.75"
+_LSH = f"""WITH {_SHINGLES}, m AS (SELECT doc_id, [{', '.join(f'list_min(list_transform(hs, lambda h: (h * {a} + {b}) % {similarity.PRIME}))' for a, b in _COEFF)}] AS g FROM h),
+r AS (SELECT g, min(doc_id) AS rep FROM m GROUP BY g), b AS (SELECT rep, g, unnest(range(32)) AS band FROM r), k AS (SELECT rep, g, band, g[band * 2 + 1 : band * 2 + 2] AS bucket FROM b),
+p AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM k x JOIN k y ON x.band = y.band AND x.bucket = y.bucket AND x.rep < y.rep),
+j AS (SELECT a, b, len(list_filter(range(1, 65), lambda i: x.g[i] = y.g[i])) / 64.0 AS jaccard FROM p JOIN r x ON x.rep = a JOIN r y ON y.rep = b)
+SELECT a, b, CAST(jaccard AS DOUBLE) AS jaccard FROM j WHERE jaccard >= 0.75 UNION ALL SELECT rep, doc_id, CAST(1 AS DOUBLE) FROM m JOIN r ON r.g = m.g WHERE rep <> doc_id"""
 
 
 def q_coupling(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("commit"), F.concat_ws("/", "event_type", F.date_format("ts", "dd")).alias("file"), F.dayofmonth("ts").alias("ts"))
-    return derive.change_coupling(e, 30, 3, 0.3).select("file_a", "file_b", "co_changes", F.round("score", 6).alias("score"), "last_co_change")
+    e = table(spark, d, "events").select(F.concat_ws("/", "user_id", F.date_format("ts", "dd")).alias("commit"), F.concat_ws("/", "event_type", F.date_format("ts", "HH")).alias("file"), F.dayofmonth("ts").alias("ts"))
+    return derive.change_coupling(e, 3, 2, 0.02).select("file_a", "file_b", "co_changes", F.round("score", 6).alias("score"), "last_co_change")
 
 
-_COUPLING = """WITH e AS (SELECT user_id AS c, event_type || '/' || strftime(ts, '%d') AS f, max(CAST(day(ts) AS INT)) AS ts FROM events GROUP BY 1, 2),
-k AS (SELECT c FROM e GROUP BY c HAVING count(*) <= 30), t AS (SELECT e.c, f, max(ts) OVER (PARTITION BY e.c) AS ts FROM e JOIN k ON k.c = e.c), n AS (SELECT f, count(*) AS n FROM t GROUP BY 1),
-p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS co_changes, max(a.ts) AS last_co_change FROM t a JOIN t b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT file_a, file_b, co_changes, round(co_changes / least(x.n, y.n), 6) AS score, last_co_change FROM p JOIN n x ON x.f = file_a JOIN n y ON y.f = file_b WHERE co_changes / least(x.n, y.n) >= 0.3"""
+_COUPLING = """WITH e AS (SELECT user_id || '/' || strftime(ts, '%d') AS c, event_type || '/' || strftime(ts, '%H') AS f, max(CAST(day(ts) AS INT)) AS ts FROM events GROUP BY 1, 2),
+k AS (SELECT c FROM e GROUP BY c HAVING count(*) <= 3), t AS (SELECT e.c, f, max(ts) OVER (PARTITION BY e.c) AS ts FROM e JOIN k ON k.c = e.c), n AS (SELECT f, count(*) AS n FROM t GROUP BY 1),
+p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS co_changes, max(a.ts) AS last_co_change FROM t a JOIN t b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT file_a, file_b, co_changes, round(co_changes / least(x.n, y.n), 6) AS score, last_co_change FROM p JOIN n x ON x.f = file_a JOIN n y ON y.f = file_b WHERE co_changes / least(x.n, y.n) >= 0.02"""
 
 
 def q_p99(spark, d):
@@ -390,31 +421,38 @@ _URL = r"SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS
 
 def q_route_match(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").alias("call_id"), scalar.url_path(F.col("url")).alias("path"), F.lit("GET").alias("method"))
-    h = spark.createDataFrame([(1, "/{x}", "ANY"), (2, "/:a/{b}", "GET"), (3, "/a/b", "POST"), (4, "/{a}/{b}/{c}", "get")], "handler_id bigint, path string, method string")
+    h = spark.createDataFrame([(1, "/{x}", "ANY"), (2, "/en/{b}", "GET"), (3, "/{a}/825", "get"), (4, "/fr/:b", "POST"), (5, "/{a}/{b}/", None), (6, "/de/{b}/", "GET")], "handler_id bigint, path string, method string")
     return derive.route_matches(p, h)
 
 
-_ROUTES = r"WITH c AS (SELECT page_id AS call_id, len(string_split(regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1), '/')) AS n FROM pages) SELECT call_id, CASE n WHEN 2 THEN CAST(1 AS BIGINT) WHEN 3 THEN 2 ELSE 4 END AS handler_id FROM c WHERE n BETWEEN 2 AND 4"
+_ROUTES = r"WITH c AS (SELECT page_id AS call_id, string_split(regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1), '/') AS s FROM pages), h AS (SELECT * FROM (VALUES (2, 'en', NULL, NULL), (3, NULL, '825', NULL), (5, NULL, NULL, ''), (6, 'de', NULL, '')) v(handler_id, a, b, z)) SELECT call_id, CAST(handler_id AS BIGINT) AS handler_id FROM c JOIN h ON len(s) = CASE WHEN z IS NULL THEN 3 ELSE 4 END AND coalesce(s[2] = a, true) AND coalesce(s[3] = b, true) AND (z IS NULL OR s[4] = z) UNION ALL SELECT call_id, 1 FROM c WHERE len(s) = 2"
 
 
 def _halves(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     old = o.filter("o_orderkey % 10 < 8")
     new = o.filter("o_orderkey % 10 > 1").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
     return old, new
 
 
+def _moved(spark, d):
+    """Orders before and after: some status moves into the empty column beside it, some becomes null, others stay."""
+    old, new = _halves(spark, d)
+    old = old.withColumn("note", F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderstatus"))).withColumn("o_orderstatus", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")))
+    return old.drop("o_orderpriority"), new.withColumn("note", F.lit(None).cast("string")).drop("o_orderpriority")
+
+
 def q_snapshot_delta(spark, d):
-    return incremental.snapshot_delta(*_halves(spark, d), ["o_orderkey"])
+    return incremental.snapshot_delta(*_moved(spark, d), ["o_orderkey"])
 
 
-_DELTA = "WITH a AS (SELECT * FROM orders WHERE o_orderkey % 10 < 8), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 > 1) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'insert' WHEN b.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS op FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus"
+_DELTA = "WITH a AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS s, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderstatus END AS note FROM orders WHERE o_orderkey % 10 < 8), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, CAST(NULL AS VARCHAR) AS note FROM orders WHERE o_orderkey % 10 > 1) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'insert' WHEN b.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS op FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.s IS DISTINCT FROM b.s OR a.note IS DISTINCT FROM b.note"
 
 
 def q_apply_delta(spark, d):
     old, new = _halves(spark, d)
     delta = incremental.snapshot_delta(old, new, ["o_orderkey"]).join(new, "o_orderkey", "left")
-    return incremental.apply_delta(old, delta, ["o_orderkey"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return incremental.apply_delta(old, delta, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
 
 
 def q_classify_files(spark, d):
@@ -427,9 +465,24 @@ def q_classify_files(spark, d):
 _CLASSIFY = "WITH p AS (SELECT url, any_value(page_id) AS page_id FROM pages GROUP BY url HAVING count(*) = 1) SELECT CASE page_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'deleted' WHEN 2 THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS n FROM p GROUP BY 1"
 
 
+def _nullable(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")).alias("a"), F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderstatus")).alias("b"))
+
+
 def q_digest(spark, d):
-    a = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return a.limit(0).select(F.lit(True).alias("same")).union(spark.range(1).select(F.lit(incremental.same_content(a, a.repartition(5))).alias("same")))
+    return dml.multiset_digest(_nullable(spark, d).repartition(5))
+
+
+_ROW = "length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || CASE WHEN o_orderpriority <> '5-LOW' THEN '1:' || o_orderstatus || '~' ELSE '~1:' || o_orderstatus END"
+_WORDS = f"WITH t AS (SELECT sha256({_ROW}) AS h FROM orders), w AS (SELECT " + ", ".join(f"CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) AS w{i}" for i in range(4)) + " FROM t)"
+_DIGEST = f"{_WORDS} SELECT count(*) AS n, " + " || ".join(f"lpad(lower(to_hex(bit_xor(w{i}))), 16, '0')" for i in range(4)) + " AS \"xor\", " + " || ' ' || ".join(f"CAST(sum(CAST(w{i} AS HUGEINT)) AS VARCHAR)" for i in range(4)) + " AS sum FROM w"
+
+
+def q_same_content(spark, d):
+    """A table with itself, and with itself where the two status columns have changed places."""
+    a = _nullable(spark, d)
+    swapped = a.select("o_orderkey", F.col("b").alias("a"), F.col("a").alias("b"))
+    return spark.createDataFrame([("itself", incremental.same_content(a, a.repartition(3))), ("swapped", incremental.same_content(a, swapped))], "other string, same boolean")
 
 
 def q_upsert(spark, d):
@@ -457,6 +510,12 @@ def q_delete_cascade(spark, d):
 _CASCADE = f"WITH {NODES}, {EDGES}, g AS (SELECT id FROM nodes WHERE label = 'Supplier' AND ends_with(name, '1')) SELECT label, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM g) GROUP BY 1 UNION ALL SELECT type, count(*) FROM edges WHERE source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g) GROUP BY 1"
 
 
+def q_dense_nodes(spark, d):
+    n = table(spark, d, "customer").select(F.lit("p").alias("project"), F.col("c_name").alias("qualified_name"), F.col("c_custkey").alias("id"))
+    nodes, _ = dml.dense_ids(n, n.limit(0).select(F.col("id").alias("source_id"), F.col("id").alias("target_id")))
+    return nodes.select("id", "qualified_name")
+
+
 def q_dense_ids(spark, d):
     n = table(spark, d, "customer").select(F.lit("p").alias("project"), F.col("c_name").alias("qualified_name"), F.col("c_custkey").alias("id"))
     e = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_custkey").alias("target_id"), "o_orderkey")
@@ -465,7 +524,7 @@ def q_dense_ids(spark, d):
 
 
 def q_grouped_topology(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey < 500").select(F.col("l_orderkey").alias("source_id"), F.lit("HAS").alias("type"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("properties"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.lit("HAS").alias("type"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("properties"))
     return dml.grouped_topology(e)
 
 
@@ -480,12 +539,13 @@ def q_topk_per_group(spark, d):
 
 
 def q_tfidf(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id < 60").select(F.col("doc_id").alias("doc"), F.explode(search.terms(F.col("text"))).alias("token"))
-    pairs = spark.range(0, 59).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    """Each document with the next, by words that are counted over all documents."""
+    docs = cut(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(search.terms(F.col("text"))).alias("token")))
+    pairs = table(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
     return similarity.tfidf_cosine(docs, pairs).select("a", "b", F.round("score", 6).alias("score")).filter("score > 0")
 
 
-_TFIDF = r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents WHERE doc_id < 60),
+_TFIDF = r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents),
 f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM w), i AS (SELECT t, ln(n / count(*)) AS idf FROM f, n GROUP BY t, n), x AS (SELECT doc_id, f.t, tf * idf AS v FROM f JOIN i ON i.t = f.t),
 l AS (SELECT doc_id, sqrt(sum(v * v)) AS l FROM x GROUP BY 1) SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.v * b.v) / (p.l * q.l), 6) AS score FROM x a JOIN x b ON a.t = b.t AND b.doc_id = a.doc_id + 1 JOIN l p ON p.doc_id = a.doc_id JOIN l q ON q.doc_id = b.doc_id GROUP BY 1, 2, p.l, q.l HAVING round(sum(a.v * b.v) / (p.l * q.l), 6) > 0"""
 
@@ -504,10 +564,10 @@ _SESSIONS = "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTE
 def q_overlap(spark, d):
     n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("Function").alias("label"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 5).alias("end_line"))
     h = table(spark, d, "nation").select(F.concat(F.lit("Brand#"), (F.col("n_nationkey") % 5 + 1).cast("string")).alias("file_path"), F.col("n_nationkey").alias("start"), (F.col("n_nationkey") + 1).alias("end"))
-    return traverse.changed_symbols(n, h).groupBy("file_path").agg(F.count("*").alias("n"))
+    return traverse.changed_symbols(n, h).select("id", "file_path")
 
 
-_OVERLAP = "SELECT p_brand AS file_path, count(*) AS n FROM part WHERE EXISTS (SELECT 1 FROM nation WHERE p_brand = 'Brand#' || (n_nationkey % 5 + 1) AND p_size <= n_nationkey + 1 AND p_size + 5 >= n_nationkey) GROUP BY 1"
+_OVERLAP = "SELECT p_partkey AS id, p_brand AS file_path FROM part WHERE EXISTS (SELECT 1 FROM nation WHERE p_brand = 'Brand#' || (n_nationkey % 5 + 1) AND p_size <= n_nationkey + 1 AND p_size + 5 >= n_nationkey)"
 
 
 def q_code_search(spark, d):
@@ -521,30 +581,29 @@ _CODE = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, gen
 
 def q_components(spark, d):
     n, e, _ = _graph(spark, d)
-    nodes = n.filter("label in ('Nation', 'Region', 'Supplier', 'User', 'EventType')").select("id")
-    own = e.filter("type in ('IN_REGION', 'DID')").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    return communities.components(nodes, own).groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
+    own = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    return communities.components(n.select("id"), own).groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-_COMPONENTS = f"SELECT {_id('Region', 'n_regionkey')} AS component, 1 + count(*) AS n FROM nation GROUP BY n_regionkey UNION ALL SELECT min(id), count(*) FROM (SELECT DISTINCT {_id('User', 'user_id')} AS id FROM events UNION SELECT DISTINCT {_id('EventType', _EVENT_KEY)} FROM events)"
+_COMPONENTS = f"WITH RECURSIVE {EDGES}, b AS (SELECT DISTINCT source_id AS a, target_id AS z FROM edges UNION SELECT target_id, source_id FROM edges), one AS (SELECT min(a) AS id FROM b UNION SELECT z FROM one JOIN b ON a = id), rest AS (SELECT a FROM b WHERE a NOT IN (SELECT id FROM one)), two AS (SELECT min(a) AS id FROM rest UNION SELECT z FROM two JOIN b ON a = id) SELECT min(id) AS component, count(*) AS n FROM one UNION ALL SELECT min(id), count(*) FROM two"
 
 
 def q_leiden(spark, d):
     n, e, _ = _graph(spark, d)
-    nodes = n.filter("label in ('Nation', 'Region', 'Supplier')").select("id")
-    own = e.filter("type in ('IN_REGION', 'IN_NATION')").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    own = own.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi").join(nodes.withColumnRenamed("id", "b"), "b", "left_semi")
-    return communities.leiden(nodes, own)
+    return communities.leiden(n.select("id"), e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
 
 
 def q_tld(spark, d):
-    nodes = table(spark, d, "part").filter("p_partkey <= 2000").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("qualified_name"), (F.col("p_size") % 4).alias("loop_depth"))
-    edges = nodes.filter("id % 20 <> 0").select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"), F.lit("CALLS").alias("type"))
-    edges = edges.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    return traverse.loop_depths(nodes, edges, 64).select("id", F.col("tld").cast("bigint").alias("tld"), "recursive")
+    """Parts of a brand, type and size call the next one; the last of the economic ones calls the first."""
+    alike = Window.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey")
+    whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", (F.col("p_size") % 4).alias("loop_depth"), F.concat_ws(".", "p_brand", "p_type", "p_size", F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("qualified_name"), F.lead("p_partkey").over(alike).alias("next"), F.first("p_partkey").over(whole).alias("first"))
+    to = F.coalesce("next", F.when(F.col("p_type") == "ECONOMY", F.col("first")))
+    edges = p.select(F.col("id").alias("source_id"), to.alias("target_id"), F.lit("CALLS").alias("type")).filter("target_id is not null")
+    return traverse.loop_depths(p.select("id", "qualified_name", "loop_depth"), edges).select("id", F.col("tld").cast("bigint").alias("tld"), "recursive")
 
 
-_TLD = "SELECT p_partkey AS id, CAST(sum(p_size % 4) OVER (PARTITION BY (p_partkey + 19) // 20 ORDER BY p_partkey DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tld, false AS recursive FROM part WHERE p_partkey <= 2000"
+_TLD = "SELECT p_partkey AS id, CAST(sum(p_size % 4) OVER (w ORDER BY p_partkey DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tld, p_type = 'ECONOMY' AND p_partkey IN (min(p_partkey) OVER w, max(p_partkey) OVER w) AS recursive FROM part WINDOW w AS (PARTITION BY p_brand, p_type, p_size)"
 
 
 def q_semantic_score(spark, d):
@@ -567,7 +626,7 @@ _SCALARS = r"SELECT p_partkey, replace(p_brand, '#', '') AS package, 'src' AS to
 
 def q_folder_chain(spark, d):
     f = table(spark, d, "pages").select(F.ltrim(scalar.url_path(F.col("url")), F.lit("/")).alias("file_path")).filter("file_path <> ''").distinct()
-    return derive.folder_chain(f).groupBy("kind").agg(F.count("*").alias("n"))
+    return derive.folder_chain(f)
 
 
 def q_suffix_lookup(spark, d):
@@ -619,19 +678,20 @@ def q_data_flows(spark, d):
     o = table(spark, d, "orders")
     calls = o.select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"), F.lit("HTTP_CALLS").alias("type"))
     c = table(spark, d, "customer").select((F.col("c_nationkey") + 10**9).cast("bigint").alias("source_id"), F.col("c_custkey").alias("target_id"), F.lit("HANDLES").alias("type"))
-    return derive.data_flows(calls.union(c)).groupBy("target_id").agg(F.count("*").alias("n"))
+    return derive.data_flows(calls.union(c))
 
 
 def q_cross_project(spark, d):
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("project"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"))
     s = table(spark, d, "supplier").select(F.lit("BUILDING").alias("project"), (F.col("s_suppkey") + 10**7).alias("id"), F.col("s_nationkey").alias("key"))
-    return derive.cross_project(c, s).groupBy("project", "target_project").agg(F.count("*").alias("n"))
+    return derive.cross_project(c, s)
 
 
 def q_implementations(spark, d):
-    have = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("method"))
-    need = table(spark, d, "lineitem").filter("l_orderkey < 40").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("method"))
-    return derive.implementations(have, need)
+    """Suppliers are classes with the brands and types of their parts as methods; part sizes are interfaces with theirs."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.concat("p_brand", "p_type").alias("method"))
+    have = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), "method")
+    return derive.implementations(have, p.select(F.col("p_size").alias("id"), "method"))
 
 
 def q_longest_prefix(spark, d):
@@ -642,9 +702,17 @@ def q_longest_prefix(spark, d):
 
 def q_name_resolution(spark, d):
     n = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("lib."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".f"), F.col("p_partkey") % 900).alias("qualified_name"))
-    calls = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.lit("app").alias("module"), F.concat(F.lit("f"), F.col("l_partkey") % 1000).alias("callee"))
+    calls = table(spark, d, "lineitem").select(F.col("l_partkey").alias("call_id"), F.lit("app").alias("module"), F.concat(F.lit("f"), F.col("l_partkey") % 1000).alias("callee")).distinct()
     imports = spark.createDataFrame([("app", "b", "lib.Brand1")], "module string, local_name string, target string")
-    return derive.resolve_names(calls, n, imports).groupBy("strategy", "confidence").agg(F.count("*").alias("n"))
+    return derive.resolve_names(calls, n, imports).select("call_id", "target_id", "strategy", F.round("confidence", 6).alias("confidence"))
+
+
+_RESOLVED = """WITH n AS (SELECT p_partkey AS id, 'f' || (p_partkey % 900) AS l, 'lib.' || replace(p_brand, '#', '') || '.f' || (p_partkey % 900) AS qn, replace(p_brand, '#', '') = 'Brand1' AS near FROM part),
+k AS (SELECT l, count(*) AS n, bool_or(near) AS reach FROM n GROUP BY 1),
+b AS (SELECT n.l, first(id ORDER BY qn, id) AS id FROM n JOIN k ON k.l = n.l WHERE near OR NOT reach GROUP BY 1)
+SELECT l_partkey AS call_id, b.id AS target_id, CASE WHEN n = 1 THEN 'unique_name' ELSE 'suffix_match' END AS strategy,
+       round(CASE WHEN n = 1 THEN 0.75 ELSE 0.55 * least(1.0, 3.0 / n) END * CASE WHEN reach THEN 1 ELSE 0.5 END, 6) AS confidence
+FROM (SELECT DISTINCT l_partkey FROM lineitem) JOIN k ON k.l = 'f' || (l_partkey % 1000) JOIN b ON b.l = k.l"""
 
 
 def q_full_text(spark, d):
@@ -653,19 +721,25 @@ def q_full_text(spark, d):
     return search.full_text(n, "nation", projects=["bench"]).select("id", F.round("rank", 6).alias("rank"))
 
 
+_FULL_TEXT = f"""WITH d AS (SELECT {_id('Nation', 'n_nationkey')} AS id, n_name || ' bench.Nation.' || n_nationkey || ' Nation' AS t FROM nation UNION ALL SELECT {_id('Region', 'r_regionkey')}, r_name || ' bench.Region.' || r_regionkey || ' Region' FROM region UNION ALL SELECT {_id('Supplier', 's_suppkey')}, s_name || ' bench.Supplier.' || s_suppkey || ' Supplier' FROM supplier),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM d), t AS (SELECT id, len(ws) AS size, len(list_filter(ws, lambda x: x = 'nation')) AS tf FROM w),
+s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM t)
+SELECT id, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS rank FROM t, s WHERE tf > 0"""
+
+
 def q_code_status(spark, d):
     o = table(spark, d, "orders")
     n = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "Class").otherwise("Function").alias("label"), F.when(F.col("o_orderkey") % 11 == 0, "x_test.go").otherwise("x.go").alias("file_path"), F.when(F.col("o_orderpriority") == "1-URGENT", '{"is_entry_point":true}').otherwise("{}").alias("properties"))
     e = o.select(F.col("o_orderkey").alias("source_id"), (F.col("o_custkey") * 3).alias("target_id"), F.lit("CALLS").alias("type"))
-    return traverse.code_status(n, e).groupBy("status").agg(F.count("*").alias("n"))
+    return traverse.code_status(n, e).select("id", "in_calls", "status")
 
 
-_STATUS = """WITH c AS (SELECT o_custkey * 3 AS id, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN o_orderstatus = 'P' THEN 'structural' WHEN o_orderkey % 11 = 0 THEN 'test' WHEN o_orderpriority = '1-URGENT' THEN 'entry' WHEN n IS NULL THEN 'dead' WHEN n = 1 THEN 'single' ELSE 'normal' END AS status, count(*) AS n FROM orders LEFT JOIN c ON c.id = o_orderkey GROUP BY 1"""
+_STATUS = """WITH c AS (SELECT o_custkey * 3 AS id, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN o_orderstatus = 'P' THEN 'structural' WHEN o_orderkey % 11 = 0 THEN 'test' WHEN o_orderpriority = '1-URGENT' THEN 'entry' WHEN n IS NULL THEN 'dead' WHEN n = 1 THEN 'single' ELSE 'normal' END AS status, o_orderkey AS id, coalesce(n, 0) AS in_calls FROM orders LEFT JOIN c ON c.id = o_orderkey"""
 
 
 def q_edge_delta(spark, d):
     old, new = _halves(spark, d)
-    return incremental.edge_delta(old.select("o_orderkey", "o_orderstatus"), new.select("o_orderkey", "o_orderstatus")).groupBy("op").agg(F.count("*").alias("n"))
+    return incremental.edge_delta(old.select("o_orderkey", "o_orderstatus"), new.select("o_orderkey", "o_orderstatus"))
 
 
 def q_url_scan(spark, d):
@@ -675,7 +749,7 @@ def q_url_scan(spark, d):
 
 def q_tfidf_idf(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
-    return similarity.idf(t).filter("df >= 100").select("token", "df", F.round("idf", 6).alias("idf"))
+    return similarity.idf(t).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def q_impact_hops(spark, d):
@@ -688,7 +762,7 @@ def q_impact_hops(spark, d):
 PLAIN: dict[str, tuple[Query, str | None]] = {
     "degree_all": (q_degree_all, f"WITH {NODES}, {EDGES}, g AS (SELECT id, sum(i) AS i, sum(o) AS o FROM {_DEGREES} GROUP BY 1) SELECT nodes.id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM nodes LEFT JOIN g ON g.id = nodes.id"),
     "degree_typed": (q_degree_typed, f"WITH {EDGES}, g AS (SELECT id, sum(i) AS i, sum(o) AS o FROM {_DEGREES} WHERE type = 'SUPPLIED_BY' GROUP BY 1) SELECT {_id('Supplier', 's_suppkey')} AS id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree FROM supplier LEFT JOIN g ON g.id = {_id('Supplier', 's_suppkey')}"),
-    "dead_nodes": (q_dead_nodes, f"SELECT {_id('Customer', 'c_custkey')} AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "dead_nodes": (q_dead_nodes, "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size <> 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)"),
     "bfs_minhop": (q_bfs_minhop, f"{_BFS} SELECT seed, CAST(1 AS INT) AS hop, count(*) AS n FROM h1 GROUP BY 1 UNION ALL SELECT seed, 2, count(*) FROM h2 GROUP BY 1 UNION ALL SELECT seed, 3, count(*) FROM h3 GROUP BY 1"),
     "trace_risk": (q_trace_risk, _TRACE),
     "call_depth": (q_call_depth, "SELECT CAST(0 AS INT) AS hop, count(*) AS n FROM customer UNION ALL SELECT 1, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) + (SELECT count(DISTINCT c_nationkey) FROM customer) UNION ALL SELECT 2, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))) + (SELECT count(DISTINCT n_regionkey) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer))"),
@@ -701,7 +775,8 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "packages": (q_packages, f"WITH {_CALLS}, n AS (SELECT lower(substr(o_orderpriority, 3)) AS name, count(*) AS node_count FROM orders GROUP BY 1 UNION ALL SELECT replace(p_brand, '#', ''), count(*) FROM part GROUP BY 1), i AS (SELECT b AS name, count(*) AS x FROM c GROUP BY 1), o AS (SELECT a AS name, count(*) AS x FROM c GROUP BY 1) SELECT n.name, node_count, coalesce(i.x, 0) AS fan_in, coalesce(o.x, 0) AS fan_out FROM n LEFT JOIN i ON i.name = n.name LEFT JOIN o ON o.name = n.name"),
     "hotspots": (q_hotspots, f"WITH {_CALLS} SELECT l_partkey * 2 + 1 AS id, count(*) AS fan_in FROM c GROUP BY l_partkey, b ORDER BY fan_in DESC, 'bench.lib.' || b || '.p' || l_partkey LIMIT 10"),
     "bm25_documents": (q_bm25, _BM25),
-    "vector_topk": (q_vector_topk, "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 5) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 20"),
+    "vector_topk": (q_vector_topk, _TOPK),
+    "vector_two_stage": (q_two_stage, None),
     "minhash_jaccard": (q_minhash, _MINHASH),
     "lsh_pairs": (q_lsh_pairs, _LSH),
     "coupling_events": (q_coupling, _COUPLING),
@@ -709,14 +784,16 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "url_path": (q_url_path, _URL),
     "route_match": (q_route_match, _ROUTES),
     "snapshot_delta": (q_snapshot_delta, _DELTA),
-    "apply_delta": (q_apply_delta, "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 10 > 1 GROUP BY 1"),
+    "apply_delta": (q_apply_delta, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 > 1"),
     "classify_files": (q_classify_files, _CLASSIFY),
-    "digest": (q_digest, "SELECT true AS same"),
+    "digest": (q_digest, _DIGEST),
+    "same_content": (q_same_content, "SELECT 'itself' AS other, true AS same UNION ALL SELECT 'swapped', false"),
+    "dense_nodes": (q_dense_nodes, "SELECT row_number() OVER (ORDER BY c_name, c_custkey) AS id, c_name AS qualified_name FROM customer"),
     "upsert": (q_upsert, "SELECT n_name AS qualified_name, CASE WHEN n_regionkey < 2 THEN n_regionkey + 100 ELSE n_regionkey END AS v FROM nation"),
     "edge_dedup": (q_edge_dedup, _DEDUP),
     "delete_cascade": (q_delete_cascade, _CASCADE),
     "dense_ids": (q_dense_ids, "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS n FROM customer) SELECT o_orderkey, n AS source_id FROM orders JOIN r ON c_custkey = o_custkey"),
-    "grouped_topology": (q_grouped_topology, "SELECT l_orderkey AS source_id, 'HAS' AS type, l_suppkey AS target_id, list_sort(list(l_returnflag)) AS payloads FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 3"),
+    "grouped_topology": (q_grouped_topology, "SELECT l_orderkey AS source_id, 'HAS' AS type, l_suppkey AS target_id, list_sort(list(l_returnflag)) AS payloads FROM lineitem GROUP BY 1, 3"),
     "tag_words": (q_tag_words, "WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_type), ' ')) AS w FROM part), c AS (SELECT w FROM w GROUP BY w HAVING count(*) >= 2) SELECT id, list_sort(list(w)) AS tags FROM w JOIN c USING (w) WHERE length(w) >= 2 AND w NOT IN (" + ", ".join(f"'{x}'" for x in scalar.DECORATOR_STOPWORDS) + ") GROUP BY id"),
     "topk_per_group": (q_topk_per_group, "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     "tfidf_pairs": (q_tfidf, _TFIDF),
@@ -729,7 +806,7 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "tld": (q_tld, _TLD),
     "semantic_score": (q_semantic_score, None),
     "path_scalars": (q_path_scalars, _SCALARS),
-    "folder_chain": (q_folder_chain, "WITH f AS (SELECT DISTINCT ltrim(regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1), '/') AS p FROM pages), s AS (SELECT string_split(p, '/') AS a FROM f WHERE p <> ''), i AS (SELECT a, unnest(range(1, len(a) + 1)) AS k FROM s), u AS (SELECT DISTINCT array_to_string(a[1:k - 1], '/') AS parent, array_to_string(a[1:k], '/') AS child, CASE WHEN k = len(a) THEN 'file' ELSE 'folder' END AS kind FROM i) SELECT kind, count(*) AS n FROM u GROUP BY 1"),
+    "folder_chain": (q_folder_chain, "WITH f AS (SELECT DISTINCT ltrim(regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1), '/') AS p FROM pages), s AS (SELECT string_split(p, '/') AS a FROM f WHERE p <> ''), i AS (SELECT a, unnest(range(1, len(a) + 1)) AS k FROM s), u AS (SELECT DISTINCT array_to_string(a[1:k - 1], '/') AS parent, array_to_string(a[1:k], '/') AS child, CASE WHEN k = len(a) THEN 'file' ELSE 'folder' END AS kind FROM i) SELECT parent, child, kind FROM u"),
     "suffix_lookup": (q_suffix_lookup, f"SELECT {_id('Nation', 'n_nationkey')} AS id, 'bench.Nation.' || n_nationkey AS qualified_name FROM nation WHERE n_nationkey = 7"),
     "ids_of": (q_ids_of, f"SELECT 'bench.Nation.' || n_nationkey * 2 AS qualified_name, CASE WHEN n_nationkey * 2 < 25 THEN {_id('Nation', 'n_nationkey * 2')} ELSE 0 END AS id FROM nation"),
     "edges_by_url": (q_edges_by_url, "SELECT page_id AS source_id FROM pages WHERE contains(url, '1')"),
@@ -737,18 +814,18 @@ PLAIN: dict[str, tuple[Query, str | None]] = {
     "counts_by_type": (q_counts_by_type, f"WITH {EDGES} SELECT type, count(*) AS n FROM edges GROUP BY 1"),
     "config_link": (q_config_link, "SELECT replace(lower(p_type), ' ', '-') || '-size' AS config_key, CAST(0.75 AS DOUBLE) AS confidence, count(*) AS n FROM part GROUP BY 1"),
     "tests_edges": (q_tests_edges, "SELECT a.o_orderkey AS source_id, b.o_orderkey AS target_id FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderstatus = 'O' AND a.o_orderkey % 3 = 0 AND b.o_orderkey % 3 <> 0"),
-    "data_flows": (q_data_flows, "SELECT c_nationkey + 1000000000 AS target_id, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1"),
-    "cross_project": (q_cross_project, "WITH p AS (SELECT c_mktsegment AS m FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_mktsegment <> 'BUILDING') SELECT m AS project, 'BUILDING' AS target_project, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT 'BUILDING', m, count(*) FROM p GROUP BY m"),
-    "implementations": (q_implementations, "WITH h AS (SELECT DISTINCT l_suppkey AS c, l_returnflag || l_linestatus AS m FROM lineitem), n AS (SELECT DISTINCT l_orderkey AS i, l_returnflag || l_linestatus AS m FROM lineitem WHERE l_orderkey < 40), k AS (SELECT i, count(*) AS n FROM n GROUP BY 1) SELECT c AS class_id, n.i AS interface_id FROM h JOIN n ON n.m = h.m JOIN k ON k.i = n.i GROUP BY 1, 2, k.n HAVING count(*) = k.n"),
+    "data_flows": (q_data_flows, "SELECT o_orderkey AS source_id, CAST(c_nationkey + 1000000000 AS BIGINT) AS target_id, o_custkey AS route FROM orders JOIN customer ON c_custkey = o_custkey"),
+    "cross_project": (q_cross_project, "WITH p AS (SELECT c_mktsegment AS m, c_custkey AS c, s_suppkey + 10000000 AS s FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_mktsegment <> 'BUILDING') SELECT m AS project, c AS source_id, s AS target_id, 'BUILDING' AS target_project, 'CROSS_HTTP_CALLS' AS type FROM p UNION ALL SELECT 'BUILDING', s, c, m, 'CROSS_HTTP_CALLS' FROM p"),
+    "implementations": (q_implementations, "WITH h AS (SELECT DISTINCT l_suppkey AS c, p_brand || p_type AS m FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT DISTINCT p_size AS i, p_brand || p_type AS m FROM part), k AS (SELECT i, count(*) AS n FROM n GROUP BY 1) SELECT c AS class_id, n.i AS interface_id FROM h JOIN n ON n.m = h.m JOIN k ON k.i = n.i GROUP BY 1, 2, k.n HAVING count(*) = k.n"),
     "longest_prefix": (q_longest_prefix, "SELECT DISTINCT 'm/' || page_id % 50 || '/x' AS specifier, CASE WHEN page_id % 2 = 0 THEN 'M' || page_id % 50 ELSE 'all' END AS module FROM pages"),
-    "name_resolution": (q_name_resolution, None),
-    "full_text": (q_full_text, None),
+    "name_resolution": (q_name_resolution, _RESOLVED),
+    "full_text": (q_full_text, _FULL_TEXT),
     "code_status": (q_code_status, _STATUS),
-    "edge_delta": (q_edge_delta, "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 < 8), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 > 1) SELECT 'insert' AS op, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'delete', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"),
+    "edge_delta": (q_edge_delta, "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 < 8), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 > 1) SELECT *, 'insert' AS op FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'delete' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"),
     "url_scan": (q_url_scan, "SELECT CAST(page_id AS VARCHAR) AS file_path, 'A_URL' AS key, url AS value FROM pages WHERE regexp_matches(url, '^[a-z][a-z0-9+.-]*://')"),
-    "idf": (q_tfidf_idf, "WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS token FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT token, count(*) AS df, round(ln(n / count(*)), 6) AS idf FROM t, n GROUP BY token, n HAVING count(*) >= 100"),
+    "idf": (q_tfidf_idf, "WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS token FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT token, count(*) AS df, round(ln(n / count(*)), 6) AS idf FROM t, n GROUP BY token, n"),
     "impact_hops": (q_impact_hops, "SELECT o_orderkey AS id, CAST(greatest(1, 100 - o_orderkey) AS INT) AS hop FROM orders WHERE o_orderkey BETWEEN 97 AND 101"),
 }
 
-QUERIES: dict[str, Query] = {name: _cypher(text) for name, (text, _) in CYPHER.items()} | {name: q for name, (q, _) in PLAIN.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in CYPHER.items()} | {name: sql for name, (_, sql) in PLAIN.items() if sql}
+QUERIES: dict[str, Query] = {name: _cypher(text) for name, (text, _) in CYPHER.items()} | {name: q for name, (q, _) in (PLAIN | MORE).items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in CYPHER.items()} | {name: sql for name, (_, sql) in (PLAIN | MORE).items() if sql}

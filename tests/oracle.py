@@ -19,6 +19,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v):
+    """A text that tells a number from a text, a truth value and null."""
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
@@ -26,10 +27,10 @@ def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, bool):
-        return str(v)
+        return f"?{v}"
     if isinstance(v, (int, float)) or hasattr(v, "as_tuple"):
-        return f"{float(v):.6g}" if float(v) != int(v) else str(int(v))
-    return str(v)
+        return f"#{float(v):.6g}" if float(v) != int(v) else f"#{int(v)}"
+    return f"'{v}" if isinstance(v, str) else str(v)
 
 
 def rows(columns, data):

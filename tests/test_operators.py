@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -49,7 +50,9 @@ def one(spark, column):
         (lambda: scalar.top_package(F.lit("proj.dir.sub.Func")), "dir"),
         (lambda: scalar.duration_ns(F.lit("10"), F.lit("50000010")), 50_000_000),
         (lambda: scalar.duration_ns(F.lit("10"), F.lit("3")), 0),
-        (lambda: scalar.duration_ns(F.lit(None).cast("string"), F.lit("3")), 3),
+        (lambda: scalar.duration_ns(F.lit(None).cast("string"), F.lit("3")), 0),
+        (lambda: scalar.duration_ns(F.lit("1"), F.lit(None).cast("string")), 0),
+        (lambda: scalar.duration_ns(F.lit("x"), F.lit("3")), 0),
         (lambda: scalar.hop_risk(F.lit(-1)), "LOW"),
         (lambda: scalar.hop_risk(F.lit(2)), "HIGH"),
         (lambda: scalar.camel_split(F.lit("updateCloudClient")), "updateCloudClient update Cloud Client"),
@@ -133,6 +136,7 @@ def test_loop_depth_and_status(spark):
     e = spark.createDataFrame([(1, 2, "CALLS"), (2, 3, "CALLS"), (4, 5, "CALLS"), (5, 4, "CALLS")], "source_id bigint, target_id bigint, type string")
     got = {r.id: (r.tld, r.recursive) for r in traverse.loop_depths(n, e).collect()}
     assert {k: got[k] for k in (1, 2, 3)} == {1: (6, False), 2: (5, False), 3: (3, False)} and got[4][1] and got[5][1]
+    assert {r.id: (r.tld, r.recursive) for r in traverse.loop_depths(n, e, 0).collect()} == got
     nodes, edges = graph(spark, [fn(1, "used"), fn(2, "dead"), fn(3, "main", props='{"is_entry_point":true}'), fn(4, "t", "a_test.go"), (5, "Class", "C", "p.C", "a", 1, 1, "{}"), fn(6, "out", props='{"is_exported":true}')], [(3, 1, "CALLS", "{}")])
     assert {r.name: r.status for r in traverse.code_status(nodes, edges).collect()} == {"used": "single", "dead": "dead", "main": "entry", "t": "test", "C": "structural", "out": "exported"}
 
@@ -170,6 +174,25 @@ def test_leiden(spark, links, nodes, least, most):
         assert seen == members
 
 
+def test_leiden_over_all_tasks(spark):
+    """A giant component: three groups of cliques in a ring, found by joins alone, no worse than in one task."""
+    links = sum((clique(range(8 * k, 8 * k + 8)) for k in range(4)), []) + [(7, 8), (15, 16), (23, 24), (31, 0)]
+    n, e = spark.range(32), spark.createDataFrame(links, "a bigint, b bigint")
+    ways = spark.createDataFrame([(a, b, 1.0) for a, b in links] + [(b, a, 1.0) for a, b in links], "u bigint, v bigint, w double")
+    quality = []
+    for together in (0, 10**6):
+        member = communities.leiden(n, e, together=together)
+        rows = member.collect()
+        quality.append(communities.modularity(ways, member, len(links)))
+        groups: dict[int, set] = {}
+        for r in rows:
+            groups.setdefault(r.community, set()).add(r.id)
+        assert len(rows) == 32 and all(c == min(m) for c, m in groups.items())
+        inside = spark.createDataFrame([(a, b) for a, b in links if any(a in m and b in m for m in groups.values())], "a bigint, b bigint")
+        assert {r.id: r.component for r in communities.components(n, inside).collect()} == {r.id: r.community for r in rows}
+    assert quality[0] >= quality[1] - 0.05 and quality[0] > 0.5
+
+
 def test_resolution_is_monotone():
     path = [(i, i + 1) for i in range(29)]
     sizes = [len(set(communities.communities(path, 29, r).values())) for r in (0.2, 1.0, 3.0)]
@@ -227,8 +250,11 @@ def test_minhash(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w q"), (4, "one"), (5, ""), (6, None)], "id bigint, text string")
     signed = similarity.minhash(docs, "id", "text")
     assert sorted(r.id for r in signed.collect()) == [1, 2, 3, 4]
-    pairs = similarity.scored(similarity.candidates(signed, "id"), signed, "id").collect()
-    assert [(r.a, r.b, r.jaccard) for r in pairs] == [(1, 2, 1.0)]
+    assert similarity.candidates(signed, "id").count() == 0
+    assert sorted((r.rep, r.id) for r in similarity.representatives(signed, "id").collect()) == [(1, 1), (1, 2), (3, 3), (4, 4)]
+    loose = signed.select((F.col("id") + 10).alias("id"), F.transform("signature", lambda x, i: F.when(i < 40, x).otherwise(-F.col("id"))).alias("signature"))
+    pairs = similarity.scored(similarity.candidates(signed.union(loose), "id"), signed.union(loose), "id").collect()
+    assert sorted((r.a, r.b) for r in pairs if r.jaccard == 40 / 64 and r.a in (3, 4)) == [(3, 13), (4, 14)]
     nodes = spark.createDataFrame([(1, "p.a", "x.py"), (2, "p.b", "x.go"), (3, "p.c", "y.py"), (4, "p.d", "z.py")], "id bigint, qualified_name string, file_path string")
     assert similarity.similar_edges(nodes, signed).count() == 0
     assert similarity.similar_edges(nodes.withColumn("file_path", F.lit("x.py")), signed).collect()[0][:2] == (1, 2)
@@ -268,6 +294,69 @@ def test_semantic_score_equals_brute_force(spark, tmp_path, monkeypatch):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
+def test_searches_in_blocks_and_in_two_stages(spark, monkeypatch):
+    """All vectors against every 50th: exact in blocks, and nine of ten neighbours or more from codes."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 64)) + 1.5 * rng.normal(size=(30, 64))[rng.integers(0, 30, 900)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None)], "id bigint, vector array<float>")
+    queries_ = rows.filter("id % 50 = 0")
+    v = v.astype(np.float32).astype(float)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 12)
+    want = {q: [int(i) for i in np.lexsort((np.arange(900), -score[q]))[:10]] for q in range(0, 900, 50)}
+    for size in (4096, 7):
+        monkeypatch.setattr(search, "SCANNED", size)
+        got = search.nearest(rows, queries_, 10).collect()
+        assert {q: [r.id for r in sorted(got, key=lambda r: r.rank) if r.query == q] for q in want} == want
+        near = search.two_stage(rows, queries_, 10, prefetch=100).collect()
+        found = sum(r.id in want[r.query] for r in near)
+        assert len(near) == 10 * len(want) and found >= 0.9 * len(near)
+        assert sorted((r.query, r.rank, r.id) for r in search.two_stage(rows, queries_, 10, prefetch=900).collect()) == sorted((q, k + 1, i) for q, ids in want.items() for k, i in enumerate(ids))
+    assert search.nearest(rows, rows.limit(0)).count() == 0
+
+
+def test_scope_and_pages(spark, small):
+    projects = spark.createDataFrame([("p", "a/p", True, True), ("q", "q", True, False), ("r", "q", True, True)], "project string, selector string, ready boolean, healthy boolean")
+    assert search.scope(projects, ["*"]) == ["p", "r"] and search.scope(projects, ["a/p", "p", "r"]) == ["p", "r"]
+    for bad in (["none"], ["q"]):
+        with pytest.raises(ValueError):
+            search.scope(projects, bad)
+    page, total = search.structural_in(*small, ["p"], search.Search(limit=1, offset=1))
+    assert page.count() == 1 and total == 3 and search.full_text_in(small[0], "submitorder", ["p"])[1] == 1
+    vectors = spark.createDataFrame([(1, "p", [1.0, 0.0], "m"), (2, "p", [0.0, 1.0], "m"), (3, "x", [0.0, 1.0], "other")], "node_id bigint, project string, vector array<float>, model string")
+    tokens = spark.createDataFrame([("p", "order", [1.0, 0.0], 2.0, "m")], "project string, token string, vector array<float>, idf float, model string")
+    assert [r.node_id for r in search.search_projects(vectors, tokens, ["order"], ["p"], 1).collect()] == [1]
+    with pytest.raises(ValueError):
+        search.search_projects(vectors, tokens, ["order"], ["p", "x"])
+
+
+def test_similar_pairs_equal_brute_force(spark, monkeypatch):
+    random.seed(4)
+    base = [[f"w{random.randrange(300)}" for _ in range(40)] for _ in range(6)]
+    texts_ = []
+    for i in range(90):
+        own = list(base[i % 6])
+        for _ in range(random.choice([0, 0, 1, 3])):
+            own[random.randrange(40)] = f"x{i}"
+        texts_.append((i, " ".join(own)))
+    signed = similarity.minhash(spark.createDataFrame(texts_, "id bigint, text string"), "id", "text").cache()
+    places = {r.id: r.signature for r in signed.collect()}
+    first: dict[tuple, int] = {}
+    for i in sorted(places):
+        first.setdefault(tuple(places[i]), i)
+    want = {}
+    for a in first.values():
+        for b in first.values():
+            same = [x == y for x, y in zip(places[a], places[b])]
+            if a < b and sum(same) >= 0.6 * 64 and any(all(same[k : k + 2]) for k in range(0, 64, 2)):
+                want[a, b] = sum(same) / 64
+    for members in (512, 3):
+        monkeypatch.setattr(similarity, "MEMBERS", members)
+        got = similarity.similar_pairs(signed, "id", 0.6).collect()
+        assert len(got) == len(want) > 20 and {(r.a, r.b): r.jaccard for r in got} == want
+    assert {(r.rep, r.id) for r in similarity.representatives(signed, "id").collect()} == {(first[tuple(s)], i) for i, s in places.items()}
+
+
 def test_vectors_of_tokens(spark):
     t = spark.createDataFrame([(d, p, w) for d, text in enumerate(["get user name", "get user mail", "draw red box"]) for p, w in enumerate(text.split())], "doc int, pos int, token string")
     v = {r.token: np.array(r.vector) for r in similarity.token_vectors(t, 32).collect()}
@@ -294,6 +383,10 @@ def test_name_resolution(spark):
     imports = spark.createDataFrame([("p.app.main", "util", "p.lib.util"), ("p.app.main", "b", "p.b")], "module string, local_name string, target string")
     got = {r.call_id: (r.target_id, r.strategy, round(r.confidence, 3)) for r in derive.resolve_names(calls, nodes, imports).collect()}
     assert got == {1: (1, "import_map", 0.95), 2: (2, "same_module", 0.9), 3: (3, "unique_name", 0.375), 4: (5, "suffix_match", 0.55)}
+    common = spark.createDataFrame([(i, f"p.m{i:04}.get") for i in range(600)] + [(1000, "p.lib.x.deep.load")], "id bigint, qualified_name string")
+    asked = spark.createDataFrame([(1, "p.app", "get"), (2, "p.app", "util.deep.load"), (3, "p.app", "deep.load")], "call_id bigint, module string, callee string")
+    got = {r.call_id: (r.target_id, r.strategy, round(r.confidence, 6)) for r in derive.resolve_names(asked, common, spark.createDataFrame([("p.app", "util", "p.lib")], "module string, local_name string, target string")).collect()}
+    assert got == {1: (0, "suffix_match", round(0.55 * 3 / 600 / 2, 6)), 2: (1000, "import_map_suffix", 0.85), 3: (1000, "qualified_suffix", 0.9)}
 
 
 def test_config_links(spark):
@@ -306,6 +399,22 @@ def test_coupling(spark):
     assert [tuple(r) for r in derive.change_coupling(c).collect()] == [("a", "b", 4, 1.0, 3)]
 
 
+def test_routes_match_by_patterns(spark):
+    random.seed(6)
+    parts = ["a", "b", "{x}", ":id", ""]
+    paths = lambda n: [(i, "/" + "/".join(random.choice(parts) for _ in range(random.randint(1, 4))), random.choice(["GET", "POST", None])) for i in range(n)]
+    calls, handlers = paths(60), paths(40)
+    canon = lambda p: ["{}" if s.startswith((":", "{")) else s for s in p.split("/")]
+    want = set()
+    for i, p, m in calls:
+        for k, q, n in handlers:
+            x, y = canon(p), canon(q)
+            if len(x) == len(y) and all(a == b or "{}" in (a, b) for a, b in zip(x, y)) and (m == n or None in (m, n)):
+                want.add((i, k))
+    got = derive.route_matches(spark.createDataFrame(calls, "call_id int, path string, method string"), spark.createDataFrame(handlers, "handler_id int, path string, method string"))
+    assert set(map(tuple, got.collect())) == want and len(want) > 50
+
+
 def test_routes_and_services(spark):
     calls = spark.createDataFrame([(1, "/users/1", "GET"), (2, "/users/:id/x", "POST")], "call_id int, path string, method string")
     handlers = spark.createDataFrame([(7, "/users/{id}", "ANY"), (8, "/users/{id}/x", "GET"), (9, "/{a}/{b}/x", "post")], "handler_id int, path string, method string")
@@ -357,6 +466,7 @@ def test_graphs_merge_and_shrink(spark):
     assert nodes.count() == 2 and edges.count() == 0
     folders, links = graph(spark, [(1, "Folder", "a", "p.a", "a", 0, 0, "{}"), (2, "Folder", "b", "p.b", "a/b", 0, 0, "{}"), (3, "Folder", "c", "p.c", "c", 0, 0, "{}"), (4, "File", "f", "p.f", "c/f", 0, 0, "{}")], [(1, 2, "CONTAINS_FOLDER", "{}"), (3, 4, "CONTAINS_FILE", "{}")])
     assert sorted(r.id for r in dml.delete_empty_folders(folders, links)[0].collect()) == [3, 4]
+    assert sorted(r.id for r in dml.delete_empty_folders(folders, links, spark.createDataFrame([("c/f",)], "file_path string"))[0].collect()) == [1, 2, 3, 4]
     ranked, moved = dml.dense_ids(n, e)
     assert sorted((r.id, r.name) for r in ranked.collect()) == [(1, "a"), (2, "b")] and moved.count() == 1
     assert dml.plausible(10, 20) and not dml.plausible(40, 100)
@@ -380,10 +490,33 @@ def test_deltas(spark, tmp_path):
     delta = incremental.snapshot_delta(old, new, ["k"])
     assert sorted(map(tuple, delta.collect())) == [(1, "delete"), (2, "update"), (4, "insert")]
     assert incremental.same_content(incremental.apply_delta(old, delta.join(new, "k", "left"), ["k"]), new) and not incremental.same_content(old, new)
+    a = spark.createDataFrame([(1, None, "A"), (2, "x", None), (None, "y", "z")], "k int, a string, b string")
+    b = a.select("k", F.col("b").alias("a"), F.col("a").alias("b"))
+    assert sorted(map(str, incremental.snapshot_delta(a, b, ["k"]).collect())) == sorted(["Row(k=1, op='update')", "Row(k=2, op='update')", "Row(k=None, op='update')"])
+    assert incremental.snapshot_delta(a, a.repartition(3), ["k"]).count() == 0
+    nested = spark.createDataFrame([(1, [None, "A"], {"x": 1, "y": 2})], "k int, l array<string>, m map<string, int>")
+    moved = spark.createDataFrame([(1, ["A", None], {"y": 2, "x": 1})], "k int, l array<string>, m map<string, int>")
+    assert incremental.snapshot_delta(nested, moved, ["k"]).count() == 1 and incremental.same_content(nested.drop("l"), moved.drop("l"))
+    assert not incremental.same_content(a, b) and not incremental.same_content(nested, moved)
+    assert dml.ordered_digest(a, ["k"]).head() == dml.ordered_digest(a.repartition(4), ["k"]).head() != dml.ordered_digest(b, ["k"]).head()
     store = incremental.Generations(spark, str(tmp_path / "g"))
     assert store.publish({"t": old}, 0) == 1 and store.publish({"t": new}, 1) == 2 and store.read("t", 1).count() == 3
     with pytest.raises(incremental.StaleGeneration):
         store.publish({"t": old}, 1)
+    with pytest.raises(incremental.StaleGeneration):
+        store.check(1)
+
+
+def test_one_of_two_publishers_succeeds(spark, tmp_path):
+    """Both have seen the same generation and written their drafts before either publishes."""
+    one, two = (incremental.Generations(spark, str(tmp_path / "g")) for _ in range(2))
+    one.publish({"t": spark.range(1)}, 0)
+    drafts = [one.draft({"t": spark.range(2)}), two.draft({"t": spark.range(3)})]
+    one.commit(drafts[0], 2)
+    with pytest.raises(incremental.StaleGeneration):
+        two.commit(drafts[1], 2)
+    assert two.latest() == 2 and two.read("t").count() == 2
+    assert sorted(p.name for p in (tmp_path / "g").iterdir() if "crc" not in p.name) == ["g=1", "g=2"]
 
 
 def test_rescue(spark):
@@ -434,3 +567,47 @@ def test_source_tree(spark, tmp_path):
         (tmp_path / name).write_text("x")
     got = files.source_tree(spark, str(tmp_path), ["*.log", "!keep.log", "skip/"], content=True).collect()
     assert sorted((r.file_path, r.language, r.content) for r in got) == [("keep.log", None, "x"), ("src/a.py", "Python", "x")]
+
+
+def test_boundaries_grow_in_proportion(spark):
+    """Twice the calls, less than three times the work: rows that the plan's joins and sums put out."""
+    def work(n):
+        nodes = spark.range(n).select("id", F.concat(F.lit("p.s."), F.col("id") % 200, F.lit(".f")).alias("qualified_name"), F.col("id").cast("string").alias("name"), F.lit("a").alias("file_path"))
+        edges = spark.range(4 * n).select((F.col("id") % n).alias("source_id"), ((F.col("id") * 7 + 3) % n).alias("target_id"), F.lit("CALLS").alias("type"))
+        begin = time.time()
+        assert arch.boundaries(nodes, edges).agg(F.sum("calls")).head()[0] > n
+        return time.time() - begin
+
+    work(1000)
+    small, large = min(work(40_000) for _ in range(2)), min(work(80_000) for _ in range(2))
+    assert large < 3 * small + 1
+
+
+def test_tools(spark, tmp_path):
+    from graphlake.tools import Tools
+
+    n, e = graph(spark, [fn(1, "A"), fn(2, "B", "b.go"), fn(3, "C")], [(1, 2, "CALLS", "{}"), (2, 3, "CALLS", "{}")])
+    t = Tools(spark, str(tmp_path))
+    assert t.list_projects().count() == 0 and t.index_repository(n, e) == 1
+    other = n.withColumn("project", F.lit("q")).withColumn("id", F.col("id") + 10)
+    t.index_repository(other, e.limit(0))
+    assert sorted((r.project, r.nodes, r.edges) for r in t.list_projects().collect()) == [("p", 3, 2), ("q", 3, 0)]
+    assert [r.name for r in t.trace_path("A", "outbound").collect()] == ["B", "C"]
+    assert t.query_graph("MATCH (a)-[:CALLS]->(b) RETURN b.name AS n ORDER BY n").collect()[0].n == "B"
+    page, total = t.search_graph(search.Search(name="a"), limit=1)
+    assert total == 2 and page.count() == 1 and t.search_graph(words="b", projects=["p"])[1] == 1
+    diff = spark.createDataFrame([("diff --git a/b.go b/b.go\n--- a/b.go\n+++ b/b.go\n@@ -1 +2 @@\n+x\n",)], "text string")
+    changes = t.detect_changes(diff)
+    assert [r.name for r in changes["symbols"].filter("project = 'p'").collect()] == ["B"] and changes["summary"].head().critical == 1
+    assert t.get_graph_schema()["patterns"].count() == 1 and set(t.get_architecture(["hotspots"])) == {"hotspots"}
+    files_ = spark.createDataFrame([("b.go", "one\ntwo\nthree")], "file_path string, content string")
+    assert t.search_code(files_, "two").count() >= 1 and t.get_code_snippet(files_, "B").head().source == "one\ntwo\nthree"
+    t.manage_adr("p", "put", "## PURPOSE\nFoo")
+    assert t.manage_adr("p", section="PURPOSE").head().text == "Foo"
+    with pytest.raises(ValueError):
+        t.manage_adr("p", "put", "nothing known")
+    t.manage_adr("p", "delete")
+    assert t.manage_adr("p").count() == 0
+    assert t.index_status("p", 100).head().plausible is False and t.delete_project("p") == 3 and t.list_projects().count() == 1
+    span = spark.createDataFrame([((2, [("http.method", "GET"), ("http.url", "https://h/a")], "10", "30"), "s")], f"span {texts.SPAN}, service string")
+    assert tuple(t.ingest_traces(span).head()) == ("GET", "/a", 1, 20)
