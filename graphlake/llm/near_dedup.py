@@ -5,22 +5,25 @@ into the (weight x rank) regions of its shingles; the earliest dart of each coor
 a coordinate with the probability of their weighted Jaccard similarity. Bands of coordinates are joined; candidates
 are verified on the full texts, and verified links are closed into classes.
 
-Work on hot groups stays linear: texts with the same words become one representative before anything else; the members
-of a bucket are first compared with one of them, and only what that leaves in different classes is compared member by
-member, in blocks dealt over tasks, which emit no more links than join their classes.
+Texts with the same words become one representative before anything else, and the members of a bucket are first compared
+with one of them, which is linear. Of buckets that then still hold several classes most members can be similar to none
+of another class: two similar sets share one of the rarest 20 % of the elements of either, so whoever shares no such
+element, as texts do that have but a passage in common, is done. The others are compared within their buckets, in blocks
+dealt over tasks, which emit no more links than join their classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, clean_texts, text_blocks
-from .words import SEED, mix, shingles, word_hashes
+from .words import SEED, mix, occurrences, shingles, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: A pair at similarity 0.8 shares none of the bands with a probability of (1 - 0.8**5)**32, or 3 in a million.
@@ -54,12 +57,7 @@ def signatures(gram: np.ndarray, owner: np.ndarray, texts: int, coordinates: int
 
     A text without shingles has a row of zeros.
     """
-    order = np.lexsort((gram, owner))
-    gram, owner = gram[order], owner[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    unit = np.arange(len(gram)) - np.flatnonzero(new)[np.cumsum(new) - 1]  # the n-th occurrence is the n-th unit of weight
-    element = mix(gram + unit.astype(np.uint64) * SEED)
+    element, owner = occurrences(gram, owner)  # the n-th occurrence is the n-th unit of weight
     weight = np.bincount(owner, minlength=texts)
     need = coordinates * np.log(coordinates) + 2 * coordinates
     # cells of the rank axis: [0, 1), [1, 2), [2, 4), [4, 8) ...; a text needs those up to its own number
@@ -131,7 +129,7 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree on enough coordinates."""
+    """The pairs (a, b) whose sketches (rep, sketch) agree on enough coordinates; repeated pairs stay repeated, none give none."""
     both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
 
     def run(batches):
@@ -154,14 +152,22 @@ def similarity(left: np.ndarray, right: np.ndarray) -> float:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the given ids, one row each. A list of ids of proven size goes to the executors, a longer one is joined."""
+    """doc_id and text of the given ids, one row each: of texts with the same doc_id the smallest. Null ids are none.
+
+    A list of ids of proven size goes to the executors, a longer one is joined.
+    """
     small = ids.count() <= BROADCAST_IDS
-    return clean_texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return clean_texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full texts are similar, with their similarity."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full texts are similar, with their similarity.
+
+    Texts of any length are compared whole; null and empty ones are similar to none; pairs of ids that docs does not have
+    are dropped, and of texts with the same doc_id the smallest counts. No pairs give no rows.
+    """
+    # written, so that a hub's many pairs can be split over tasks, each with its one text
+    texts = scratch.keep(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -179,10 +185,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, class: the smallest node of each connected component of the links (a, b); alternating stars."""
+    """node, class: the smallest node of each connected component of the links (a, b); alternating stars, until nothing changes."""
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     state = None
-    for step in range(1, 100):
+    for step in count(1):
         # large star: every larger neighbour points at the smallest neighbour
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -201,26 +207,42 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch, name: st
 
 
 def elements(docs: DataFrame) -> DataFrame:
-    """rep, grams: each text's weighted shingles as a sorted set, in which the n-th occurrence is an element of its own."""
+    """rep, grams: each text's weighted shingles as a sorted set, in which the n-th occurrence is an element of its own.
+
+    Reads doc_id and text, a row for each row. Null texts and texts without words have an empty set.
+    """
 
     def run(batches):
         for batch, texts in text_blocks(batches, 1 << 18, PER_TEXT):
             gram, owner, _ = _profile(texts)
-            order = np.lexsort((gram, owner))
-            gram, owner = gram[order], owner[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-            unit = np.arange(len(gram)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            element = mix(gram + unit.astype(np.uint64) * SEED)
+            element, owner = occurrences(gram, owner)
+            element = element.astype(np.int64)
             element = element[np.lexsort((element, owner))]
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([element[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["rep", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(element))], ["rep", "grams"])
+
+    return clean_texts(docs).mapInArrow(run, "rep bigint, grams array<bigint>")
+
 
-    return clean_texts(docs).mapInArrow(run, "rep bigint, grams binary")
+def rare(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, rep, class: the elements of each set (rep, class, grams) that any similar set must share one of.
+
+    Two sets of similarity 0.8 share 80 % of the elements of either. So they share one of the rarest 20 % and one more
+    of each, in any order that is the same for all: here by the number of sets that have the element. What only one set
+    has is shared with none and is left out.
+    """
+    every = grams.select("rep", "class", F.size("grams").alias("n"), F.explode("grams").alias("key"))
+    often = scratch.keep(every.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    shared = every.join(often, "key")
+    own = Window.partitionBy("rep")
+    place = F.row_number().over(own.orderBy("often", "key"))
+    alone = F.col("n") - F.count("*").over(own)
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
+    return shared.withColumn("place", place).withColumn("alone", alone).filter(F.col("place") <= prefix - F.col("alone")).select("key", "rep", "class")
 
 
 def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of blocks of each bucket: members are dealt into blocks, and each pair of blocks is a group of its own."""
+    """Pairs of blocks of each key: members are dealt into blocks, and each pair of blocks is a group of its own."""
     number = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(sizes, "key").withColumn("blocks", number).withColumn("mine", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -231,9 +253,11 @@ def _links_within(group: pa.Table) -> list[tuple[int, int]]:
     """Links that join the classes of a group (one pair of blocks of one bucket), each pair in its first common band only."""
     rep, cls, mine = (group.column(c).to_numpy() for c in ("rep", "class", "mine"))
     key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
     keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    grams = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    lists = group.column("grams").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    grams = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
     names, number = np.unique(cls, return_inverse=True)
     top = list(range(len(names)))
 
@@ -250,10 +274,7 @@ def _links_within(group: pa.Table) -> list[tuple[int, int]]:
         y = right[number[right] != number[x]] if i != j else right[(number[right] != number[x]) & (rep[right] > rep[x])]
         y = y[_agreement(sketch[x], sketch[y]) >= PLAUSIBLE] if len(y) else y
         y = y[[find(c) != own for c in number[y].tolist()]] if len(y) else y
-        if not len(y):
-            continue
-        common = keys[x] == keys[y]
-        y = y[keys[x][common.argmax(axis=1)] == key]
+        y = y[keys[x][(keys[x] == keys[y]).argmax(axis=1)] == key] if len(y) else y
         if not len(y):
             continue
         sizes = np.array([len(grams[k]) for k in y])
@@ -294,36 +315,45 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), class_size, is_first for each row.
 
-    Reads doc_id and text; doc_id is taken to name a text. Texts without words (null, empty, punctuation) are classes
-    of their own; a text of fewer than five words has one shingle of them all. Equal words are similar whatever their
-    case and punctuation. Rows repeated with a doc_id share its class; a null doc_id is a class of its own. An empty
-    table gives no rows.
+    Reads doc_id and text, whatever other columns there are; doc_id is taken to name a text. Texts without words (null,
+    empty, punctuation) are classes of their own; a text of fewer than five words has one shingle of them all; texts of any
+    length are compared whole. Equal words are similar whatever their case and punctuation. Rows repeated with a doc_id
+    share its class; a null doc_id is a class of its own. An empty table gives no rows.
     """
     scratch = Scratch(spark, "near")
     signed = scratch.keep(sign(docs.filter("doc_id is not null")), "signed")
     named = signed.select("doc_id", "name").filter("name <> x''")
     same = scratch.keep(named.groupBy("name").agg(F.min("doc_id").alias("rep")), "same")
-    reps = scratch.keep(
-        signed.filter("name <> x''").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sketch", "bands"), "reps"
-    )
+    reps = signed.filter("name <> x''").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = scratch.keep(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sketch", "bands"), "reps")
     bucket = reps.select("rep", F.explode("bands").alias("key"))
     hubs = bucket.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = scratch.keep(bucket.join(hubs, "key"), "members")
     stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     sketches = reps.select("rep", "sketch")
     likely = scratch.keep(plausible(stars, sketches), "likely")
-    links = scratch.keep(verify(likely, docs).select("a", "b"), "links")
+    links = scratch.keep(verify(likely, docs, scratch).select("a", "b"), "links")
+    scratch.drop("texts", "likely")
     first = components(spark, links, scratch, "first")
     # Buckets that still hold several classes: whoever is no hub may yet be linked with another class there.
-    held = members.filter("n > 2").select("key", "rep", "hub", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    held = members.filter("n > 2 and rep <> hub").select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     held = scratch.keep(held, "held")
-    mixed = held.filter("rep <> hub").groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least <> most").select("key", "n")
-    rest = scratch.keep(held.filter("rep <> hub").select("key", "rep", "class").join(mixed.select("key"), "key", "left_semi"), "rest")
-    grams = elements(texts_of(docs, rest.select(F.col("rep").alias("doc_id")).distinct()))
-    groups = _blocked(rest, mixed).join(reps, "rep").join(grams, "rep")
+    mixed = held.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("key")
+    held = scratch.keep(held.join(mixed, "key", "left_semi"), "rest")
+    scratch.drop("members", "held")
+    # Of those, whoever shares no rare element with a member of another class is similar to none.
+    rest = scratch.keep(held.select("rep", "class").distinct(), "some")
+    grams = scratch.keep(elements(texts_of(docs, rest.select(F.col("rep").alias("doc_id")))).join(rest, "rep"), "grams")
+    keys = scratch.keep(rare(grams, scratch), "rare")
+    shared = keys.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("key")
+    near = scratch.keep(keys.join(scratch.keep(shared, "shared"), "key", "left_semi").select("rep").distinct(), "near")
+    held = held.join(near, "rep", "left_semi")
+    mixed = held.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).filter("least <> most").select("key", "n")
+    groups = _blocked(held, scratch.keep(mixed, "mixed")).join(reps, "rep").join(grams.select("rep", "grams"), "rep")
     across = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_across, "a bigint, b bigint")
     links = links.unionByName(scratch.keep(across, "across"))
     joined = components(spark, links, scratch, "all")
+    scratch.drop("reps", "links", "rest", "some", "grams", "often", "rare", "shared", "near", "mixed", "across")
     of_rep = same.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("class", "rep").alias("class_id"))
     # a hot name is one row of of_rep: Spark splits its side of the join
     found = signed.select("doc_id", "name").join(of_rep, "name", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -334,7 +364,10 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the first of its class, with all their columns; null doc_ids stay."""
+    """The rows of docs whose doc_id is the first of its class, with all their columns as they are, however named.
+
+    Null doc_ids stay, and so do all rows repeated with a doc_id that stays; texts of any length are compared whole.
+    """
     dropped = Scratch(spark, "near").keep(classes(spark, docs).filter("not is_first").select("doc_id").distinct(), "dropped")
     return docs.join(dropped, "doc_id", "left_anti")
 
