@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,6 +52,54 @@ def test_a_hot_group_is_split_evenly(spark):
     check_shards(rows, texts)
 
 
+def plain_propagation(groups: list[str], shards: int, rounds: int, seed: int) -> int:
+    """Links cut by label propagation row by row under the same quotas, from a random start."""
+    r = random.Random(seed)
+    n = len(groups)
+    cap = [n // shards + (s < n % shards) for s in range(shards)]
+    at = [s for s in range(shards) for _ in range(cap[s])]
+    r.shuffle(at)
+    load = Counter(at)
+    members = defaultdict(list)
+    for i, g in enumerate(groups):
+        members[g].append(i)
+    for _ in range(rounds):
+        for i in r.sample(range(n), n):
+            near = Counter(at[k] for k in members[groups[i]] if k != i)
+            for s, many in near.most_common():
+                if many <= near[at[i]]:
+                    break
+                if load[s] < cap[s]:
+                    load[s], load[at[i]], at[i] = load[s] + 1, load[at[i]] - 1, s
+                    break
+                swap = next((k for k in range(n) if at[k] == s and len(members[groups[k]]) == 1), None)
+                if swap is not None:
+                    at[swap], at[i] = at[i], s
+                    break
+    return sum(a != b for m in members.values() for x, a in enumerate(at[i] for i in m) for b in [at[i] for i in m][x + 1 :])
+
+
+def test_cuts_no_more_links_than_plain_propagation(spark):
+    groups = [f"g{i % 60}" for i in range(300)] + [f"h{i % 9}" for i in range(90)] + [f"own {i}" for i in range(330)]
+    docs = spark.createDataFrame(list(enumerate(groups)), "doc_id bigint, text string")
+    rows = sharding.shard(spark, docs).join(docs, "doc_id")
+    check_shards(rows.collect(), groups)
+    links = sum(n * (n - 1) // 2 for n in Counter(groups).values())
+    got = sharding.cut_links(rows).head()
+    assert got.links == links and got.cut <= min(plain_propagation(groups, 24, 8, s) for s in range(3))
+    assert tuple(sharding.cut_links(rows.limit(0)).head()) == (0, 0)
+
+
+def test_only_groups_above_a_shard_are_split(spark):
+    texts = ["just fits"] * 40 + [f"own {i}" for i in range(24 * 40 - 40 - 100)] + ["too large"] * 100
+    rows = sharding.shard(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    check_shards(rows, texts)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+    assert len(shards["just fits"]) == 1 and len(shards["too large"]) <= 5
+
+
 # -- language
 
 
@@ -84,6 +134,50 @@ def test_language_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in lone} == {"und"}
 
 
+def test_letters_and_the_sample(spark):
+    marks = "\u0301\u0302 123"
+    assert language_id.counts([marks, "a\u0301"])[1].tolist() == [0, 1]
+    rows = [(i, None if i % 2 else f"word{i} of text", f"l{i % 30:02}", "s") for i in range(3000)] + [(7_000_000, "hot text", "l00", "s")] * 2000 + [(-i, marks, "zz", "s") for i in range(1, 99)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = language_id.sample_of(docs, sample=40, texts=300).collect()
+    each = Counter(r.lang for r in got)
+    assert set(each) == {f"l{i:02}" for i in range(0, 30, 2)} and set(each.values()) == {20} and all(r.doc_id % 2 == 0 for r in got)
+    with pytest.raises(ValueError):
+        language_id.sample_of(docs, texts=10)
+
+
+def test_predictions_equal_plain_cosines(spark):
+    """TF-IDF over hashed n-grams and cosines with the centroids, worked out text by text with dictionaries."""
+    docs = table(spark, SF, "documents")
+    model = language_id.train(spark, docs)
+    rows = language_id.identify(spark, docs.limit(60), model).collect()
+
+    def plain(text: str) -> tuple[str, float]:
+        kept = []
+        for c in text.lower():
+            letter = unicodedata.category(c)[0] in "LM"
+            if letter or (kept and kept[-1] != 32):
+                kept.append(ord(c) if letter else 32)
+        kept.append(32)
+        found: Counter = Counter()
+        for n in range(1, 4):
+            for i in range(len(kept) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x100000001B3 + kept[i + k] + k + 1) & (1 << 64) - 1
+                found[int(words.mix(np.array([h], np.uint64))[0]) % language_id.FEATURES] += 1
+        vector = {f: math.log1p(n) * float(model.idf[f]) for f, n in found.items()}
+        norm = math.sqrt(sum(x * x for x in vector.values()))
+        scores = [sum(x * float(c[f]) for f, x in vector.items()) / norm for c in model.centroids]
+        best = max(range(len(scores)), key=lambda i: scores[i])
+        return model.languages[model.owner[best]], scores[best]
+
+    for r in rows:
+        if r.lang_pred != "und" and len(r.text) < 4000:
+            lang, score = plain(r.text)
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+
+
 # -- decontamination
 
 
@@ -162,15 +256,64 @@ def test_documents_of_fewer_words_than_an_item(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(spark, d, b).collect()} == {doc for doc, _ in docs} - dirty
 
 
+def index_of(prints) -> decontaminate.Index:
+    index = decontaminate.Index([])
+    index.prints, index.sizes = prints, np.full(len(prints), 60)
+    return index
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(5)
-    a = rng.integers(0, 256, (300, 8), dtype=np.uint8)
-    for p in a:
-        flips = rng.choice(64, rng.integers(0, decontaminate.RADIUS + 1), replace=False)
+    prints = rng.integers(0, 256, (300, 32), dtype=np.uint8)
+    index, asked = index_of(prints), []
+    for p in prints:
         bits = np.unpackbits(p)
-        bits[flips] ^= 1
-        q = np.packbits(bits)
-        assert min(int(np.unpackbits(p[b : b + 1] ^ q[b : b + 1]).sum()) for b in range(8)) <= decontaminate.RADIUS // decontaminate.BLOCKS
+        bits[rng.choice(256, decontaminate.RADIUS, replace=False)] ^= 1
+        asked.append(np.packbits(bits))
+    for low, high in [(0, 300), (70, 130), (299, 300)]:
+        window, item = index.candidates(np.stack(asked), low, high)
+        assert set(range(low, high)) <= set(window[window == item].tolist()) and ((item >= low) & (item < high)).all()
+
+
+def test_blocks_pass_few_others():
+    rng = np.random.default_rng(6)
+    index = index_of(rng.integers(0, 256, (2000, 32), dtype=np.uint8))
+    window, _ = index.candidates(rng.integers(0, 256, (500, 32), dtype=np.uint8), 0, 2000)
+    assert len(window) <= 0.05 * 500 * 2000
+
+
+def test_similar_sets_are_within_the_radius():
+    """At similarity 0.8, also where shingles repeat, which a fingerprint of plain counts would miss."""
+    rng = np.random.default_rng(7)
+    for n in (9, 18, 56, 200):
+        for _ in range(60):
+            same, lost = -(-8 * n // 9), n - -(-8 * n // 9)
+            shared = rng.integers(0, 2**63, same).astype(np.uint64)
+            a, b = (np.concatenate((shared, np.repeat(rng.integers(0, 2**63, 1).astype(np.uint64), lost))) for _ in range(2))
+            distance = int(np.bitwise_count(decontaminate.fingerprint(a) ^ decontaminate.fingerprint(b)).sum())
+            assert distance <= decontaminate.RADIUS
+
+
+def test_repeated_shingles_and_many_items_of_one_length(spark):
+    random.seed(13)
+    say = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    line = say(7)
+    items = [line * 4 + say(42), say(70), ["x"] * 70, say(70), ["x"] * 20 + say(50)]
+    docs = []
+    for k, body in enumerate(items * 4):
+        own = list(body)
+        own[3 * k % 70] = "changed"
+        docs.append((k, " ".join(say(30) + own + ["x"] * 9 + say(30))))
+    named = [(i, " ".join(x)) for i, x in enumerate(items)]
+    want = brute_hits(docs, named)
+    found = decontaminate.Index(named).search([t for _, t in docs])
+    assert {(h.text, h.item): round(h.similarity, 9) for h in found} == {k: round(v, 9) for k, v in want.items()} and len(want) > 15
+    many = decontaminate.Index(named + [(100 + i, " ".join(say(70))) for i in range(3000)])
+    compared = []
+    known = many.candidates
+    many.candidates = lambda prints, low, high: compared.append(len(prints)) or known(prints, low, high)
+    again = many.search([t for _, t in docs] + [" ".join(say(3000))])
+    assert {(h.text, many.names[h.item]) for h in again} == set(want) and sum(compared) < 60 * len(want)
 
 
 def test_decontamination_odd_rows(spark, odd, none):
@@ -239,6 +382,41 @@ def test_a_large_loose_group(spark, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(texts)
 
 
+def test_a_common_passage_makes_no_pairs(spark, tmp_path):
+    """Texts that share a passage, but no more than half of their words, share buckets and no rare element."""
+    random.seed(8)
+    passage = [f"p{i}" for i in range(80)]
+    sets = {i: grams(" ".join(passage + [f"o{random.random()}" for _ in range(60)])) for i in range(60)}
+    sets |= {100 + i: grams(" ".join([f"o{i}x{k}" for k in range(100)] + [f"q{j}"])) for i in range(5) for j in [i]}
+    sets |= {200 + i: grams(" ".join([f"o{i}x{k}" for k in range(100)] + [f"z{j}"])) for i in range(5) for j in [i]}
+    signed = lambda g: [x - (1 << 64) if x >> 63 else x for x in g]
+    rows = [(i, i, signed(g)) for i, g in sets.items()]
+    got = near_dedup.rare(spark.createDataFrame(rows, "rep bigint, class bigint, grams array<bigint>"), near_dedup.Scratch(spark, "test")).collect()
+    keys = defaultdict(set)
+    for r in got:
+        keys[r.key].add(r.rep)
+    met = {(a, b) for reps in keys.values() for a in reps for b in reps if a < b}
+    assert met == {(100 + i, 200 + i) for i in range(5)}
+
+
+def test_recall_falls_with_edits(spark):
+    """A changed word takes five shingles along: copies are caught up to some 2 % of changed words, as 0.8 demands."""
+    random.seed(9)
+    texts, share = {}, {}
+    for i in range(240):
+        base = [f"v{random.randrange(10**6)}" for _ in range(200)]
+        own = list(base)
+        edits = i % 8
+        for k in random.sample(range(10, 190), edits):
+            own[k] = f"changed{random.random()}"
+        texts[2 * i], texts[2 * i + 1], share[i] = " ".join(base), " ".join(own), edits
+    rows = near_dedup.classes(spark, spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    found = {r.doc_id: r.class_id for r in rows}
+    assert found == brute_classes(texts)
+    caught = lambda n: np.mean([found[2 * i + 1] == 2 * i for i in share if share[i] == n])
+    assert all(caught(n) == 1 for n in range(5)) and caught(7) < 0.5
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     a = np.repeat(rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(1, 4, 300))
@@ -292,3 +470,13 @@ def test_stages_keep_the_columns(spark, odd):
         docs = stage(spark, docs, SF)
         assert docs.columns == odd.columns
         docs.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == [c for c in odd.columns if c != "ids"] + ["n_tokens", "ids", "round_trip"]
+    assert last.count() == docs.count() and last.filter("not round_trip").count() == 0
+
+
+def test_pipeline_of_nothing(spark, none):
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0

@@ -41,8 +41,10 @@ def test_encoder_equals_the_library(library):
 def test_elias_fano(values):
     values = sorted(values)
     ef = token_store.EliasFano.build(np.array(values, np.int64))
-    assert ef.all().tolist() == values and [ef.select(i) for i in range(len(values))] == values
-    assert token_store.EliasFano.load(ef.n, ef.low_bits, *ef.parts()).all().tolist() == values
+    assert ef.select_range(0, ef.n).tolist() == values and [ef.select(i) for i in range(len(values))] == values
+    assert token_store.EliasFano.load(ef.n, ef.low_bits, *ef.parts()).select_range(0, ef.n).tolist() == values
+    for a, b in [(0, 0), (ef.n // 3, ef.n // 2), (ef.n // 2, ef.n), (min(64, ef.n), min(129, ef.n))]:
+        assert ef.select_range(a, b).tolist() == values[a:b]
 
 
 def test_boundaries_are_small():
@@ -63,6 +65,11 @@ def test_token_files(spark, odd, none, library, tmp_path):
     first = listed.orderBy("file").head()
     reader = token_store.Reader(first.path)
     assert [len(reader.ids(i)) for i in range(first.docs)] == [r.n_tokens for r in ordered[: first.docs]]
+    assert list(zip(*reader.documents(docs=2)))[0] == tuple(ids[: first.docs])
+    for r in listed.collect():
+        own = token_store.Reader(r.path)
+        names = [x[0] for x in own.documents()]
+        assert all(own.find(x) == names.index(x) for x in names if x is not None) and own.find(10**9) == r.docs
     assert token_store.read_tokens(token_store.write_tokens(spark, none, BPE, str(tmp_path / "n"))).count() == 0
 
 
@@ -75,6 +82,44 @@ def test_counts(spark, odd, none, library, block):
     assert token_count.count_tokens(spark, none, BPE).count() == 0
 
 
+def test_a_task_that_runs_again_replaces_no_block(spark, library, tmp_path, monkeypatch):
+    """Its rows in another order make other codes: the files of the first run stay, and its numbers lead to them."""
+    texts = ["one two three", "three four", "five one six"]
+    kept = {}
+    for order in ([0, 1, 2], [2, 0, 1], [0, 1, 2]):
+        block = token_count._Block()
+        block.add(order, [texts[i] for i in order], *token_count._tokenizer(BPE))
+        number = block.save(str(tmp_path), 7)
+        kept.setdefault(number, []).append([list(block.codes), block.ids])
+        names, _, _, _ = token_count._Block.load(f"{tmp_path}/{number}")
+        assert names[0].tolist() == order
+    assert len(kept) == 2 and all(x == same[0] for same in kept.values() for x in same)
+    assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_units_without_spaces():
+    """Long ones are cut where nothing reaches across, and what is left is encoded in linear time, with the same ids."""
+    random.seed(3)
+    viterbi = unigram._viterbi(PIECES)
+    for alphabet in ("theandof", "abcdefghijklmnopqrstuvwxyz0123456789+/", "日本語中文é🙂the", "ab"):
+        text = "".join(random.choice(alphabet) for _ in range(1500)).encode()
+        cuts = viterbi.cuts(text)
+        assert viterbi._one(text) == viterbi._batch([text])[0] == viterbi([text])[0]
+        assert cuts[0] == 0 and cuts[-1] == len(text) and b"".join(viterbi._one(text[a:b]) for a, b in zip(cuts, cuts[1:])) == viterbi._one(text)
+    ids, _ = unigram.encode(PIECES, ["theandofinto" * 20_000])
+    assert unigram.decode(PIECES, ids) == "theandofinto" * 20_000
+
+
+def test_models_that_change_texts_are_refused():
+    put = lambda f, b: _varint(f << 3 | 2) + _varint(len(b)) + b
+    flag = lambda f, n: _varint(f << 3) + _varint(n)
+    good = flag(unigram.DUMMY_PREFIX, 1) + flag(unigram.NO_EXTRA_SPACES, 0)
+    unigram._check_normalizer([(unigram.NORMALIZER, good)])
+    for bad in ([(unigram.NORMALIZER, good + put(unigram.CHARSMAP, b"x"))], [(unigram.NORMALIZER, flag(unigram.NO_EXTRA_SPACES, 0) + flag(unigram.DUMMY_PREFIX, 0))], [], [(unigram.NORMALIZER, good), (unigram.PIECE, flag(unigram.PIECE_TYPE, unigram.USER_DEFINED))]):
+        with pytest.raises(ValueError):
+            unigram._check_normalizer(bad)
+
+
 def brute_score(model: unigram.Model, text: bytes) -> float:
     """The best total of any segmentation."""
     table = {model.pieces[i]: model.scores[i] for i in np.flatnonzero(model.normal)[::-1]}
