@@ -30,8 +30,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The subword ids of each document, and whether they decode to its text."""
-    return unigram.encode_documents(docs, PIECES)
+    """The documents with their subword ids, and whether these decode to the text."""
+    return unigram.with_ids(docs, PIECES)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("decontamination", clean), ("encoding", encode)]
