@@ -75,9 +75,9 @@ def point_lookups(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query(f"WITH {_SYMBOLS} SELECT id FROM n WHERE file_path = 'src/Brand3/m12.py' AND start_line <= 14 AND end_line >= 13")
+@query(f"WITH {_SYMBOLS} SELECT id FROM n WHERE file_path = 'src/Brand10/m15.py' AND start_line <= 17 AND end_line >= 16")
 def line_overlap(spark, d):
-    return dml.overlapping(symbols(spark, d), "src/Brand3/m12.py", 13, 14).select("id")
+    return dml.overlapping(symbols(spark, d), "src/Brand10/m15.py", 16, 17).select("id")
 
 
 @query(f"WITH {_SYMBOLS} SELECT DISTINCT project, file_path FROM n")
