@@ -5,8 +5,8 @@ element of its own, so their weighted similarity is that of two sets. Fingerprin
 block by block (multi-index hashing): of two fingerprints within the radius a certain number of blocks must nearly
 agree, and a table for each block tells which items nearly agree with each value of it. The exact similarity then decides.
 
-Only windows are hashed that could be similar to some item: most of their shingles must be an item's. A text of fewer
-words than an item is one window against it.
+Only windows are hashed that could be similar to some item: most of their shingles must be of items of their size. A text
+of fewer words than an item is one window against it.
 """
 
 from __future__ import annotations
@@ -89,15 +89,17 @@ class Index:
         return [np.sort(occurrences(g, np.zeros(len(g), np.int64))[0]) for g in self.grams]
 
     @cached_property
-    def by_width(self) -> dict[int, tuple[int, int, np.ndarray, np.ndarray]]:
-        """For each shingle width: from which item to which, all their shingles, and a filter of hashes."""
+    def by_width(self) -> dict[int, tuple[int, int, np.ndarray, np.ndarray, dict[int, np.ndarray]]]:
+        """For each shingle width: from which item to which, all their shingles, a filter of hashes, and the shingles of the items of each size."""
         out = {}
         for width in np.unique(self.widths):
             a, b = np.searchsorted(self.widths, [width, width + 1])
             gram = np.unique(np.concatenate(self.grams[a:b]))
             seen = np.zeros(1 << 22, bool)
             seen[gram & np.uint64((1 << 22) - 1)] = True
-            out[int(width)] = int(a), int(b), gram, seen
+            sizes = self.sizes[a:b] - width + 1
+            ends = {int(n): np.searchsorted(sizes, [n, n + 1]) + a for n in np.unique(sizes)}
+            out[int(width)] = int(a), int(b), gram, seen, {n: np.unique(np.concatenate(self.grams[x:y])) for n, (x, y) in ends.items()}
         return out
 
     @cached_property
@@ -139,16 +141,19 @@ class Index:
         """The best window of each similar item in each text."""
         words, first = word_hashes(texts)
         best: dict[tuple[int, int], Hit] = {}
-        for width, (low, high, gram, seen) in self.by_width.items():
+        for width, (low, high, gram, seen, of_size) in self.by_width.items():
             own, owner = _all_windows(words, first, width)
             maybe = np.flatnonzero(seen[own & np.uint64((1 << 22) - 1)])
-            marked = maybe[gram[np.minimum(np.searchsorted(gram, own[maybe]), len(gram) - 1)] == own[maybe]]
+            marked = maybe[_among(own[maybe], gram)]
             if not len(marked):
                 continue
             starts = np.searchsorted(owner, np.arange(len(texts) + 1))
             sizes = self.sizes[low:high] - width + 1
-            for n in np.unique(sizes).tolist():
-                at = _dense(marked, owner, starts, n, least_shared(n, n))
+            found = own[marked]
+            for n, wanted in of_size.items():
+                if len(marked) < least_shared(n, n):
+                    continue
+                at = _dense(marked[_among(found, wanted)], owner, starts, n, least_shared(n, n))
                 if len(at):
                     a, b = np.searchsorted(sizes, [n, n + 1])
                     self._verify(own, owner, starts, at, n, width, low + int(a), low + int(b), best)
@@ -173,7 +178,7 @@ class Index:
                 if w != before:
                     before, elements = w, occurrences(own[part[w] : part[w] + n], np.zeros(n, np.int64))[0]
                 other = self.elements[i]
-                both = int((other[np.minimum(np.searchsorted(other, elements), len(other) - 1)] == elements).sum())
+                both = int(_among(elements, other).sum())
                 similarity = both / (n + len(other) - both)
                 if similarity < SIMILARITY:
                     continue
@@ -184,6 +189,11 @@ class Index:
                     best[text, i] = Hit(text, i, begin, n + width - 1, d, similarity)
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array?"""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _dense(marked: np.ndarray, owner: np.ndarray, starts: np.ndarray, n: int, least: int) -> np.ndarray:
     """Where windows of n shingles begin that hold `least` marked ones. owner: the text of each shingle."""
     if len(marked) < least:
