@@ -12,12 +12,12 @@ from py4j.protocol import Py4JJavaError
 
 
 def classify_files(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """rel_path, status: new, changed, unchanged or deleted, by time and size. Both: rel_path, mtime_ns, size."""
-    a = stored.select("rel_path", F.col("mtime_ns").alias("_m"), F.col("size").alias("_s"), F.lit(True).alias("_old"))
+    """rel_path, status: new, changed, unchanged or deleted, by time and size. Both: rel_path (once), mtime_ns, size."""
+    a = stored.select(F.col("rel_path").alias("_path"), F.col("mtime_ns").alias("_m"), F.col("size").alias("_s"), F.lit(True).alias("_old"))
     b = current.select("rel_path", "mtime_ns", "size", F.lit(True).alias("_new"))
     same = F.col("_m").eqNullSafe(F.col("mtime_ns")) & F.col("_s").eqNullSafe(F.col("size"))
     status = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
-    return a.join(b, "rel_path", "full").select("rel_path", status.alias("status"))
+    return a.join(b, F.col("_path").eqNullSafe(F.col("rel_path")), "full").select(F.coalesce("rel_path", "_path").alias("rel_path"), status.alias("status"))
 
 
 def snapshot_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
