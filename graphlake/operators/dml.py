@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructType, TimestampType
@@ -97,13 +99,19 @@ def selectors(roots: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows of new replace those of old with the same keys. new may say in a column `seq` which of its rows is the latest."""
+    """Rows of new replace those of old with the same keys, null keys those with null keys. new may say in a column `seq` which of its rows is the latest."""
     keys = keys or NODE_KEY
     order: Column = F.col("seq") if "seq" in new.columns else F.lit(0)
     latest = new.withColumn("_seq", order)
     rest = [c for c in old.columns if c not in keys]
     latest = latest.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_seq", *rest)).alias("_row")).select(*keys, "_row.*")
-    return old.join(latest, keys, "left_anti").unionByName(latest.select(*old.columns))
+    return without(old, latest, keys).unionByName(latest.select(*old.columns))
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are not among those of gone; null keys meet null keys."""
+    there = gone.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)))
+    return rows.join(there, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys))), "left_anti")
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
