@@ -200,15 +200,21 @@ def _sum_vectors(rows: DataFrame, keys: list[str], dimensions: int) -> DataFrame
 
 
 def token_vectors(tokens: DataFrame, dimensions: int = 64, blend: float = 0.7, passes: int = 2) -> DataFrame:
-    """token, vector: base vectors blended with those of their neighbours by 1 / distance, twice. tokens: doc, pos, token."""
-    vectors = tokens.select("token").distinct().select("token", normalised(base_vector(F.col("token"), dimensions)).alias("vector"))
-    others = tokens.select("doc", F.explode(F.array(*(F.struct((F.col("pos") + d).alias("pos"), F.lit(1.0 / abs(d)).alias("w")) for d in range(-WINDOW, WINDOW + 1) if d))).alias("p"), F.col("token").alias("other"))
-    near = tokens.join(others.select("doc", "p.pos", "other", "p.w"), ["doc", "pos"]).groupBy("token", "other").agg(F.sum("w").alias("w"))
+    """token, vector: base vectors blended with those of their neighbours by 1 / distance, twice. tokens: doc, pos, token.
+
+    Neighbours are met in one sorted pass over each document, not by a join of the tokens with themselves.
+    """
+    placed = tokens.filter("doc is not null and pos is not null and token is not null")
+    around = Window.partitionBy("doc").orderBy("pos").rangeBetween(-WINDOW, WINDOW)
+    met = placed.select("token", "pos", F.collect_list(F.struct(F.col("pos").alias("at"), F.col("token").alias("other"))).over(around).alias("near"))
+    met = met.select("token", "pos", F.explode("near").alias("p")).filter("p.at <> pos")
+    near = cut(met.groupBy("token", "p.other").agg(F.sum(1.0 / F.abs(F.col("p.at") - F.col("pos"))).alias("w")))
+    vectors = cut(tokens.select("token").distinct().select("token", normalised(base_vector(F.col("token"), dimensions)).alias("vector")))
     for _ in range(passes):
         sums = _sum_vectors(near.join(vectors.select(F.col("token").alias("other"), F.col("vector").alias("v")), "other"), ["token"], dimensions)
         mixed = vectors.join(sums.withColumnRenamed("vector", "near"), "token", "left")
         blended = F.when(F.col("near").isNull(), F.col("vector")).otherwise(F.zip_with("vector", normalised(F.col("near")), lambda a, b: (1 - blend) * a + blend * b))
-        vectors = mixed.select("token", normalised(blended).alias("vector"))
+        vectors = cut(mixed.select("token", normalised(blended).alias("vector")))
     return vectors
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlake import queries
 from graphlake.functions import scalar
-from graphlake.operators import arch, communities, derive, dml, incremental, search, similarity, traverse
+from graphlake.operators import arch, communities, derive, dml, incremental, lineage, search, similarity, traverse
 from graphlake.schema import EDGE, NODE
 from graphlake.sources import files, texts
 from graphlake.streaming import poller
@@ -367,6 +367,34 @@ def test_vectors_of_tokens(spark):
     assert all(r.vector == pytest.approx([2**-0.5] * 2) for r in moved.collect())
 
 
+def test_token_vectors_meet_no_join_of_tokens(spark):
+    """Gaps and two tokens at a place count as they do in a join by place; missing places meet nobody."""
+    rows = [(d, p, f"w{(d * 7 + p * p) % 23}") for d in range(40) for p in (0, 1, 1, 2, 9, 10, 13, 30) if (d + p) % 5] + [(None, 1, "w1"), (3, None, "w2")]
+    t = spark.createDataFrame(rows, "doc int, pos int, token string")
+    own, weights = [r for r in rows if None not in r], {}
+    for d, p, a in own:
+        for e, q, b in own:
+            if d == e and 0 < abs(p - q) <= similarity.WINDOW:
+                weights[a, b] = weights.get((a, b), 0.0) + 1.0 / abs(p - q)
+    v = {r.token: np.array(r.v) for r in t.select("token").distinct().select("token", similarity.normalised(similarity.base_vector(F.col("token"), 32)).alias("v")).collect()}
+    for _ in range(2):
+        near = {a: sum(w * v[b] for (x, b), w in weights.items() if x == a) for a in v}
+        v = {a: 0.3 * v[a] + 0.7 * near[a] / (np.linalg.norm(near[a]) or 1) if np.ndim(near[a]) else v[a] for a in v}
+        v = {a: x / np.linalg.norm(x) for a, x in v.items()}
+    got = similarity.token_vectors(t, 32)
+    assert {r.token: r.vector for r in got.collect()} == {a: pytest.approx(x) for a, x in v.items()}
+
+
+def test_token_vectors_join_no_rows_of_tokens(spark, monkeypatch):
+    """Joins are of distinct tokens: those of all tokens, listed for each place near, were broadcast by a small file's size."""
+    frames = []
+    monkeypatch.setattr(similarity, "cut", lambda df: frames.append(df) or lineage.cut(df))
+    t = spark.range(50).select(F.col("id").alias("doc"), F.posexplode(F.array(*(F.lit(f"w{i}") for i in range(9)))).alias("pos", "token"))
+    frames.append(similarity.token_vectors(t, 8))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in frames]
+    assert any("explode" in p for p in plans) and not [p for p in plans if "explode" in p and "Join" in p]
+
+
 def test_rotated_codes():
     x = np.random.default_rng(1).normal(size=(20, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
