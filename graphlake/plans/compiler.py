@@ -53,7 +53,10 @@ class Compiler:
         self.texts: dict[tuple[int, object], bool] = {}  # is an expression over a table text?
         self.bound: set[str] = set()
         self.needs = self._needs(q)
-        df: DataFrame | None = None
+        self.weight = False  # does a column _n say how many matches a row stands for?
+        df = self.counted(q)
+        if df is not None:
+            return self.project(df, q.returned, keep=False)
         for c in q.clauses:
             if isinstance(c, t.Match):
                 df = self.match(df, c)
@@ -121,6 +124,87 @@ class Compiler:
                 needs.setdefault(old, set()).update(needs.get(new, set()))
         return needs
 
+    # -- counts of cyclic patterns
+
+    def counted(self, q: t.Query) -> DataFrame | None:
+        """The returned nodes with the number of their matches as _n, for a pattern with a cycle of which only count(*) is asked.
+
+        Walking around a cycle lists every way through it before its ends are compared. Here a variable that is not
+        returned is summed away as soon as its own edges are joined: first those next to returned ones, so tables stay
+        as small as pairs of a node and what is returned. None: the query is of another kind.
+        """
+        if q.returned is None or q.returned.star or any(not isinstance(c, t.Match) or c.optional or c.where is not None for c in q.clauses):
+            return None
+        paths = [p for c in q.clauses for p in c.paths]
+        used = list(t.walk((tuple(i.of for i in q.returned.items), tuple(key for key, _ in q.returned.order))))
+        sums = [x for x in used if isinstance(x, t.Call) and x.name in AGGREGATES]
+        if not sums or any(not x.star for x in sums) or any(isinstance(x, t.Exists) for x in used) or any(e.name or e.variable or e.direction == "any" for p in paths for e in p.edges):
+            return None
+        nodes: dict[str, list[t.NodePattern]] = {}
+        starts: list[str] = []
+        for p in paths:
+            if not any(n.name in nodes for n in p.nodes):
+                starts.append(p.nodes[0].name)
+            for n in p.nodes:
+                nodes.setdefault(n.name, []).append(n)
+        links = [(a.name, e, b.name) if e.direction == "out" else (b.name, e, a.name) for p in paths for a, e, b in zip(p.nodes, p.edges, p.nodes[1:])]
+        titles = {i.title for i in q.returned.items}
+        kept = {x.name for i in q.returned.items for x in t.walk(i.of) if isinstance(x, (t.Property, t.Name, t.HasLabel))}
+        other = {x.name for key, _ in q.returned.order for x in t.walk(key) if isinstance(x, (t.Property, t.Name, t.HasLabel))} - titles
+        # a connected pattern has a cycle if it has as many edges as nodes
+        if not (kept | other) <= set(nodes) or len(starts) != 1 or len(links) < len(nodes) or any(a == b for a, _, b in links) or {"in_degree", "out_degree"} & set().union(*(self.needs.get(n, set()) for n in nodes)):
+            return None
+        labels: dict[str, set[str] | None] = {}
+        for name, said in nodes.items():
+            asked = [set(n.labels) for n in said if n.labels]
+            labels[name] = set.intersection(*asked) if asked else None
+        factors: list[tuple[list[str], DataFrame]] = []
+        for a, e, b in links:
+            tables = self.graph.edge_ends(e.types or None)
+            if tables is None:
+                return None
+            keep = [x for x in tables if (labels[a] is None or x.source in labels[a]) and (labels[b] is None or x.target in labels[b])]
+            factors.append(([a, b], self._edges_of(keep, []).select(F.col("source_id").alias(f"{a}__id"), F.col("target_id").alias(f"{b}__id"), F.lit(1).cast("bigint").alias("_n"))))
+        scans: dict[str, DataFrame] = {}
+        for name, said in nodes.items():
+            values = tuple(v for n in said for v in n.values)
+            if name in starts or name in kept or values or [f for f in self.fields(name) if f != "label"]:
+                scans[name] = self.scan(t.NodePattern(name, tuple(sorted(labels[name] or ())), values))
+            self.kinds[name] = "node"
+        for name in nodes:
+            if name in scans and name not in kept:
+                factors.insert(0, ([name], scans[name].select(f"{name}__id", F.lit(1).cast("bigint").alias("_n"))))
+        left = [n for n in nodes if n not in kept]
+        while left:
+            near = {v: {n for names, _ in factors if v in names for n in names} - {v} for v in left}
+            v = min(left, key=lambda v: (-len(near[v] & kept), len(near[v]), left.index(v)))
+            left.remove(v)
+            own = sorted((f for f in factors if v in f[0]), key=lambda f: len(f[0]))
+            factors = [f for f in factors if v not in f[0]]
+            factors.append(self._summed(self._met(own), sorted(near[v])))
+        df = self._met(factors)[1]
+        for name in sorted(kept):
+            df = df.join(scans[name], f"{name}__id")
+        self.bound, self.weight = set(kept), True
+        return df
+
+    @staticmethod
+    def _met(factors: list[tuple[list[str], DataFrame]]) -> tuple[list[str], DataFrame]:
+        """The join of tables (variables, rows) on the variables they share; those that share one go first. Numbers of matches multiply."""
+        (names, df), rest = factors[0], list(factors[1:])
+        while rest:
+            f = max(rest, key=lambda f: len(set(f[0]) & set(names)))
+            rest.remove(f)
+            more, shared = f[1].withColumnRenamed("_n", "_m"), [f"{n}__id" for n in f[0] if n in names]
+            df = (df.join(more, shared) if shared else df.crossJoin(more)).withColumn("_n", F.col("_n") * F.col("_m")).drop("_m")
+            names = names + [n for n in f[0] if n not in names]
+        return names, df
+
+    @staticmethod
+    def _summed(factor: tuple[list[str], DataFrame], names: list[str]) -> tuple[list[str], DataFrame]:
+        rows = factor[1].groupBy(*(f"{n}__id" for n in names)).agg(F.sum("_n").alias("_n"))
+        return names, rows if names else rows.select(F.coalesce("_n", F.lit(0)).alias("_n"))
+
     # -- matching
 
     def match(self, df: DataFrame | None, m: t.Match) -> DataFrame:
@@ -462,7 +546,7 @@ class Compiler:
 
     def call(self, df: DataFrame, c: t.Call) -> Column:
         if c.star:
-            return F.count("*")
+            return F.coalesce(F.sum("_n"), F.lit(0)) if self.weight else F.count("*")
         first = c.args[0] if c.args else None
         named = first.name if isinstance(first, t.Name) else None
         entity = named is not None and self.kind(named) in ("node", "edge")
